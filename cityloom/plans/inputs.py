@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cityloom.functions import geometry as G
 from cityloom.operators import labelling as L
 from cityloom.sources import tables as S
-from cityloom.sources.views import Inputs
+from cityloom.sources.views import Inputs, stored
 
 
 def buildings(i: Inputs) -> DataFrame:
@@ -27,9 +27,14 @@ def parcels(i: Inputs) -> DataFrame:
     return G.with_shape(i.parcels())
 
 
-def master(i: Inputs) -> DataFrame:
+def build_master(i: Inputs) -> DataFrame:
     return L.build_master(i.buildings(), buildings_2023(i), parcels(i), i.view("poi"))
 
 
+def master(i: Inputs) -> DataFrame:
+    """The labelled building table, stored once; reports and features read it back."""
+    return stored(i, "master", lambda: build_master(i))
+
+
 def annotated_master(i: Inputs) -> DataFrame:
     return L.evaluated(i.view("truth"), buildings(i), master(i))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cityloom.functions import geometry as G
 from cityloom.functions.numeric import half_even
 from cityloom.operators import coverage as C, labelling as L
-from cityloom.plans.inputs import annotated_master, buildings, buildings_2023, master, parcels, slim
+from cityloom.plans.inputs import annotated_master, build_master, buildings, master, parcels, slim
 from cityloom.plans.registry import register
 from cityloom.sources.views import Inputs
 
@@ -47,7 +47,7 @@ def l4_bundled_labels(i: Inputs):
        archetype = 'sport_culture' AS bundled_label FROM master""",
 )
 def l5_master(i: Inputs):
-    return master(i)
+    return build_master(i)
 
 
 @register(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cityloom.functions import geometry as G
+from cityloom.session import scratch_path
 
 VIEW_SQL = {
     "b26": """
@@ -112,3 +113,23 @@ def _footprint():
     notch_x = F.when(F.col("lshape"), x0 + w / 2).otherwise(x0 + w)
     notch_y = F.when(F.col("lshape"), y0 + d / 2).otherwise(y0 + d)
     return G.polygon((x0, y0), (x0 + w, y0), (x0 + w, notch_y), (notch_x, notch_y), (notch_x, y0 + d), (x0, y0 + d))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(i: Inputs, name: str, build, sources: tuple[str, ...] = ("orders", "customer")) -> DataFrame:
+    """Intermediate table written once to the shared folder and read back by later jobs of the session.
+
+    The key holds size and modification time of the source files, so changed inputs are rebuilt.
+    """
+    marks = []
+    for t in sources:
+        meta = i.table(t).select(F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_size").alias("s"))
+        marks.append(tuple(meta.agg(F.max("m"), F.max("s"), F.count("*")).first()))
+    key = (id(i.spark), i.spark.sparkContext.applicationId, i.folder, name, tuple(marks))
+    if key not in _STORED:
+        path = scratch_path(i.spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return i.spark.read.parquet(_STORED[key])
