@@ -199,50 +199,59 @@ def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.abs(out))
 
 
-def _hull(xy: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise, without collinear vertices."""
-    pts = np.unique(xy, axis=0)
+def _hull(xs: list, ys: list) -> list:
+    """Convex hull vertices, counter-clockwise, without collinear ones."""
+    pts = sorted(set(zip(xs, ys)))
     if len(pts) < 3:
-        return pts
+        return []
 
     def half(seq: list) -> list:
         chain: list = []
-        for p in seq:
+        for px, py in seq:
             while len(chain) > 1:
                 (ax, ay), (bx, by) = chain[-2], chain[-1]
-                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
+                if (bx - ax) * (py - ay) - (by - ay) * (px - ax) > 0:
                     break
                 chain.pop()
-            chain.append(p)
+            chain.append((px, py))
         return chain[:-1]
 
-    rows = pts.tolist()
-    return np.array(half(rows) + half(rows[::-1]))
-
-
-def _hull_row(xy: np.ndarray) -> tuple[float, float, float]:
-    if len(xy) == 0:
-        return math.nan, math.nan, math.nan
-    h = _hull(xy - xy[0])
-    if len(h) < 3:
-        return 0.0, math.nan, math.nan
-    n = np.roll(h, -1, axis=0)
-    d = n - h
-    u = d / np.hypot(d[:, 0], d[:, 1])[:, None]
-    w = np.ptp(h @ u.T, axis=0)
-    t = np.ptp(h @ np.column_stack([-u[:, 1], u[:, 0]]).T, axis=0)
-    k = np.lexsort((np.maximum(w, t), np.round(w * t, 6)))[0]
-    hull_area = abs(float(np.sum(h[:, 0] * n[:, 1] - n[:, 0] * h[:, 1])) / 2.0)
-    return hull_area, float(max(w[k], t[k])), float(min(w[k], t[k]))
+    ring = half(pts) + half(pts[::-1])
+    return ring if len(ring) > 2 else []
 
 
 @arrow_udf(_doubles(HULL))
 def hull_measures(geom: pa.Array) -> pa.Array:
-    """Hull area and sides of the minimum-area rotated rectangle (the shorter rectangle on ties)."""
+    """Hull area and sides of the minimum-area rotated rectangle (the shorter rectangle on ties).
+
+    Only the hull walk goes vertex by vertex; areas and the rectangle on every hull edge are one batch.
+    """
     e = _Edges(geom)
-    xy = np.column_stack([e.x, e.y])
-    rows = [_hull_row(xy[s : s + c]) for s, c in zip(e.start, e.count)]
-    return _struct(list(np.array(rows).reshape(-1, 3).T), HULL)
+    xs, ys = e.x.tolist(), e.y.tolist()
+    hulls = [_hull(xs[s : s + c], ys[s : s + c]) for s, c in zip(e.start.tolist(), e.count.tolist())]
+    size = np.array([len(h) for h in hulls], dtype=np.int64)
+    rings = pa.array([[[{"x": x, "y": y} for x, y in h]] if h else [] for h in hulls], geom.type)
+    h = _Edges(rings)
+    cols = [np.where(e.count > 0, 0.0, np.nan), np.full(e.n, np.nan), np.full(e.n, np.nan)]
+    if len(h.x):
+        cols[0] = np.where(size > 0, h.area(), cols[0])
+        dx, dy = h.x2 - h.x, h.y2 - h.y
+        norm = np.hypot(dx, dy)
+        ux, uy = dx / norm, dy / norm
+        reps = size[h.row]
+        i = np.repeat(np.arange(len(h.x)), reps)
+        ends = np.cumsum(reps)
+        j = h.start[h.row[i]] + np.arange(len(i)) - np.repeat(ends - reps, reps)
+        rx, ry = h.x[j] - h.x[i], h.y[j] - h.y[i]
+        along, across = rx * ux[i] + ry * uy[i], ry * ux[i] - rx * uy[i]
+        cuts = ends - reps
+        w = np.maximum.reduceat(along, cuts) - np.minimum.reduceat(along, cuts)
+        t = np.maximum.reduceat(across, cuts) - np.minimum.reduceat(across, cuts)
+        order = np.lexsort((np.maximum(w, t), np.round(w * t, 6), h.row))
+        rows, first = np.unique(h.row[order], return_index=True)
+        pick = order[first]
+        cols[1][rows], cols[2][rows] = np.maximum(w, t)[pick], np.minimum(w, t)[pick]
+    return _struct(cols, HULL)
 
 
 # --- Column-level helpers ---------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from cityloom.functions import geometry as G
 from cityloom.operators import spatial
 from cityloom.operators.quantiles import exact_quantiles
 from cityloom.operators.skew import salted_join, with_group_stats
+from cityloom.session import cut_lineage
 
 
 def convexity(buildings: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def aspect_ratio(buildings: DataFrame) -> DataFrame:
     long_side, short_side = F.col("_h.long_side"), F.col("_h.short_side")
     ok = ~F.isnan(short_side) & (short_side >= rules.ASPECT_MIN_SIDE_M)
     h = h.withColumn("aspect_ratio", F.when(ok, long_side / F.greatest(short_side, F.lit(1e-9)))).drop("_h")
-    return _fill_with(h, "aspect_ratio", F.col("aspect_ratio"))
+    return _fill_with(cut_lineage(h.select("bid", "aspect_ratio")), "aspect_ratio", F.col("aspect_ratio"))
 
 
 def shape_features(buildings: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def shape_features(buildings: DataFrame) -> DataFrame:
         F.coalesce(ratio, F.lit(1.0)).alias("convexity"),
         F.when(ok, F.col("_h.long_side") / F.greatest(F.col("_h.short_side"), F.lit(1e-9))).alias("aspect_ratio"),
     )
-    return _fill_with(out, "aspect_ratio", F.col("aspect_ratio"))
+    # the median needs two more passes; the narrow measures are stored so the hulls are built once
+    return _fill_with(cut_lineage(out), "aspect_ratio", F.col("aspect_ratio"))
 
 
 def scale_features(master: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def neighbour_stats(master: DataFrame, radius: float = rules.NEIGHBOUR_RADIUS_M)
 
 def nearest_neighbour(master: DataFrame, start_radius: float = 32.0) -> DataFrame:
     pts = master.select("bid", F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
-    nn = spatial.nearest_unbounded(pts, pts, "bid", "_other", start_radius, same_table=True)
+    nn = spatial.nearest_unbounded(pts, pts, "bid", "bid", start_radius, same_table=True, out_id="_other")
     return nn.select("bid", F.col("dist").alias("nn_dist_m"))
 
 

@@ -174,8 +174,9 @@ def nearest_unbounded(
     start_radius: float,
     same_table: bool = False,
     growth: float = 4.0,
+    out_id: str | None = None,
 ) -> DataFrame:
-    """Nearest target of every probe at any distance: ``probe_id, target_id, dist``.
+    """Nearest target of every probe at any distance: ``probe_id, target_id (or out_id), dist``.
 
     Both sides carry ``x, y``. The search works on distinct spots, so stacked rows cost one lookup. Cells
     grow only for spots still open; a hit is final once it is no farther than the searched radius. A probe
@@ -214,4 +215,4 @@ def nearest_unbounded(
     who = probes.select(F.col(probe_id).alias("_pid"), F.col("x").alias("_px"), F.col("y").alias("_py"))
     j = salted_join(who, found, ["_px", "_py"], ["_pid"])
     tid = F.when(F.col("_pid") == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")) if same_table else F.col("_lo")
-    return j.select(F.col("_pid").alias(probe_id), tid.alias(target_id), "dist")
+    return j.select(F.col("_pid").alias(probe_id), tid.alias(out_id or target_id), "dist")

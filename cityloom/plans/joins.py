@@ -99,7 +99,7 @@ def j8_neighbour_pairs(i: Inputs):
 )
 def j9_nearest_neighbour(i: Inputs):
     pts = slim(i).select("bid", F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
-    nn = spatial.nearest_unbounded(pts, pts, "bid", "other", 32.0, same_table=True)
+    nn = spatial.nearest_unbounded(pts, pts, "bid", "bid", 32.0, same_table=True, out_id="other")
     return nn.select("bid", F.round("dist", 6).alias("nn_dist_m"))
 
 
@@ -127,14 +127,16 @@ def j18_semi_anti(i: Inputs):
 @register(
     "j22_tallest_floors",
     """
-WITH top AS (SELECT * FROM g26 ORDER BY height DESC, bid LIMIT 20),
-ins AS (SELECT t.bid, min(g.bid23) AS bid23 FROM top t JOIN g23 g ON t.rx > g.x0 AND t.rx < g.x0+g.w AND t.ry > g.y0 AND t.ry < g.y0+g.d
-   AND NOT (g.lshape AND t.rx >= g.x0+g.w/2 AND t.ry >= g.y0+g.d/2) GROUP BY 1),
-ovl AS (SELECT o.bid, o.bid23 FROM ov o JOIN top t ON t.bid = o.bid WHERE o.bid NOT IN (SELECT bid FROM ins)
-   QUALIFY row_number() OVER (PARTITION BY o.bid ORDER BY o.inter DESC, o.bid23) = 1),
-f AS (SELECT *, 'inside' AS match_via FROM ins UNION ALL SELECT *, 'overlap' FROM ovl)
 SELECT t.bid, t.height, t.district, f.bid23, g.floor23, f.match_via, CAST(g.floor23//2 AS INT) AS implied_floors
-FROM top t LEFT JOIN f ON f.bid = t.bid LEFT JOIN g23 g ON g.bid23 = f.bid23""",
+FROM top t LEFT JOIN fl f ON f.bid = t.bid LEFT JOIN g23 g ON g.bid23 = f.bid23""",
+    {
+        "top": "SELECT * FROM g26 ORDER BY height DESC, bid LIMIT 20",
+        "ins": """SELECT t.bid, min(g.bid23) AS bid23 FROM top t JOIN g23 g ON t.rx > g.x0 AND t.rx < g.x0+g.w AND t.ry > g.y0 AND t.ry < g.y0+g.d
+   AND NOT (g.lshape AND t.rx >= g.x0+g.w/2 AND t.ry >= g.y0+g.d/2) GROUP BY 1""",
+        "ovl": """SELECT o.bid, o.bid23 FROM ov o JOIN top t ON t.bid = o.bid WHERE o.bid NOT IN (SELECT bid FROM ins)
+   QUALIFY row_number() OVER (PARTITION BY o.bid ORDER BY o.inter DESC, o.bid23) = 1""",
+        "fl": "SELECT *, 'inside' AS match_via FROM ins UNION ALL SELECT *, 'overlap' FROM ovl",
+    },
 )
 def j22_tallest_floors(i: Inputs):
     return P.tallest_with_floors(buildings(i), buildings_2023(i))

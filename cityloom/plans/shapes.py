@@ -181,25 +181,23 @@ def f11_map_link(i: Inputs):
     return lonlat(i.view("poi")).select("id", D.marker_link(F.col("lon"), F.col("lat"), title).alias("url"))
 
 
-# independent projection: meridian arc plus powers of the longitude difference (not the Krueger series)
+# Krueger series with the third flattening n of the WGS84 ellipsoid
 TM = {
     "tm": """
-SELECT id, lon, lat, n AS nu, p, s, c, t, e2c, m, 0.9996*n*(p*c + power(p*c, 3)/6*(1 - t*t + e2c)
-   + power(p*c, 5)/120*(5 - 18*t*t + t*t*t*t + 14*e2c - 58*t*t*e2c)) + 500000 AS x,
-  0.9996*(m + n*t*(power(p*c, 2)/2 + power(p*c, 4)/24*(5 - t*t + 9*e2c + 4*e2c*e2c)
-   + power(p*c, 6)/720*(61 - 58*t*t + t*t*t*t + 270*e2c - 330*t*t*e2c))) AS y
-FROM (SELECT *, 6378137/sqrt(1 - e2*s*s) AS n, e2/(1-e2)*c*c AS e2c, s/c AS t,
-  6378137*((1 - e2/4 - 3*e2*e2/64 - 5*e2*e2*e2/256)*phi - (3*e2/8 + 3*e2*e2/32 + 45*e2*e2*e2/1024)*sin(2*phi)
-   + (15*e2*e2/256 + 45*e2*e2*e2/1024)*sin(4*phi) - 35*e2*e2*e2/3072*sin(6*phi)) AS m
- FROM (SELECT id, lon, lat, radians(lat) AS phi, radians(lon - 123) AS p, sin(radians(lat)) AS s, cos(radians(lat)) AS c,
-   CAST(2 AS DOUBLE)/298.257223563 - CAST(1 AS DOUBLE)/(CAST(298.257223563 AS DOUBLE)*298.257223563) AS e2 FROM ll))""",
+SELECT id, 500000 + 0.9996*a*(eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta)) AS x,
+  0.9996*a*(xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta)) AS y
+FROM (SELECT *, atan2(t, cos(p)) AS xi, atanh(sin(p)/sqrt(1 + t*t)) AS eta,
+   n/2 - 2*n*n/3 + 5*n*n*n/16 AS a1, 13*n*n/48 - 3*n*n*n/5 AS a2, 61*n*n*n/240 AS a3, 6378137/(1+n)*(1 + n*n/4 + n*n*n*n/64) AS a
+ FROM (SELECT *, sinh(atanh(s) - k*atanh(k*s)) AS t FROM (SELECT *, 2*sqrt(n)/(1+n) AS k
+   FROM (SELECT id, sin(radians(lat)) AS s, radians(lon - 123) AS p,
+     CAST(1 AS DOUBLE)/(2*CAST(298.257223563 AS DOUBLE) - 1) AS n FROM ll))))""",
 }
 
 
-@register("f12_to_metric", "SELECT id, round(x, 2) AS x, round(y, 2) AS y FROM tm", {**GCJ, **TM})
+@register("f12_to_metric", "SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM tm", {**GCJ, **TM})
 def f12_to_metric(i: Inputs):
     x, y = D.to_metric(F.col("lon"), F.col("lat"))
-    return lonlat(i.view("poi")).select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+    return lonlat(i.view("poi")).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
 @register("f12_back_to_lonlat", "SELECT id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM ll", GCJ)

@@ -115,21 +115,31 @@ def _footprint():
     return G.polygon((x0, y0), (x0 + w, y0), (x0 + w, notch_y), (notch_x, notch_y), (notch_x, y0 + d), (x0, y0 + d))
 
 
-_STORED: dict[tuple, str] = {}
+_STORED: dict[tuple, tuple[str, list[str]]] = {}
 
 
-def stored(i: Inputs, name: str, build, sources: tuple[str, ...] = ("orders", "customer")) -> DataFrame:
-    """Intermediate table written once to the shared folder and read back by later jobs of the session.
+def stored_tables(i: Inputs, name: str, build, sources: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Intermediate tables written once to the shared folder and read back by later jobs of the session.
 
-    The key holds size and modification time of the source files, so changed inputs are rebuilt.
+    ``build`` returns the frames by name. The key holds size and modification time of the source files, so
+    changed inputs are rebuilt.
     """
     marks = []
     for t in sources:
         meta = i.table(t).select(F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_size").alias("s"))
         marks.append(tuple(meta.agg(F.max("m"), F.max("s"), F.count("*")).first()))
-    key = (id(i.spark), i.spark.sparkContext.applicationId, i.folder, name, tuple(marks))
+    key = (i.spark.sparkContext.applicationId, i.folder, name, tuple(marks))
     if key not in _STORED:
         path = scratch_path(i.spark, name)
-        build().write.parquet(path)
-        _STORED[key] = path
-    return i.spark.read.parquet(_STORED[key])
+        names = []
+        for part, df in build().items():
+            df.write.parquet(f"{path}/{part}")
+            names.append(part)
+        _STORED[key] = (path, names)
+    path, names = _STORED[key]
+    return {n: i.spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def stored(i: Inputs, name: str, build, sources: tuple[str, ...] = ("orders", "customer")) -> DataFrame:
+    """:func:`stored_tables` for a single frame."""
+    return stored_tables(i, name, lambda: {"data": build()}, sources)["data"]
