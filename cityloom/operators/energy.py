@@ -80,7 +80,8 @@ def monthly_comparison(sim: DataFrame, obs: DataFrame) -> DataFrame:
     )
     n = F.count("sim")
     gate = F.when(n != 12, F.raise_error(F.concat(F.lit("not 12 months: "), F.first("archetype"))).cast("double"))
-    s, o = F.sum("sim"), F.sum("obs")
+    # decimal sums do not depend on the order rows arrive in
+    s, o = (F.sum(F.col(c).cast("decimal(24,6)")).cast("double") for c in ("sim", "obs"))
     year = j.groupBy("archetype").agg(
         F.lit(0).alias("month"),
         F.coalesce(gate, half_even(s, 2)).alias("sim_kwh_m2"),

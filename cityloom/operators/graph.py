@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     cur = cut_lineage(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        cur = cut_lineage(_small_star(_large_star(cur)))
+        cur = cut_lineage(_small_star(_large_star(cur)), replaces=cur)
         new = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break

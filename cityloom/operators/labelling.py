@@ -181,7 +181,7 @@ MASTER_COLUMNS = [
 
 def build_master(buildings: DataFrame, buildings_2023: DataFrame, parcels: DataFrame, poi: DataFrame) -> DataFrame:
     """Whole rule-labelling plan: floors, supertall crosswalk, parcel class, POI signals, label."""
-    shaped = G.with_shape(buildings)
+    shaped = buildings if "rep_x" in buildings.columns else G.with_shape(buildings)
     slim = shaped.drop("geom", "xmin", "ymin", "xmax", "ymax")
     floors = resolve_supertall(with_floors(slim), shaped, buildings_2023)
     parcel_rows = parcel_of(slim, parcels)

@@ -26,8 +26,10 @@ def exact_quantiles(df: DataFrame, value: Column, qs: list[float], by: list[str]
     )
 
     def bracket(i: int, q: float) -> Column:
-        lo = F.col("_min") if q - slack <= 0 else F.col("_m")[2 * i]
-        hi = F.col("_max") if q + slack >= 1 else F.col("_m")[2 * i + 1]
+        # a bracket one rank too narrow would lose the quantile, so small groups keep all their values
+        small = F.col("_n") <= 2 * ACCURACY
+        lo = F.col("_min") if q - slack <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_m")[2 * i])
+        hi = F.col("_max") if q + slack >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_m")[2 * i + 1])
         return F.struct(F.lit(float(q)).alias("q"), F.col("_n").alias("n"), lo.alias("lo"), hi.alias("hi"))
 
     brackets = sketch.select(*by, F.array(*[bracket(i, q) for i, q in enumerate(qs)]).alias("_br"))

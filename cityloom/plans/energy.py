@@ -20,7 +20,7 @@ SELECT archetype, month, round_even(cool_j/3600000/3.5::DOUBLE/1000, 3) AS cooli
     "cmp": """
 SELECT o.archetype, o.month, m.total_kwh_m2 AS sim, o.eui/100 AS obs FROM obs o JOIN mon m USING (archetype, month)""",
     "yr": """
-SELECT archetype, sum(sim) AS s, sum(obs) AS o, 100*(sum(sim)-sum(obs))/sum(obs) AS nmbe FROM cmp GROUP BY 1""",
+SELECT archetype, sum(CAST(sim AS DECIMAL(24,6)))::DOUBLE AS s, sum(CAST(obs AS DECIMAL(24,6)))::DOUBLE AS o, 100*(sum(sim)-sum(obs))/sum(obs) AS nmbe FROM cmp GROUP BY 1""",
 }
 
 
@@ -163,7 +163,7 @@ def a31_annual_pivot(i: Inputs):
 @register(
     "d7_city_energy",
     """
-SELECT g.archetype, g.bin AS height_bin, e.month, g.n, g.gfa_m2, round(g.gfa_m2*e.lights_j/3600000/1000000, 4) AS kwh FROM (
+SELECT g.archetype, g.bin AS height_bin, e.month, g.n, g.gfa_m2, g.gfa_m2*(e.lights_j/3600000/1000000) AS kwh FROM (
   SELECT archetype, CASE WHEN floors <= 3 THEN 'low' WHEN height <= 24 THEN 'multi' WHEN height <= 100 THEN 'high' ELSE 'supertall' END AS bin,
     sum(area_m2*floors) AS gfa_m2, count(*) AS n FROM master GROUP BY 1, 2) g
 JOIN (VALUES ('office', 'NO'), ('hotel', 'AF'), ('education', 'RF')) k(archetype, sim_label) ON k.archetype = g.archetype
@@ -175,7 +175,7 @@ def d7_city_energy(i: Inputs):
     bins = F.explode(F.array(*[F.lit(b) for b in rules.HEIGHT_BINS]))
     s = i.view("sim").select(F.col("archetype").alias("sim_label"), "month", (F.col("lights_j") / 3600000 / 1000000).alias("eui_kwh_m2"))
     eui = s.join(names, "sim_label").select(F.col("label").alias("archetype"), bins.alias("height_bin"), "month", "eui_kwh_m2")
-    return E.city_energy(master(i), eui).withColumn("kwh", F.round("kwh", 4))
+    return E.city_energy(master(i), eui)
 
 
 EPD = {

@@ -10,17 +10,37 @@ from cityloom.sources import tables as S
 from cityloom.sources.views import Inputs, stored
 
 
-def buildings(i: Inputs) -> DataFrame:
+PREP_CELL_M = 500.0
+
+
+def _spatial_order(df: DataFrame, key: str) -> DataFrame:
+    """Rows near each other end up in the same file. The key is part of the range order, so even a single
+    crowded cell is split over several partitions."""
+    cell = [F.floor(F.col("rep_y") / PREP_CELL_M).alias("_cy"), F.floor(F.col("rep_x") / PREP_CELL_M).alias("_cx")]
+    ranged = df.select("*", *cell).repartitionByRange("_cy", "_cx", key)
+    return ranged.sortWithinPartitions("_cy", "_cx", key).drop("_cy", "_cx")
+
+
+def shaped(i: Inputs) -> DataFrame:
+    """2026 footprints with their measures, computed from the source."""
     return G.with_shape(i.buildings())
 
 
+def buildings(i: Inputs) -> DataFrame:
+    """The prepared footprint table: outlines, measures and interior points, stored once."""
+    return stored(i, "footprints", lambda: _spatial_order(shaped(i), "bid"), ("orders",))
+
+
 def slim(i: Inputs) -> DataFrame:
     """Building measures without the outlines."""
     return buildings(i).drop("geom", *G.MEASURES[2:6])
 
 
 def buildings_2023(i: Inputs) -> DataFrame:
-    return S.scan_buildings_2023(G.with_shape(i.buildings_2023()))
+    def build() -> DataFrame:
+        return _spatial_order(S.scan_buildings_2023(G.with_shape(i.buildings_2023())), "bid23")
+
+    return stored(i, "footprints-2023", build, ("orders",))
 
 
 def parcels(i: Inputs) -> DataFrame:
@@ -28,7 +48,7 @@ def parcels(i: Inputs) -> DataFrame:
 
 
 def build_master(i: Inputs) -> DataFrame:
-    return L.build_master(i.buildings(), buildings_2023(i), parcels(i), i.view("poi"))
+    return L.build_master(buildings(i), buildings_2023(i), parcels(i), i.view("poi"))
 
 
 def master(i: Inputs) -> DataFrame:

@@ -42,7 +42,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage, so loops keep short plans and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Store ``df`` as a table in the shared folder and read it back.
+
+    Loops keep short plans and survive lost executors; unlike a checkpointed plan, the table also has real
+    size statistics, so estimates do not multiply from round to round. The table behind ``replaces`` (an
+    earlier round that nothing reads any more) is removed.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    if replaces is not None:
+        for old in {f.rsplit("/", 1)[0] for f in replaces.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(old)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return spark.read.schema(df.schema).parquet(path)
