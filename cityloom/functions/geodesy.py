@@ -125,11 +125,18 @@ def wgs84_to_gcj02(lon: Column, lat: Column, passthrough: bool = True) -> tuple[
 
 def gcj02_to_wgs84(lon: Column, lat: Column, steps: int = 1) -> tuple[Column, Column]:
     """GCJ-02 back to WGS84: one correction step, or more for a tighter inverse."""
-    wlon, wlat = lon, lat
-    for _ in range(steps):
-        glon, glat = wgs84_to_gcj02(wlon, wlat, passthrough=False)
-        wlon, wlat = wlon + lon - glon, wlat + lat - glat
-    return wlon, wlat
+    if steps == 1:
+        glon, glat = wgs84_to_gcj02(lon, lat, passthrough=False)
+        return lon + lon - glon, lat + lat - glat
+
+    def refine(acc: Column, _: Column) -> Column:
+        glon, glat = wgs84_to_gcj02(acc.lon, acc.lat, passthrough=False)
+        return F.struct((acc.lon + lon - glon).alias("lon"), (acc.lat + lat - glat).alias("lat"))
+
+    # a fold binds the running point once per step; nested expressions would double in size each time
+    start = F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, refine)
+    return out.lon, out.lat
 
 
 def gcj02_to_bd09(lon: Column, lat: Column) -> tuple[Column, Column]:
