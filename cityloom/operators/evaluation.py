@@ -73,6 +73,11 @@ def class_metrics(pred: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
+def _exact_mean(c: Column) -> Column:
+    """Mean over decimals: the same digits whatever order the rows arrive in."""
+    return F.avg(c.cast("decimal(20,10)")).cast("double")
+
+
 def confidence_histogram(pred: DataFrame) -> DataFrame:
     """Rows per 0.1 confidence bin (last bin closed), empty bins included, with their share."""
     edges = rules.CONFIDENCE_EDGES
@@ -85,7 +90,7 @@ def confidence_histogram(pred: DataFrame) -> DataFrame:
 
 
 def confidence_by_class(pred: DataFrame) -> DataFrame:
-    s = pred.groupBy("pred_class").agg(F.count(F.lit(1)).alias("n"), half_even(F.avg("pred_confidence"), 3).alias("mean_confidence"))
+    s = pred.groupBy("pred_class").agg(F.count(F.lit(1)).alias("n"), half_even(_exact_mean(F.col("pred_confidence")), 3).alias("mean_confidence"))
     med = exact_quantiles(pred, F.col("pred_confidence"), [0.5], ["pred_class"])
     return s.join(med.select("pred_class", half_even(F.col("value"), 3).alias("median_confidence")), "pred_class")
 
@@ -97,7 +102,7 @@ def scope_diagnostics(pred: DataFrame, scopes: dict[str, Column], labels: list[s
     shares = [half_even(100 * F.avg((F.col("pred_class") == x).cast("double")), 1).alias(f"share_{x}_pct") for x in labels]
     s = d.groupBy("scope").agg(
         F.count(F.lit(1)).alias("n"),
-        half_even(F.avg("pred_confidence"), 3).alias("conf_mean"),
+        half_even(_exact_mean(F.col("pred_confidence")), 3).alias("conf_mean"),
         half_even(100 * F.avg(F.col("euluc_out").cast("double")), 1).alias("euluc_out_share_pct"),
         *shares,
     )

@@ -229,7 +229,7 @@ def a25_confidence_histogram(i: Inputs):
 
 @register(
     "a26_confidence_by_class",
-    """SELECT pred_class, count(*) AS n, round_even(avg(pred_confidence), 3) AS mean_confidence, round_even(quantile_cont(pred_confidence, 0.5), 3) AS median_confidence
+    """SELECT pred_class, count(*) AS n, round_even(avg(CAST(pred_confidence AS DECIMAL(20,10))), 3) AS mean_confidence, round_even(quantile_cont(pred_confidence, 0.5), 3) AS median_confidence
 FROM pred GROUP BY 1""",
     PRED,
 )
@@ -240,7 +240,7 @@ def a26_confidence_by_class(i: Inputs):
 @register(
     "a27_scope_diagnostics",
     """
-SELECT s.scope, count(*) AS n, round_even(avg(pred_confidence), 3) AS conf_mean, round_even(quantile_cont(pred_confidence, 0.5), 3) AS conf_median,
+SELECT s.scope, count(*) AS n, round_even(avg(CAST(pred_confidence AS DECIMAL(20,10))), 3) AS conf_mean, round_even(quantile_cont(pred_confidence, 0.5), 3) AS conf_median,
  round_even(100*avg(euluc_out::INT), 1) AS euluc_out_share_pct, """
     + ", ".join(f"round_even(100*avg((pred_class = '{x}')::INT), 1) AS share_{x}_pct" for x in SHARES)
     + """ FROM pred JOIN (VALUES ('citywide'), ('west'), ('south')) s(scope) ON s.scope = 'citywide' OR (s.scope = 'west' AND rx <= 600) OR (s.scope = 'south' AND ry <= 200)
