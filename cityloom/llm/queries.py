@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import substring
+from cityloom.llm import neardup, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,9 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring.remove_repeats(_table(spark, folder, "documents"), with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query("op8_minhash_neardup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    classes = neardup.duplicate_classes(_table(spark, folder, "documents"))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -150,3 +150,14 @@ def windows(words: Words, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray
         h += words.hash[j : j + n]
     at = np.flatnonzero(words.doc[:n] == words.doc[k - 1 : k - 1 + n])
     return at, mix(h[at])
+
+
+def digests(words: Words, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have words, and a 64-bit hash of the word sequence of each."""
+    size = np.diff(words.first)
+    doc = np.flatnonzero(size)
+    if not len(doc):
+        return doc, np.zeros(0, np.uint64)
+    place = np.arange(len(words.hash)) - words.first[words.doc]
+    sums = np.add.reduceat(words.hash * powers(int(size.max()), base)[place], words.first[doc])
+    return doc, mix(sums + size[doc].astype(np.uint64))
