@@ -39,16 +39,14 @@ def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _packed(doc: np.ndarray, ref: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its positions as packed 32-bit integers."""
-    order = np.lexsort((ref, doc))
-    doc, ref, at = doc[order], ref[order], at[order].astype(np.int32)
-    head = np.flatnonzero(_first_of_runs(doc, ref))
-    tail = np.append(head[1:], len(doc))
-    rows = [at[a:b].tobytes() for a, b in zip(head, tail, strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[head]), pa.array(ref[head]), pa.array(rows, pa.binary())], names=["doc", "ref", "at"]
-    )
+def _places(doc: np.ndarray, ref: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ref), pa.array(at.astype(np.int32))], names=["doc", "ref", "at"])
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list column as integer arrays; a null list is empty."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _anchor_rows(anchor: int, period: int, cover: tuple[int, ...]):
@@ -99,7 +97,7 @@ def _columns(batches, *names: str) -> list[np.ndarray]:
 
 
 def _repeated_anchors(batches):
-    """A partition of anchors: those found more than once, as positions packed by document."""
+    """A partition of anchors: the places of those found more than once."""
     h, again, doc, ref, place = _columns(batches, "h", "again", "doc", "ref", "place")
     if not len(h):
         return
@@ -111,7 +109,7 @@ def _repeated_anchors(batches):
     known = np.bincount(group, weights=again) > 0
     keep = again | (size[group] > 1) | known[group]
     if keep.any():
-        yield _packed(doc[keep], ref[keep], place[keep])
+        yield _places(doc[keep], ref[keep], place[keep])
 
 
 def _window_rows(window: int, anchor: int):
@@ -120,13 +118,13 @@ def _window_rows(window: int, anchor: int):
     def run(batches):
         for batch in batches:
             doc_ids, refs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            marks = batch.column(3).to_pylist()
+            marks = _lists(batch.column(3))
             found = []
             for lo, hi, buf, at in textkit.blocks(batch.column(2)):
                 words = textkit.scan(buf, at, textkit.PLAIN)
                 near = np.zeros(len(words.hash) + 1, np.int32)
                 for row in range(lo, hi):
-                    places = np.frombuffer(b"".join(marks[row]), np.int32).astype(np.int64)
+                    places = marks[row]
                     base = words.first[row - lo]
                     np.add.at(near, np.maximum(places + anchor - window, 0) + base, 1)
                     np.add.at(near, places + 1 + base, -1)
@@ -164,7 +162,7 @@ def _window_rows(window: int, anchor: int):
 
 
 def _later_windows(batches):
-    """A partition of windows: all but the earliest of each hash, as starts packed by document."""
+    """A partition of windows: the places of all but the earliest of each hash."""
     h, head, doc, ref, start = _columns(batches, "h", "head", "doc", "ref", "start")
     if not len(h):
         return
@@ -180,7 +178,7 @@ def _later_windows(batches):
         gone.append((doc[later], ref[later], start[later]))
     doc, ref, start = (np.concatenate(x) for x in zip(*gone, strict=True))
     if len(doc):
-        yield _packed(doc, ref, start)
+        yield _places(doc, ref, start)
 
 
 def _settle(names: list[str], text: str, window: int, with_text: bool):
@@ -191,7 +189,7 @@ def _settle(names: list[str], text: str, window: int, with_text: bool):
 
     def run(batches):
         for batch in batches:
-            values, marks = batch.column(text).to_pylist(), batch.column("__marks").to_pylist()
+            values, marks = batch.column(text).to_pylist(), _lists(batch.column("__marks"))
             later = batch.column("__at").is_valid().to_pylist() if "__at" in batch.schema.names else [False] * len(values)
             n_words, n_removed, digest = [], [], []
             for row, value in enumerate(values):
@@ -200,9 +198,9 @@ def _settle(names: list[str], text: str, window: int, with_text: bool):
                     continue
                 words = (value or "").encode().split()
                 n_words.append(len(words))
-                if marks[row]:
+                starts = marks[row]
+                if len(starts):
                     step = np.zeros(len(words) + 1, np.int32)
-                    starts = np.frombuffer(b"".join(marks[row]), np.int32)
                     np.add.at(step, starts, 1)
                     np.add.at(step, starts + window, -1)
                     left = [words[k] for k in np.flatnonzero(np.cumsum(step[:-1]) <= 0)]
@@ -263,7 +261,7 @@ def remove_repeats(
         "key long, h long, again boolean, doc long, ref long, place int",
     )
     hits = table(
-        anchors.repartition("key").mapInArrow(_repeated_anchors, "doc long, ref long, at binary"), "anchors"
+        anchors.repartition("key").mapInArrow(_repeated_anchors, "doc long, ref long, at int"), "anchors"
     )
     near = hits.groupBy("doc", "ref").agg(F.collect_list("at").alias("__at"))
     on = (F.col("__doc") == F.col("doc")) & (F.col("__ref") == F.col("ref"))
@@ -271,7 +269,7 @@ def remove_repeats(
     result = T.StructType([*docs.schema.fields, *extra])
     judged = keyed.join(near, on, "left").drop("doc", "ref")
     held = T.StructType([*judged.schema.fields, *extra])
-    nothing = F.lit(None).cast("array<binary>")
+    nothing = F.lit(None).cast("array<int>")
     # texts without a repeated anchor are settled in the same pass and do not travel again
     judged = table(
         judged.withColumn("__marks", nothing).mapInArrow(_settle(held.fieldNames(), text, window, with_text), held), "anchored"
@@ -280,7 +278,7 @@ def remove_repeats(
     rows = open_.select("__doc", "__ref", text, "__at").mapInArrow(
         _window_rows(window, anchor), "key long, h long, head boolean, doc long, ref long, start int"
     )
-    later = table(rows.repartition("key").mapInArrow(_later_windows, "doc long, ref long, at binary"), "windows")
+    later = table(rows.repartition("key").mapInArrow(_later_windows, "doc long, ref long, at int"), "windows")
     marks = later.groupBy("doc", "ref").agg(F.collect_list("at").alias("__marks"))
     hit = open_.select("__doc", "__ref", *docs.columns).join(marks, on, "left").drop("doc", "ref", "__doc", "__ref")
     hit = hit.mapInArrow(_settle(result.fieldNames(), text, window, with_text), result)
