@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import decontaminate, neardup, substring
+from cityloom.llm import decontaminate, neardup, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@_query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(_table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @_query(
     "op4_substring_dedup",
     r"""
