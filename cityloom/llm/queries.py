@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import decontaminate, neardup, substring, tokencount
+from cityloom.llm import decontaminate, neardup, substring, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("item_list", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+def _held_out(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string")) % 3 == 1
+
+
+@_query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs.where(~_held_out()), _table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
