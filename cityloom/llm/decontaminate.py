@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cityloom.llm import textkit
-from cityloom.llm.storage import table
+from cityloom.llm.storage import ship, table
 
 WINDOW = 13
 BLOCK_ITEMS = 20_000
@@ -200,6 +200,7 @@ def report(
     texts have no words and no hits; null or empty items, and items without an id, match nothing. Without items nothing is
     hit. Equal rows give one result row; rows that share an id but not the text are judged apart.
     """
+    ship(docs.sparkSession)
     source = docs.select(*(v.alias(k) for k, v in _keyed(docs, doc_id, text).items()), F.col(text).alias("text"))
     wins = item_windows(items, item_id, item_text, window)
     n_blocks = -(-items.select(item_id).distinct().count() // block_items) or 1

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cityloom.llm import textkit
-from cityloom.llm.storage import table
+from cityloom.llm.storage import ship, table
 
 WINDOW = 20
 PERIOD = 13
@@ -248,6 +248,7 @@ def remove_repeats(
     if not is_cover(period, cover) or window <= period:
         raise ValueError("cover must be a difference cover of a period below the window")
     anchor = window - period + 1
+    ship(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     keyed = docs.withColumns(
         {

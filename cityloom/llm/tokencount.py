@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import pre_tokenizers
 
 from cityloom.llm import textkit
+from cityloom.llm.storage import ship
 
 OVER = 1024
 CHUNK = 64
@@ -368,5 +369,6 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                     [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
                 )
 
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
