@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import decontaminate, neardup, substring, tokencount, toxicity, warc
+from cityloom.llm import decontaminate, langid, neardup, substring, tokencount, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _held_out(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string")) % 3 == 1
+
+
+@_query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = langid.fit(docs.where(~_held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @_query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -88,10 +100,6 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _held_out(column: str = "doc_id"):
-    return F.crc32(F.col(column).cast("string")) % 3 == 1
-
-
 @_query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
