@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import decontaminate, langid, neardup, substring, tokencount, toxicity, warc
+from cityloom.llm import decontaminate, langid, mixing, neardup, substring, tokencount, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+@_query("op6_source_mix")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = mixing.measure(_table(spark, folder, "documents")).select("doc_id", "source", "size")
+    return mixing.draw(sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query(
     "op7_decontamination",
     r"""
