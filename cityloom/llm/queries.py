@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import decontaminate, langid, mixing, neardup, substring, tokencount, toxicity, warc
+from cityloom.llm import decontaminate, langid, mixing, neardup, substring, tokencount, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,12 @@ def _held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 3 == 1
 
 
+@_query("op1_url_filter")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urlfilter.filter_urls(_table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @_query("op2_language_id")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
