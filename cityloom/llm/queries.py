@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityloom.llm import decontaminate, langid, mixing, neardup, substring, tokencount, toxicity, urlfilter, warc
+from cityloom.llm import decontaminate, langid, mixing, neardup, quality, substring, tokencount, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+@_query("op5_quality_rules")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, _table(spark, folder, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 @_query("op6_source_mix")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     sizes = mixing.measure(_table(spark, folder, "documents")).select("doc_id", "source", "size")
