@@ -225,6 +225,10 @@ def _settle(names: list[str], text: str, window: int, with_text: bool):
     return run
 
 
+def _by_document(places: DataFrame, name: str) -> DataFrame:
+    return places.groupBy(F.col("doc").alias("__doc"), F.col("ref").alias("__ref")).agg(F.collect_list("at").alias(name))
+
+
 def remove_repeats(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -264,11 +268,11 @@ def remove_repeats(
     hits = table(
         anchors.repartition("key").mapInArrow(_repeated_anchors, "doc long, ref long, at int"), "anchors"
     )
-    near = hits.groupBy("doc", "ref").agg(F.collect_list("at").alias("__at"))
-    on = (F.col("__doc") == F.col("doc")) & (F.col("__ref") == F.col("ref"))
+    near = _by_document(hits, "__at")
+    key = ["__doc", "__ref"]
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     result = T.StructType([*docs.schema.fields, *extra])
-    judged = keyed.join(near, on, "left").drop("doc", "ref")
+    judged = keyed.join(near, key, "left")
     held = T.StructType([*judged.schema.fields, *extra])
     nothing = F.lit(None).cast("array<int>")
     # texts without a repeated anchor are settled in the same pass and do not travel again
@@ -280,7 +284,7 @@ def remove_repeats(
         _window_rows(window, anchor), "key long, h long, head boolean, doc long, ref long, start int"
     )
     later = table(rows.repartition("key").mapInArrow(_later_windows, "doc long, ref long, at int"), "windows")
-    marks = later.groupBy("doc", "ref").agg(F.collect_list("at").alias("__marks"))
-    hit = open_.select("__doc", "__ref", *docs.columns).join(marks, on, "left").drop("doc", "ref", "__doc", "__ref")
+    marks = _by_document(later, "__marks")
+    hit = open_.select(*key, *docs.columns).join(marks, key, "left").drop(*key)
     hit = hit.mapInArrow(_settle(result.fieldNames(), text, window, with_text), result)
     return judged.where(F.col("__at").isNull()).select(*result.fieldNames()).unionByName(hit)
