@@ -148,16 +148,18 @@ def height_bin(floors: Column, height: Column) -> Column:
         F.when(floors <= 3, F.lit("low"))
         .when(height <= 24, F.lit("multi"))
         .when(height <= 100, F.lit("high"))
-        .otherwise(F.lit("supertall"))
+        .when(height > 100, F.lit("supertall"))
+        .otherwise(F.lit("unknown"))
     )
 
 
 def city_energy(buildings: DataFrame, eui: DataFrame) -> DataFrame:
     """City kWh per label, bin and month. Floor area is summed per (label, bin) first, so the energy table is
-    joined to a few dozen totals instead of every building."""
+    joined to a few dozen totals instead of every building. Labels without energy figures stay as one row per bin with null
+    month and kWh; buildings without floors or area are counted in ``n`` and add no floor area."""
     b = buildings.withColumn("height_bin", height_bin(F.col("floors"), F.col("height")))
-    gfa = b.groupBy("archetype", "height_bin").agg(F.sum(F.col("area_m2") * F.col("floors")).alias("gfa_m2"), F.count(F.lit(1)).alias("n"))
-    j = gfa.join(eui, ["archetype", "height_bin"])
+    gfa = b.groupBy("archetype", "height_bin").agg(F.coalesce(F.sum(F.col("area_m2") * F.col("floors")), F.lit(0.0)).alias("gfa_m2"), F.count(F.lit(1)).alias("n"))
+    j = gfa.join(eui, ["archetype", "height_bin"], "left")
     return j.select("archetype", "height_bin", "month", "n", "gfa_m2", (F.col("gfa_m2") * F.col("eui_kwh_m2")).alias("kwh"))
 
 
@@ -175,12 +177,14 @@ def normalised_factors(epd: DataFrame, excluded: list[str]) -> DataFrame:
     return epd.join(F.broadcast(drop), "category", "left_anti").withColumn("gwp_per_kg", per_kg)
 
 
-def end_of_life_stage(category: Column) -> Column:
-    """Stage by material word; masonry blocks of concrete are balanced at C3."""
-    out = F.lit(None).cast("string")
-    for word, stage in reversed(list(rules.EOL_STAGE.items())):
-        out = F.when(F.lower(category).contains(word), F.lit(stage)).otherwise(out)
-    return F.when(F.lower(category).contains("cmu"), F.lit("C3-balancing")).otherwise(out)
+def end_of_life_stage(product: Column, category: Column) -> Column:
+    """Stage whose end-of-life factor a product carries, by the first material word in its name, else in its category."""
+
+    def of(text: Column) -> Column:
+        low = F.lower(text)
+        return F.coalesce(*[F.when(low.contains(word), F.lit(stage)) for word, stage in rules.EOL_STAGE])
+
+    return F.coalesce(of(product), of(category))
 
 
 def factor_stats(factors: DataFrame) -> DataFrame:

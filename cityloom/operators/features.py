@@ -141,6 +141,10 @@ NUMERIC = [
 ]
 
 
+#: a category column with more codes than this is not a codebook
+MAX_CODES = 10_000
+
+
 def one_hot(df: DataFrame, column: str, prefix: str, codes: list[int]) -> tuple[DataFrame, list[str]]:
     """0/1 columns per code plus one for missing values."""
     cols = {f"{prefix}_{c}": F.coalesce((F.col(column) == c).cast("double"), F.lit(0.0)) for c in codes}
@@ -148,9 +152,12 @@ def one_hot(df: DataFrame, column: str, prefix: str, codes: list[int]) -> tuple[
     return df.withColumns(cols), list(cols)
 
 
-def distinct_codes(df: DataFrame, column: str) -> list[int]:
-    """Category codes present in the data; the codebooks have 11 and 14 entries."""
-    return sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(1000).collect())
+def distinct_codes(df: DataFrame, column: str, most: int = MAX_CODES) -> list:
+    """All category codes present in the data, at most ``most`` (the codebooks have 11 and 14 entries); more stop the job."""
+    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} codes")
+    return sorted(r[0] for r in rows)
 
 
 def feature_table(master: DataFrame, buildings: DataFrame, parcels: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cityloom import rules
 from cityloom.operators import labelling as L
+from cityloom.operators.features import distinct_codes
 from cityloom.operators.skew import union_all
 from cityloom.session import cut_lineage
 from cityloom.sources.tables import lookup
@@ -88,7 +89,8 @@ def predict(model: RandomForestClassificationModel, rows: DataFrame, labels: lis
 
 
 def class_labels(train: DataFrame) -> list[str]:
-    return sorted(r[0] for r in train.select("truth_arch").distinct().limit(1000).collect())
+    """All class labels of the training rows; more than a codebook can hold stop the job."""
+    return distinct_codes(train, "truth_arch")
 
 
 def out_of_fold(train: DataFrame, labels: list[str], n_folds: int = rules.CV_FOLDS, trees: int = rules.MODEL_TREES,

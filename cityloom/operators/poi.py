@@ -119,15 +119,22 @@ def clean_token(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, NAME_STRIP, ""))
 
 
+def name_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
+    """Usable tokens of a name after its stop words are gone: a list, empty when nothing usable is left."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(F.regexp_replace(text, NAME_STRIP, " "), F.lit("")), F.lit(f"({pattern})"), F.lit(1)))
+
+
 def token_matches(points: DataFrame, poi: DataFrame, token: str, radius: float, keep: int = 3) -> DataFrame:
-    """POIs within ``radius`` whose name holds the point's token: number near, number matching, first few ids.
+    """POIs within ``radius`` whose name holds one of the point's tokens: number near, number matching, first few ids.
+
+    ``token`` is a list column, see :func:`name_tokens`; a point without a token matches nothing.
 
     Counts and the lowest ids are map-side combined; no per-point list is built.
     """
     left = points.select("val_id", F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col(token).alias("_tok"))
     right = poi.select("id", "name", F.col("x").alias("q_x"), F.col("y").alias("q_y"))
     near = spatial.radius_pairs(left, right, radius, ("p_x", "p_y"), ("q_x", "q_y"), "val_id")
-    hit = F.col("name").contains(F.col("_tok"))
+    hit = F.coalesce(F.exists("_tok", lambda t: (t != "") & F.col("name").contains(t)), F.lit(False))
     counts = near.groupBy("val_id").agg(F.count(F.lit(1)).alias("n_near"), F.count_if(hit).alias("n_match"))
     from pyspark.sql import Window
 

@@ -9,7 +9,7 @@ from cityloom.operators.quantiles import exact_quantiles
 from cityloom.sources.tables import lookup
 
 
-def qc_report(df: DataFrame, value: str, tail_from: int, expected: dict[str, float]) -> DataFrame:
+def qc_report(df: DataFrame, value: str, tail_above: int, expected: dict[str, float]) -> DataFrame:
     """Checks of one numeric text or number column against expected values (null: reported only)."""
     v = F.expr(f"try_cast({value} AS DOUBLE)")
     d = df.select(v.alias("v"))
@@ -22,7 +22,7 @@ def qc_report(df: DataFrame, value: str, tail_from: int, expected: dict[str, flo
         F.count_if(F.col("v") <= 0).cast("double").alias("not_positive"),
         F.count_if(F.col("v") != F.rint("v")).cast("double").alias("not_integer"),
         F.count_if(F.col("v") % 2 == 1).cast("double").alias("odd"),
-        F.count_if(F.col("v") >= tail_from).cast("double").alias("tail_rows"),
+        F.count_if(F.col("v") > tail_above).cast("double").alias("tail_rows"),
     )
     rows = F.array(
         *[

@@ -60,7 +60,8 @@ def tile_extremes(px: DataFrame) -> DataFrame:
 def focal_max(landmarks: DataFrame, px: DataFrame) -> DataFrame:
     """Largest pixel in the 3x3 window at each landmark and how far it falls short of the true height.
 
-    ``landmarks``: ``name, col, prow, true_h``. Nine equi-join keys per landmark; NaN is ignored.
+    ``landmarks``: ``name, col, prow, true_h``. Nine equi-join keys per landmark; NaN is ignored. A landmark whose
+    window has no valid pixel stays, with null results.
     """
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     want = (
@@ -69,7 +70,7 @@ def focal_max(landmarks: DataFrame, px: DataFrame) -> DataFrame:
         .select("name", "true_h", (F.col("col") + F.col("_dc")).alias("col"), (F.col("prow") + F.col("_dr")).alias("prow"))
     )
     seen = px.where(F.col("h").isNotNull() & ~F.isnan("h")).select("col", "prow", "h")
-    m = want.join(seen, ["col", "prow"]).groupBy("name", "true_h").agg(F.max("h").alias("window_max"))
+    m = want.join(seen, ["col", "prow"], "left").groupBy("name", "true_h").agg(F.max("h").alias("window_max"))
     return m.withColumns(
         {"short_m": F.col("true_h") - F.col("window_max"), "short_pct": 100 * (1 - F.col("window_max") / F.col("true_h"))}
     )

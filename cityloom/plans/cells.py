@@ -121,7 +121,7 @@ def j12_nearest_mall(i: Inputs):
 
 @register(
     "j14_two_source_check",
-    "SELECT val_id, round(m.dist, 6) AS mall_dist, round(s.dist, 6) AS shop_dist, m.dist <= 150 OR s.dist <= 100 AS hit FROM md m JOIN sd s USING (val_id)",
+    "SELECT val_id, round(m.dist, 6) AS mall_dist, round(s.dist, 6) AS shop_dist, coalesce(m.dist, 9e9) <= 150 OR coalesce(s.dist, 9e9) <= 100 AS hit FROM tm LEFT JOIN md m USING (val_id) LEFT JOIN sd s USING (val_id)",
     KIND,
 )
 def j14_two_source_check(i: Inputs):
@@ -129,21 +129,22 @@ def j14_two_source_check(i: Inputs):
     poi = i.view("poi")
     m = P.nearest_of_kind(malls, poi, "mall").select("val_id", F.col("dist").alias("m"))
     s = P.nearest_of_code(malls, poi, "06").select("val_id", F.col("dist").alias("s"))
-    hit = (F.col("m") <= 150) | (F.col("s") <= 100)
-    return m.join(s, "val_id").select("val_id", F.round("m", 6).alias("mall_dist"), F.round("s", 6).alias("shop_dist"), hit.alias("hit"))
+    near = lambda c, most: F.coalesce(F.col(c) <= most, F.lit(False))  # noqa: E731  no POI of a source: not near
+    hit = near("m", 150) | near("s", 100)
+    return malls.select("val_id").join(m, "val_id", "left").join(s, "val_id", "left").select("val_id", F.round("m", 6).alias("mall_dist"), F.round("s", 6).alias("shop_dist"), hit.alias("hit"))
 
 
 TOKENS = {
-    "tk": """SELECT val_id, x, y, CASE archetype WHEN 'office' THEN 'BUILDING' WHEN 'education' THEN 'MACHINERY' WHEN 'culture' THEN 'HOUSEHOLD' ELSE 'AUTO' END AS tok FROM truth""",
-    "nr": """SELECT t.val_id, p.id, contains(p.name, t.tok) AS m FROM (SELECT *, CAST(floor(x/500) AS INT) AS cx FROM tk) t JOIN (SELECT *, CAST(floor(x/500) AS INT) + d AS cx FROM poi, (VALUES (-1), (0), (1)) u(d)) p
+    "tk": """SELECT val_id, x, y, CASE archetype WHEN 'office' THEN 'BUILDING' WHEN 'education' THEN 'MACHINERY' WHEN 'culture' THEN 'HOUSEHOLD' ELSE CASE WHEN val_id % 5 = 0 THEN NULL ELSE 'AUTO' END END AS tok FROM truth""",
+    "nr": """SELECT t.val_id, p.id, coalesce(contains(p.name, t.tok), false) AS m FROM (SELECT *, CAST(floor(x/500) AS INT) AS cx FROM tk) t JOIN (SELECT *, CAST(floor(x/500) AS INT) + d AS cx FROM poi, (VALUES (-1), (0), (1)) u(d)) p
  ON t.cx = p.cx AND sqrt((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) <= 500""",
 }
 
 
 def _tokens(i: Inputs):
     a = F.col("archetype")
-    tok = F.when(a == "office", "BUILDING").when(a == "education", "MACHINERY").when(a == "culture", "HOUSEHOLD").otherwise("AUTO")
-    return i.view("truth").withColumn("tok", P.clean_token(tok))
+    tok = F.when(a == "office", "BUILDING").when(a == "education", "MACHINERY").when(a == "culture", "HOUSEHOLD").when(F.col("val_id") % 5 == 0, "广场").otherwise("AUTO")
+    return i.view("truth").withColumn("tok", P.name_tokens(tok, "[A-Z]{2,}"))
 
 
 @register(
@@ -268,7 +269,7 @@ def p4_tile_extremes(i: Inputs):
     "p5_focal_max",
     """SELECT c.c_custkey AS name, (400 + c.c_custkey % 50)::DOUBLE AS true_h, max(px.h) AS window_max, round(400 + c.c_custkey % 50 - max(px.h), 6) AS short_m,
  round(100*(1 - max(px.h)/(400 + c.c_custkey % 50)), 6) AS short_pct
-FROM customer c JOIN px ON abs(px.col - c.c_custkey % 100) <= 1 AND abs(px.prow - c.c_custkey//100) <= 1 AND px.h IS NOT NULL GROUP BY c.c_custkey""",
+FROM customer c LEFT JOIN px ON abs(px.col - c.c_custkey % 100) <= 1 AND abs(px.prow - c.c_custkey//100) <= 1 AND px.h IS NOT NULL GROUP BY c.c_custkey""",
 )
 def p5_focal_max(i: Inputs):
     k = F.col("c_custkey")

@@ -18,13 +18,15 @@ from cityloom.sources.views import Inputs
 
 @register("s1_building_scan", "SELECT bid, height, area_m2 FROM g26")
 def s1_building_scan(i: Inputs):
-    raw = buildings(i).select("bid", F.col("height").cast("string").alias("height"), F.col("area_m2").alias("Area"), F.lit(4326).alias("srid"))
+    raw = buildings(i).select("bid", F.concat(F.col("height").cast("string"), F.when(F.col("bid") % 2 == 0, ".0").otherwise("")).alias("height"), F.col("area_m2").alias("Area"), F.lit(4326).alias("srid"))
     return S.scan_buildings(S.require_srid(raw), ["bid", "height", "area_m2"])
 
 
 @register("s2_floor_scan", "SELECT bid AS bid23, CAST(FLOOR AS INT) AS floor23, CAST(CAST(FLOOR AS INT)//2 AS INT) AS floors_2023 FROM b23")
 def s2_floor_scan(i: Inputs):
-    return S.scan_buildings_2023(i.view("b23").withColumnRenamed("bid", "bid23")).select("bid23", "floor23", "floors_2023")
+    """Every third floor code is written with a decimal point."""
+    raw = i.view("b23").withColumn("FLOOR", F.concat("FLOOR", F.when(F.col("bid") % 3 == 0, ".0").otherwise("")))
+    return S.scan_buildings_2023(raw.withColumnRenamed("bid", "bid23")).select("bid23", "floor23", "floors_2023")
 
 
 @register("s3_height_scan", "SELECT bid, height FROM b26")
@@ -102,12 +104,13 @@ def s9_poi_union(i: Inputs):
     """CSV-style main source and JSON-style extra source; the extra one repeats every third id."""
     poi = lonlat(i.view("poi")).select(
         F.col("id").cast("string").alias("id"), "name", "typecode", F.col("lon").alias("wgs_lng"), F.col("lat").alias("wgs_lat"),
-        (F.col("id") % 3).alias("k"),
+        (F.col("id") % 3).alias("k"), F.lit(0).alias("ord"),
     )
+    poi = poi.unionByName(poi.where("id % 7 = 0").withColumns({"name": F.lit("again"), "ord": F.lit(1)}))
     path = scratch_path(i.spark, "poi-extra")
     extra = poi.where("k <> 1").withColumn("name", F.when(F.col("k") == 0, F.lit("other name")).otherwise(F.col("name")))
     extra.drop("k").write.json(path)
-    schema = "id string, name string, typecode string, wgs_lng double, wgs_lat double"
+    schema = "id string, name string, typecode string, wgs_lng double, wgs_lat double, ord int"
     return S.union_poi(poi.where("k <> 2").drop("k"), i.spark.read.schema(schema).json(path))
 
 
@@ -251,7 +254,7 @@ SELECT u.check, u.actual, CASE u.check WHEN 'rows' THEN CAST(412099 AS DOUBLE) W
  CASE u.check WHEN 'rows' THEN u.actual = 412099 WHEN 'odd' THEN u.actual = 0 ELSE true END AS ok
 FROM (SELECT unnest(['rows', 'min', 'max', 'median', 'nulls', 'not_positive', 'not_integer', 'odd', 'tail_rows']) AS check,
   unnest([CAST(count(*) AS DOUBLE), min(v), max(v), quantile_cont(v, 0.5), CAST(count(*) FILTER (v IS NULL) AS DOUBLE), CAST(count(*) FILTER (v <= 0) AS DOUBLE),
-   CAST(count(*) FILTER (v <> round(v)) AS DOUBLE), CAST(count(*) FILTER (v % 2 = 1) AS DOUBLE), CAST(count(*) FILTER (v >= 130) AS DOUBLE)]) AS actual
+   CAST(count(*) FILTER (v <> round(v)) AS DOUBLE), CAST(count(*) FILTER (v % 2 = 1) AS DOUBLE), CAST(count(*) FILTER (v > 130) AS DOUBLE)]) AS actual
   FROM (SELECT CAST(FLOOR AS DOUBLE) AS v FROM b23)) u""",
 )
 def a14_qc_report(i: Inputs):

@@ -228,4 +228,13 @@ STUDY_AREAS = {
 EXPECTED_ROWS_2026 = 843_062
 EXPECTED_ROWS_2023 = 412_099
 ROW_BAND = (838_000, 850_000)
-EOL_STAGE = {"concrete": "C4", "glass": "C4", "bricks": "C4", "steel": "C3", "aluminum": "C3"}
+EOL_STAGE = [  # the first word found in the product name, else in the category, decides
+    ("cmu", "C3-balancing"),
+    ("medium density concrete block", "C3-balancing"),
+    ("aac", "C4"),
+    ("brick", "C4"),
+    ("concrete", "C4"),
+    ("glass", "C4"),
+    ("steel", "C3"),
+    ("aluminum", "C3"),
+]

@@ -24,7 +24,7 @@ def lookup(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFr
             return f"CAST({v!r} AS DOUBLE)"
         if isinstance(v, int):
             return str(v)
-        return "'" + str(v).replace("'", "\\'") + "'"
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
@@ -45,18 +45,24 @@ def require_srid(df: DataFrame, srid: int = 4326, column: str = "srid") -> DataF
     ).where(F.col(column).isNull()).drop(column)
 
 
+def whole_number(column: str) -> Column:
+    """Number or numeric text as an integer: ``12``, ``"12"`` and ``"12.0"`` alike; anything else, and any fraction, is null."""
+    v = F.expr(f"try_cast(trim(CAST({column} AS STRING)) AS DOUBLE)")
+    return F.when(v == F.floor(v), v).cast("int")
+
+
 def scan_buildings(df: DataFrame, keep: list[str]) -> DataFrame:
     """2026 footprints: numeric height, ``Area`` renamed to ``area_m2``, only the wanted columns."""
     require_columns(df, ["height"])
     if "Area" in df.columns:
         df = df.withColumnRenamed("Area", "area_m2")
-    return df.select(*keep).withColumn("height", F.expr("try_cast(height AS INT)"))
+    return df.select(*keep).withColumn("height", whole_number("height"))
 
 
 def scan_buildings_2023(df: DataFrame) -> DataFrame:
     """2023 footprints: ``FLOOR`` text holds twice the floors; an odd value stops the job."""
     require_columns(df, ["FLOOR"])
-    code = F.expr("try_cast(trim(FLOOR) AS INT)")
+    code = whole_number("FLOOR")
     checked = F.when(code % 2 != 0, F.raise_error(F.concat(F.lit("odd FLOOR: "), F.col("FLOOR"))).cast("int"))
     return df.withColumn("floor23", F.coalesce(checked, code)).withColumn(
         "floors_2023", F.floor(F.col("floor23") / 2).cast("int")
@@ -120,12 +126,17 @@ def slim_poi(df: DataFrame) -> DataFrame:
 
 
 def union_poi(primary: DataFrame, extra: DataFrame) -> DataFrame:
-    """Shared POI fields of both sources, one row per id; the primary source wins."""
+    """Shared POI fields of both sources, one row per id; the primary source wins, and inside a source the lowest ``ord``.
+
+    Rows of one source that share id and ``ord`` are ordered by their other fields, so the result never depends on arrival.
+    """
     from cityloom.operators.skew import first_per_key
 
-    cols = POI_FIELDS + (["ord"] if "ord" in primary.columns else [])
+    cols = [*POI_FIELDS, "ord"]
+    require_columns(primary, cols)
+    require_columns(extra, cols)
     both = primary.select(*cols, F.lit(0).alias("_src")).unionByName(extra.select(*cols, F.lit(1).alias("_src")))
-    order: list[Column] = [F.col("_src")] + ([F.col("ord")] if "ord" in cols else [])
+    order: list[Column] = [F.col("_src"), F.col("ord"), *(F.col(c) for c in POI_FIELDS[1:])]
     return first_per_key(both, ["id"], order).select(*POI_FIELDS)
 
 
