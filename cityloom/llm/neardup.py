@@ -4,9 +4,11 @@
 2. Each text becomes a bag of shingles weighted by term frequency and a bounded inverse document frequency. Improved
    consistent weighted sampling (Ioffe, 2010) draws samples that two texts share with the probability of their weighted
    Jaccard similarity; ``rows`` samples make a band, and texts that share a band are candidates.
-3. Candidates are verified by their exact weighted Jaccard similarity, first every text of a band against the band's
-   smallest id; where a band still holds several classes, the texts outside the leader's class are verified against all
-   others of the band. So no link is lost and a group of k copies costs about k comparisons, not k squared.
+3. The weight of a text that other candidates hold too bounds its similarity to any of them from above; texts whose bound
+   is too low leave. The others are verified by their exact weighted Jaccard similarity, first every text of a band
+   against a few leaders of the band and of similar size. Where a band still holds several classes, the texts outside its
+   largest class are verified against all others of the band whose joint bound allows a link. So no link is lost, and a
+   group of k copies costs about k comparisons, not k squared.
 4. Classes are connected components of the links. Equal texts are one node throughout.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cityloom.llm import textkit
-from cityloom.llm.storage import table
+from cityloom.llm.storage import ship, table
 from cityloom.operators.graph import connected_components
 
 WORDS = 5
@@ -25,6 +27,10 @@ SIMILARITY = 0.8
 BANDS = 8
 ROWS = 2
 DF_BITS = 20
+LEADERS = 6
+SIZE_CLASS = 0.1
+SLICES = 16
+TURNS = 1
 _CHUNK = 1 << 16
 
 _DRAWS = np.random.default_rng(7919)
@@ -165,6 +171,7 @@ def _vectors(k: int, bits: int, idf):
             for lo, _, buf, at in textkit.blocks(batch.column(1)):
                 doc, h, tf, _ = shingles(buf, at, k)
                 w = (tf * weights[(h >> np.uint64(64 - bits)).astype(np.int64)]).astype(np.float32)
+                part = (h % np.uint64(SLICES)).astype(np.int64)
                 head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
                 tail = np.append(head[1:], len(doc)) if len(doc) else []
                 yield pa.RecordBatch.from_arrays(
@@ -172,13 +179,38 @@ def _vectors(k: int, bits: int, idf):
                         pa.array([ids[lo + doc[a]] for a in head], pa.int64()),
                         pa.array([h[a:b].tobytes() for a, b in zip(head, tail, strict=True)], pa.binary()),
                         pa.array([w[a:b].tobytes() for a, b in zip(head, tail, strict=True)], pa.binary()),
+                        pa.array([float(w[a:b].sum(dtype=np.float64)) for a, b in zip(head, tail, strict=True)], pa.float64()),
+                        pa.array([np.bincount(part[a:b], weights=w[a:b], minlength=SLICES).tolist() for a, b in zip(head, tail, strict=True)], pa.list_(pa.float64())),
                     ],
-                    names=["node", "h", "w"],
+                    names=["node", "h", "w", "total", "slices"],
                 )
 
     return run
 
 
+def _entries(batches):
+    for batch in batches:
+        for node, h, w in zip(*(batch.column(c).to_pylist() for c in ("node", "h", "w")), strict=True):
+            h = np.frombuffer(h, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(np.full(len(h), node, np.int64)), pa.array(np.frombuffer(w, np.float32))], names=["h", "node", "w"]
+            )
+
+
+def _bounds(vectors: DataFrame) -> DataFrame:
+    """``node, total, common``: the weight of each text, and by slice of the hashes (``SLICES``) at most how much of it any
+    other text of ``vectors`` holds. Two texts share at most the sum over slices of the smaller ``common``."""
+    mine = vectors.select("node", "h", "w").mapInArrow(_entries, "h long, node long, w float")
+    # a shingle that only one candidate holds cannot be shared
+    mine = mine.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1")
+    own = [F.sum(F.when(F.pmod("h", F.lit(SLICES)) == k, F.col("w")).otherwise(0.0)) for k in range(SLICES)]
+    mine = mine.groupBy("node").agg(F.array(*own).alias("own"))
+    every = [F.sum(F.get("slices", F.lit(k))) for k in range(SLICES)]
+    weights = vectors.groupBy("node").agg(F.min("total").alias("total"), F.array(*every).alias("slices")).join(mine, "node", "left")
+    rest = F.zip_with("slices", F.coalesce("own", F.array_repeat(F.lit(0.0), SLICES)), lambda a, o: a * (1 + 1e-6) - o)
+    return weights.select("node", "total", rest.alias("common"))
+
+
 def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
     """Sum of minima over sum of maxima of two weighted sets given by sorted hashes."""
     at = np.searchsorted(h2, h1)
@@ -223,6 +255,7 @@ def duplicate_classes(
     probability ``(1 - similarity**rows) ** bands`` (0.03 % by default), nearer pairs far more rarely.
     """
     spark = docs.sparkSession
+    ship(spark)
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(source, "text", words, df_bits))  # 4 * 2**df_bits bytes
     sig = table(
@@ -233,32 +266,48 @@ def duplicate_classes(
     texts = table(sig.groupBy("t1", "t2").agg(F.min("node").alias("rep"), F.first("bands").alias("bands")), "texts")
     copies = sig.join(texts.select("t1", "t2", "rep"), ["t1", "t2"]).where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
     member = texts.select("rep", F.posexplode("bands").alias("band", "key")).select("band", "key", F.col("rep").alias("node"))
-    lead = member.groupBy("band", "key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = table(member.join(lead, ["band", "key"]), "bands")
+    crowd = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = table(member.join(crowd, ["band", "key"]), "bands")
 
     wanted = shared.select("node").distinct()
-    vectors = table(source.join(wanted, "node", "left_semi").mapInArrow(_vectors(words, df_bits, idf), "node long, h binary, w binary"), "vectors")
+    vectors = table(
+        source.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_vectors(words, df_bits, idf), "node long, h binary, w binary, total double, slices array<double>"), "vectors"
+    )
+    held = sum(F.get("common", F.lit(k)) for k in range(SLICES))
+    able = _bounds(vectors).withColumn("held", held).where(F.col("held") >= similarity * F.col("total"))
+    shared = table(shared.join(able, "node"), "bands")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = vectors.select(F.col("node").alias("u"), "h", "w")
-        right = vectors.select(F.col("node").alias("v"), F.col("h").alias("h2"), F.col("w").alias("w2"))
-        return pairs.join(right, "v").join(left, "u").select("u", "v", "h", "w", "h2", "w2").mapInArrow(_verify(similarity), "u long, v long")
-
-    stars = shared.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    links = table(verified(stars), "links")
-    comp = table(connected_components(links), "classes")
-    # bands that still hold several classes: those outside the leader's class against all others
-    named = shared.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    led = named.where("node = lead").select("band", "key", F.col("root").alias("lead_root"))
-    named = table(named.join(led, ["band", "key"]).select("band", "key", "node", "lead", "root", "lead_root"), "named")
-    rest = named.where("root <> lead_root").select("band", "key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    cross = (
-        rest.join(named.where("node <> lead"), ["band", "key"])
-        .where("a_root <> root")
-        .select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"))
-        .distinct()
-    )
-    more = table(verified(cross), "links")
+        left = vectors.select(F.col("node").alias("u"), "h", "w").hint("merge")
+        right = vectors.select(F.col("node").alias("v"), F.col("h").alias("h2"), F.col("w").alias("w2")).hint("merge")
+        return table(
+            pairs.join(right, "v").join(left, "u").select("u", "v", "h", "w", "h2", "w2").mapInArrow(_verify(similarity), "u long, v long"), "links"
+        )
+
+    def pairs(some: DataFrame, rest: DataFrame) -> DataFrame:
+        """Pairs of one band, different class and a joint bound that allows a link."""
+        other = some.select("band", "key", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "total", "common")))
+        low = sum(F.least(F.get("common", F.lit(k)), F.get("a_common", F.lit(k))) for k in range(SLICES))
+        link = (F.col("a_root") != F.col("root")) & (low >= similarity * (F.col("total") + F.col("a_total") - low))
+        return other.join(rest, ["band", "key"]).where(link).select(F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")).distinct()
+
+    links, comp = None, None
+    for turn in range(TURNS):
+        named = _with_classes(shared, comp)
+        # leaders of each band and class of size: the text with the highest bound, then texts outside the largest class by hash
+        outside = F.when(F.col("root") != F.col("main"), 0).otherwise(1)
+        picks = [F.min_by("node", F.struct(outside, -F.col("held") / F.col("total"), "node"))]
+        picks += [F.min_by("node", F.struct(outside, F.xxhash64("node", F.lit(turn), F.lit(k)))) for k in range(1, LEADERS)]
+        lead = named.groupBy("band", "key", F.floor(F.log("total") / SIZE_CLASS)).agg(
+            F.array_distinct(F.array(*picks)).alias("nodes"), F.max(F.when(F.col("root") == F.col("main"), 0).otherwise(1)).alias("n")
+        )
+        lead = lead.where("n > 0").select("band", "key", F.explode("nodes").alias("node"))
+        found = verified(pairs(named.join(lead, ["band", "key", "node"]), named))
+        links = found if links is None else links.unionByName(found)
+        comp = table(connected_components(links), "classes")
+    # bands that still hold several classes: those outside the largest class against all others
+    named = _with_classes(shared, comp)
+    more = verified(pairs(named.where("root <> main"), named))
     edges = links.unionByName(more).unionByName(copies)
     final = table(connected_components(edges), "classes")
     return (
@@ -266,6 +315,15 @@ def duplicate_classes(
     )
 
 
+def _with_classes(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Band members with their class so far (``root``) and the largest class of the band (``main``)."""
+    named = shared.withColumn("root", F.col("node"))
+    if comp is not None:
+        named = shared.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = named.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    return table(named.join(main, ["band", "key"]), "named")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; rows with a null id stay. Columns are unchanged."""
     classes = duplicate_classes(docs, doc_id, text, **options)
