@@ -94,11 +94,21 @@ def _add_frequencies(batches):
         )
 
 
+def idf_weight(n: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequency, levelled off at both ends.
+
+    A shingle in at most a hundredth of the ``n`` texts (or in four) has weight 1, so that groups of copies are compared
+    as unweighted sets are; one in every text has 0.3, so that boilerplate alone makes no duplicates.
+    """
+    most = max(min(100.0, n / 4), 1.5)
+    return np.clip(np.log(np.maximum(n / np.maximum(df, 1), 1)) / np.log(most), 0.3, 1).astype(np.float32)
+
+
 def inverse_frequencies(docs: DataFrame, text: str, k: int = WORDS, bits: int = DF_BITS) -> np.ndarray:
-    """Weight by hashed shingle, between 1 (in every text) and 2 (in one): ``1 + ln(n / df) / ln n``.
+    """:func:`idf_weight` by hashed shingle.
 
     The table has ``2**bits`` entries whatever the input; a rare shingle's frequency is overstated by what shares its
-    entry, which lowers the weights of all rare shingles alike.
+    entry, at most one text in a few thousand, which leaves it at full weight.
     """
     rows = (
         docs.select(text)
@@ -111,8 +121,8 @@ def inverse_frequencies(docs: DataFrame, text: str, k: int = WORDS, bits: int =
     for r in rows:
         v = np.frombuffer(r.counts, np.int64)
         df[r.part * len(v) : (r.part + 1) * len(v)] += v
-    n = max(sum(r.docs for r in rows), 2)
-    return (1 + np.log(np.maximum(n / np.maximum(df, 1), 1)) / np.log(n)).astype(np.float32)
+    n = max(sum(r.docs for r in rows), 1)
+    return idf_weight(n, df)
 
 
 def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:

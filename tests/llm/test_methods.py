@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,7 +108,9 @@ def test_samples_meet_with_the_weighted_jaccard_probability():
 
 
 def _classes(texts, k=5, least=0.8):
-    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for i, w in ((i, t.split()) for i, t in texts)}
+    sets = {i: Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) or Counter([tuple(w)] if w else []) for i, w in ((i, t.split()) for i, t in texts)}
+    df = Counter(s for x in sets.values() for s in x)
+    weight = {s: float(neardup.idf_weight(len(texts), np.array([n]))[0]) for s, n in df.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -118,7 +121,9 @@ def _classes(texts, k=5, least=0.8):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            x, y = sets[a], sets[b]
+            top = sum(weight[s] * v for s, v in (x | y).items())
+            if top and sum(weight[s] * v for s, v in (x & y).items()) >= least * top:
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {i: find(i) for i in ids}
 
