@@ -57,7 +57,7 @@ def model_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         .withColumnsRenamed({c: f"o_{c}" for c in pos.columns if c not in by})
     )
     keys = [*by, "_cx", "_cy", "_ch", "_ca"]
-    return salted_join(left, right, keys, ["id"], measure=df).where(_same_model() & (F.col("id") != F.col("o_id")))
+    return salted_join(left, right, keys, ["id"]).where(_same_model() & (F.col("id") != F.col("o_id")))
 
 
 def same_model_clusters(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -47,7 +47,9 @@ def exact_quantiles(df: DataFrame, value: Column, qs: list[float], by: list[str]
         picks[name] = F.max(F.when((F.col("_cum") > r) & (F.col("_cum") - F.col("_c") <= r), F.col("_in")))
     out = ranked.groupBy(*by, "q", "_n").agg(*[c.alias(n) for n, c in picks.items()])
     frac = pos - F.floor(pos)
-    return out.select(*by, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac).alias("value"))
+    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac
+    missed = F.raise_error(F.concat(F.lit("bracket misses the rank of quantile "), F.col("q").cast("string"))).cast("double")
+    return out.select(*by, "q", F.when((F.col("_n") > 0) & value.isNull(), missed).otherwise(value).alias("value"))
 
 
 def quantile_columns(df: DataFrame, value: Column, named: dict[str, float], by: list[str] | None = None) -> DataFrame:

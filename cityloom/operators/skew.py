@@ -5,67 +5,52 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 MAX_HOT_KEYS = 256
-MIN_ROWS_PER_SPLIT = 200_000
-# Below this estimate a whole side fits a few tasks, so one key cannot hold a job up.
-SALT_FROM_BYTES = 1 << 30
+#: a split smaller than this is not worth a task of its own
+MIN_ROWS_PER_SPLIT = 50_000
 
 
-def estimated_bytes(df: DataFrame) -> float:
-    """The optimizer's size estimate; infinite where it cannot be read, so callers take the safe path."""
-    try:
-        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return float("inf")
+def hot_keys(big: DataFrame, small: DataFrame | None, keys: list[str], min_rows: int | None = None) -> DataFrame:
+    """Keys above 1/256 of the rows of a side, with the splits each side needs: ``*keys, _fb, _fs``.
 
-
-def _may_be_skewed(df: DataFrame) -> bool:
-    limit = float(df.sparkSession.conf.get("spark.cityloom.skew.minBytes", str(SALT_FROM_BYTES)))
-    return estimated_bytes(df) >= limit
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS_PER_SPLIT) -> DataFrame:
-    """Keys above 1/256 of all rows with the number of splits each needs.
-
-    At most 255 keys can exceed that share, so the result always fits a broadcast.
+    At most 255 keys of each side can exceed that share, so the result always fits a broadcast. Both sides are counted in
+    one aggregate. Without ``small`` only ``big`` is counted.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    limit = F.greatest(F.col("_total") / F.lit(float(MAX_HOT_KEYS)), F.lit(float(min_rows)))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_fan"))
-    )
+    least = float(MIN_ROWS_PER_SPLIT if min_rows is None else min_rows)
+    rows = big.select(*keys, F.lit(1).alias("_b"), F.lit(0).alias("_s"))
+    if small is not None:
+        rows = rows.unionByName(small.select(*keys, F.lit(0).alias("_b"), F.lit(1).alias("_s")))
+    counts = rows.groupBy(*keys).agg(F.sum("_b").alias("_b"), F.sum("_s").alias("_s"))
+    totals = counts.agg(*[F.greatest(F.sum(c) / F.lit(float(MAX_HOT_KEYS)), F.lit(least)).alias(f"{c}_most") for c in ("_b", "_s")])
+    over = counts.crossJoin(F.broadcast(totals)).where((F.col("_b") > F.col("_b_most")) | (F.col("_s") > F.col("_s_most")))
+    fan = lambda c: F.greatest(F.ceil(F.col(c) / F.col(f"{c}_most")), F.lit(1)).cast("int")
+    return over.select(*keys, fan("_b").alias("_fb"), fan("_s").alias("_fs"))
 
 
 def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    how: str = "inner",
-    min_rows: int = MIN_ROWS_PER_SPLIT,
-    measure: DataFrame | None = None,
+    big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", min_rows: int | None = None
 ) -> DataFrame:
-    """Equi-join where rows of ``big`` with a hot key are spread over several tasks.
+    """Equi-join where rows with a hot key are spread over several tasks, whichever side they are on.
 
-    ``spread`` names columns of ``big`` that differ within a hot key. Matching rows of ``small`` are
-    repeated once per split; other keys are joined as usual. ``how`` is inner, left, left_semi or left_anti.
-    When ``measure`` (by default ``big``) is estimated small, the plain join is used.
+    Keys are counted, so input of any size behaves alike. A key that is hot in ``big`` splits ``big`` by ``spread`` (columns
+    that differ within the key) and repeats the matching rows of ``small`` once per split; in an inner join a key that is hot
+    in ``small`` splits ``small`` by its other columns and repeats the rows of ``big``. ``how`` is inner, left, left_semi or
+    left_anti; in the last three only ``big`` can be split.
     """
-    if not _may_be_skewed(big if measure is None else measure):
-        return big.join(small, keys, how)
-    hot = F.broadcast(hot_keys(big, keys, min_rows))
-    spread_hash = F.xxhash64(*[F.col(c) for c in spread])
-    left = big.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(spread_hash, F.coalesce(F.col("_fan"), F.lit(1)).cast("bigint")).cast("int")
-    )
-    right = small.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1))
-    )
-    return left.drop("_fan").join(right.drop("_fan"), [*keys, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(big, small if how == "inner" else None, keys, min_rows))
+
+    def salted(side: DataFrame, own: str, other: str, by: list[str]) -> DataFrame:
+        fans = {c: F.coalesce(F.col(c), F.lit(1)) for c in ("_fb", "_fs")}
+        out = side.join(hot, keys, "left").withColumns(fans)
+        place = F.when(F.col(own) > 1, F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.col(own))).otherwise(0).cast("int") if by else F.lit(0)
+        out = out.withColumn(f"_n{own}", place)
+        return out.withColumn(f"_n{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_fb", "_fs")
+
+    rest = [c for c in small.columns if c not in keys and not isinstance(small.schema[c].dataType, MapType)]
+    left, right = salted(big, "_fb", "_fs", spread), salted(small, "_fs", "_fb", rest)
+    return left.join(right, [*keys, "_n_fb", "_n_fs"], how).drop("_n_fb", "_n_fs")
 
 
 def with_group_stats(df: DataFrame, key: str, stats: dict[str, Column], spread: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ def point_polygon_pairs(
     levels = grid.occurring_levels(boxed)
     cells = grid.box_cells(boxed, size)
     probes = grid.point_cells(points, size, x, y, levels)
-    joined = salted_join(probes, cells, CELL, [point_id], measure=points)
+    joined = salted_join(probes, cells, CELL, [point_id])
     in_box = F.col(x).between(F.col("_bx0"), F.col("_bx1")) & F.col(y).between(F.col("_by0"), F.col("_by1"))
     return joined.where(in_box).drop(*CELL, "_lv", "_bx0", "_by0", "_bx1", "_by1")
 
@@ -74,7 +74,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, size: float, a_id: str, b_id: str,
         named = [F.col(n).alias(tag + n) for n in box] + [F.col("_lv").alias(f"{tag}_lv")]
         return c.select(*CELL, *cols, *named, F.col("geom").alias(f"{tag}_geom"), F.col("area_m2").alias(f"{tag}_area"))
 
-    j = salted_join(side(a_box, "a", [a_id]), side(b_box, "b", [b_id, *b_keep]), CELL, [a_id], measure=a)
+    j = salted_join(side(a_box, "a", [a_id]), side(b_box, "b", [b_id, *b_keep]), CELL, [a_id])
     meets = (
         (F.col("a_bx0") < F.col("b_bx1"))
         & (F.col("b_bx0") < F.col("a_bx1"))
@@ -126,7 +126,7 @@ def radius_pairs(
     tx, ty = target_xy
     left = _own_cell(probes, radius, px, py)
     right = _neighbour_cells(targets, radius, tx, ty)
-    j = salted_join(left, right, ["_cx", "_cy"], [spread], measure=probes)
+    j = salted_join(left, right, ["_cx", "_cy"], [spread])
     dist = F.hypot(F.col(px) - F.col(tx), F.col(py) - F.col(ty))
     return j.withColumn("dist", dist).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
@@ -160,9 +160,9 @@ def nearest_with_ties(
     far = closest(asks.join(short, ["_px", "_py"], "left_anti"), radius)
     hit = short.unionByName(far)
     at_spot = targets.select(target_id, F.col(tx).alias("_tx"), F.col(ty).alias("_ty"))
-    found = salted_join(at_spot, hit, ["_tx", "_ty"], [target_id], measure=targets)
+    found = salted_join(at_spot, hit, ["_tx", "_ty"], [target_id])
     who = probes.select(probe_id, F.col(px).alias("_px"), F.col(py).alias("_py"))
-    hits = salted_join(who, found.select("_px", "_py", target_id, "dist"), ["_px", "_py"], [probe_id], measure=probes)
+    hits = salted_join(who, found.select("_px", "_py", target_id, "dist"), ["_px", "_py"], [probe_id])
     return hits.select(probe_id, target_id, "dist")
 
 

@@ -27,10 +27,12 @@ def build_session(app: str = "cityloom", master: str | None = None, shuffle_part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temp folder when unset (tests)."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; unset, a temp folder in local mode and an error elsewhere."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="spark-cityloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)

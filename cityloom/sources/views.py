@@ -121,13 +121,14 @@ _STORED: dict[tuple, tuple[str, list[str]]] = {}
 def stored_tables(i: Inputs, name: str, build, sources: tuple[str, ...]) -> dict[str, DataFrame]:
     """Intermediate tables written once to the shared folder and read back by later jobs of the session.
 
-    ``build`` returns the frames by name. The key holds size and modification time of the source files, so
-    changed inputs are rebuilt.
+    ``build`` returns the frames by name. The key holds path, size and modification time of every source
+    file, so changed inputs are rebuilt.
     """
     marks = []
     for t in sources:
-        meta = i.table(t).select(F.col("_metadata.file_modification_time").alias("m"), F.col("_metadata.file_size").alias("s"))
-        marks.append(tuple(meta.agg(F.max("m"), F.max("s"), F.count("*")).first()))
+        files = i.table(t).select(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_modification_time", "file_size"))).distinct()
+        mark = F.xxhash64("file_path", "file_modification_time", "file_size").cast("decimal(38,0)")
+        marks.append(tuple(files.agg(F.count("*"), F.sum(mark)).first()))
     key = (i.spark.sparkContext.applicationId, i.folder, name, tuple(marks))
     if key not in _STORED:
         path = scratch_path(i.spark, name)

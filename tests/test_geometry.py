@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.operators import features as B, labelling as L, spatial as S
+from cityloom.operators import features as B, labelling as L, skew, spatial as S
 
 
 def ring(*pts):
@@ -95,19 +95,16 @@ def test_neighbours_with_stacked_copies(spark):
 
 
 @pytest.mark.parametrize("salted", [False, True])
-def test_spatial_joins_against_brute_force(spark, salted):
+def test_spatial_joins_against_brute_force(spark, salted, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS_PER_SPLIT", 5 if salted else 1 << 40)
     rng = random.Random(7)
     polys = [(k, square(rng.uniform(0, 900), rng.uniform(0, 900), rng.choice([8.0, 60.0, 700.0]))) for k in range(60)]
     hot = [(k, 100.0 + rng.random(), 100.0 + rng.random()) for k in range(80)]
     pts = hot + [(k, rng.uniform(-50, 1000), rng.uniform(-50, 1000)) for k in range(80, 200)]
     p = G.with_shape(spark.createDataFrame(polys, f"poly bigint, geom {G.GEOM_TYPE}"))
     q = spark.createDataFrame(pts, "pid bigint, px double, py double")
-    spark.conf.set("spark.cityloom.skew.minBytes", "0" if salted else str(1 << 40))
-    try:
-        got = {r["pid"]: r["poly"] for r in S.points_within(q, p, 25.0, "px", "py", "pid", "poly", []).collect()}
-        over = {(r["poly"], r["o"]) for r in S.overlap_pairs(p, p.withColumnRenamed("poly", "o"), 25.0, "poly", "o", []).collect()}
-    finally:
-        spark.conf.unset("spark.cityloom.skew.minBytes")
+    got = {r["pid"]: r["poly"] for r in S.points_within(q, p, 25.0, "px", "py", "pid", "poly", []).collect()}
+    over = {(r["poly"], r["o"]) for r in S.overlap_pairs(p, p.withColumnRenamed("poly", "o"), 25.0, "poly", "o", []).collect()}
     box = {k: (g[0][0]["x"], g[0][0]["y"], g[0][2]["x"], g[0][2]["y"]) for k, g in polys}
     want = {}
     for k, x, y in pts:

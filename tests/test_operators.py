@@ -152,19 +152,79 @@ def test_exact_quantiles(spark, n):
         assert got[q] == pytest.approx(float(np.quantile(v, q)), rel=1e-12)
 
 
-def test_salted_join_equals_plain(spark):
+@pytest.mark.parametrize("hot_right", [False, True])
+def test_salted_join_equals_plain(spark, hot_right):
+    many = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(900)] + [(None, 5)], "k int, id int")
+    few = spark.createDataFrame([(k, k * 10) for k in range(0, 900, 2)] + [(1, 7), (1, 8)], "k int, w int")
+    big, small, spread = (few, many, ["w"]) if hot_right else (many, few, ["id"])
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = skew.salted_join(big, small, ["k"], spread, how, min_rows=50)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, ["k"], how).collect()), key=repr)
+    hot = skew.hot_keys(big, small, ["k"], 50).collect()
+    assert [r.k for r in hot] == [1] and (hot[0]._fs > 1) == hot_right and (hot[0]._fb > 1) != hot_right
+    # rows of the hot key really are spread
+    salted = skew.salted_join(big, small, ["k"], spread, min_rows=50)
+    assert "_n_fb" in salted._jdf.queryExecution().analyzed().toString()
+
+
+def test_group_stats(spark):
     big = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(900)], "k int, id int")
-    small = spark.createDataFrame([(k, k * 10) for k in range(0, 900, 2)] + [(1, 7), (1, 8)], "k int, w int")
-    spark.conf.set("spark.cityloom.skew.minBytes", "0")
-    try:
-        for how in ("inner", "left", "left_semi", "left_anti"):
-            got = skew.salted_join(big, small, ["k"], ["id"], how, min_rows=50)
-            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, ["k"], how).collect()), key=repr)
-        assert skew.hot_keys(big, ["k"], 50).count() == 1
-        g = skew.with_group_stats(big.withColumn("k", F.when(F.col("k") != 0, F.col("k"))), "k", {"n": F.count("*")}, ["id"])
-        assert g.where("k = 1").first()["n"] == 600 and g.where("k is null").first()["n"] is None
-    finally:
-        spark.conf.unset("spark.cityloom.skew.minBytes")
+    g = skew.with_group_stats(big.withColumn("k", F.when(F.col("k") != 0, F.col("k"))), "k", {"n": F.count("*")}, ["id"])
+    assert g.where("k = 1").first()["n"] == 600 and g.where("k is null").first()["n"] is None
+
+
+def test_code_lists_are_whole(spark):
+    from cityloom.operators import features, model
+
+    df = spark.range(1500).select(F.col("id").alias("ep"), F.concat(F.lit("c"), "id").alias("truth_arch"))
+    assert len(features.distinct_codes(df, "ep")) == 1500 and len(model.class_labels(df)) == 1500
+    with pytest.raises(ValueError):
+        features.distinct_codes(df, "ep", most=1000)
+
+
+def test_numeric_text(spark):
+    from cityloom.sources import tables
+
+    df = spark.createDataFrame([("12",), ("12.0",), (" 24.0 ",), ("1.5",), ("x",), (None,)], "height string")
+    assert [r.height for r in tables.scan_buildings(df, ["height"]).collect()] == [12, 12, 24, None, None, None]
+    floors = tables.scan_buildings_2023(spark.createDataFrame([("24.0",)], "FLOOR string")).first()
+    assert (floors.floor23, floors.floors_2023) == (24, 12)
+    with pytest.raises(Exception, match="odd FLOOR"):
+        tables.scan_buildings_2023(spark.createDataFrame([("25.0",)], "FLOOR string")).collect()
+    odd = [("a'b\\",), ("x\\ny",)]
+    assert [tuple(r) for r in tables.lookup(spark, ["v"], odd).collect()] == odd
+
+
+def test_stop_word_names_match_nothing(spark):
+    from cityloom.operators import poi
+
+    points = spark.createDataFrame([(1, "广场"), (2, "静安大厦"), (3, None)], "val_id long, name string").select(
+        "val_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), poi.name_tokens(F.col("name")).alias("tok")
+    )
+    pois = spark.createDataFrame([(1, "静安寺", 1.0, 1.0), (2, "广场", 2.0, 2.0)], "id long, name string, x double, y double")
+    got = {r.val_id: (r.n_near, r.n_match) for r in poi.token_matches(points, pois, "tok", 50.0).collect()}
+    assert got == {1: (2, 0), 2: (2, 1), 3: (2, 0)}
+
+
+def test_end_of_life_by_product(spark):
+    from cityloom.operators import energy
+
+    rows = [("CMU", "bricks_masonry"), ("Medium density concrete block", "bricks_masonry"), ("AAC", "bricks_masonry"), ("Clay brick", "x"), ("Reclaimed brick", "x"),
+            ("C30 concrete", "concrete"), ("Float glass", "glass"), (None, "steel"), ("Profile", "aluminum"), ("wood", "wood")]
+    df = spark.createDataFrame(rows, "p string, c string").select(energy.end_of_life_stage(F.col("p"), F.col("c")).alias("s"))
+    assert [r.s for r in df.collect()] == ["C3-balancing", "C3-balancing", "C4", "C4", "C4", "C4", "C4", "C3", "C3", None]
+
+
+def test_rows_without_a_partner_stay(spark):
+    from cityloom.operators import energy, raster
+
+    b = spark.createDataFrame([("office", 2, 8, 100.0), ("odd", 2, 8, 50.0), ("office", None, None, 9.0)], "archetype string, floors int, height int, area_m2 double")
+    eui = spark.createDataFrame([("office", "low", 1, 2.0)], "archetype string, height_bin string, month int, eui_kwh_m2 double")
+    got = sorted(((r.archetype, r.height_bin, r.n, r.gfa_m2, r.kwh) for r in energy.city_energy(b, eui).collect()), key=repr)
+    assert got == [("odd", "low", 1, 100.0, None), ("office", "low", 1, 200.0, 400.0), ("office", "unknown", 1, 0.0, None)]
+    marks = spark.createDataFrame([("a", 0, 0, 9.0), ("b", 50, 50, 9.0)], "name string, col int, prow int, true_h double")
+    px = spark.createDataFrame([(1, 1, 4.0), (0, 0, float("nan"))], "col int, prow int, h double")
+    assert {r.name: r.window_max for r in raster.focal_max(marks, px).collect()} == {"a": 4.0, "b": None}
 
 
 def test_label_priority(spark):
