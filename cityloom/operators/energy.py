@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom import rules
@@ -10,28 +12,33 @@ from cityloom.operators.quantiles import quantile_columns
 from cityloom.sources.tables import lookup
 
 
-def _sum_of(df: DataFrame, patterns: list[str]) -> Column:
-    """Sum of the columns whose name holds a pattern (any case); 0 without such a column."""
-    cols = [c for c in df.columns if any(p.lower() in c.lower() for p in patterns)]
-    total = F.lit(0.0)
-    for c in cols:
-        total = total + F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
-    return total
+def meter_kinds(columns: list[str]) -> dict[str, tuple[str, bool]]:
+    """End use of each meter column and whether it is a zone variable; other columns are left out."""
+    found = {}
+    for name in columns:
+        for use, words, zone in [(u, w, False) for u, w in rules.METERS.items()] + [(u, [w], True) for u, w in rules.ZONE_VARIABLES.items()]:
+            if name not in found and re.search("|".join(map(re.escape, words)), name, re.IGNORECASE):
+                found[name] = use, zone
+    return found
 
 
 def parse_monthly(wide: DataFrame, runs: DataFrame) -> DataFrame:
     """Monthly kWh/m2 per end use from wide meter columns in joules.
 
-    ``wide``: ``run, month`` and meter columns; ``runs``: ``run, area_m2, cop_cooling, cop_heating``. A run
-    whose heating or cooling meter is all zero uses the zone variable instead. Windows hold one run's months.
+    ``wide``: ``run, month`` and meter columns; ``runs``: ``run, area_m2, cop_cooling, cop_heating``. The columns are turned
+    into rows of (run, month, use, joules) and summed. A run whose heating or cooling meter is all zero uses the zone
+    variable instead; a run without exactly twelve months stops the job.
     """
-    w = Window.partitionBy("run")
-    uses = {u: _sum_of(wide, p) for u, p in rules.METERS.items()}
-    d = wide.select("run", "month", *[c.alias(u) for u, c in uses.items()],
-                    *[_sum_of(wide, [v]).alias(f"_{u}_var") for u, v in rules.ZONE_VARIABLES.items()])
-    for u in rules.ZONE_VARIABLES:
-        d = d.withColumn(u, F.when(F.sum(u).over(w) == 0, F.col(f"_{u}_var")).otherwise(F.col(u)))
-    d = d.join(runs.select("run", "area_m2", "cop_cooling", "cop_heating"), "run")
+    kinds = meter_kinds([c for c in wide.columns if c not in ("run", "month")])
+    names = [F.struct(F.lit(use).alias("use"), F.lit(zone).alias("zone"), F.col(f"`{c}`").cast("double").alias("joules")) for c, (use, zone) in kinds.items()]
+    none = F.lit(None).cast("array<struct<use: string, zone: boolean, joules: double>>")
+    long = wide.select("run", "month", F.inline_outer(F.array(*names) if names else none))
+    sums = {(u, z): F.coalesce(F.sum(F.when((F.col("use") == u) & (F.col("zone") == z), F.col("joules"))), F.lit(0.0)) for u in rules.METERS for z in (False, True)}
+    d = long.groupBy("run", "month").agg(*[c.alias(f"{u}_{z}") for (u, z), c in sums.items()])
+    year = Window.partitionBy("run")
+    gate = F.when(F.count(F.lit(1)).over(year) != 12, F.raise_error(F.concat(F.lit("not 12 months: "), F.col("run").cast("string"))).cast("double"))
+    joules = {u: F.coalesce(gate, F.when(F.sum(f"{u}_False").over(year) == 0, F.col(f"{u}_True")).otherwise(F.col(f"{u}_False"))) for u in rules.METERS}
+    d = d.select("run", "month", *[c.alias(u) for u, c in joules.items()]).join(runs.select("run", "area_m2", "cop_cooling", "cop_heating"), "run")
     per = {"cooling": F.col("cop_cooling"), "heating": F.col("cop_heating")}
     eui = {u: F.col(u) / rules.J_PER_KWH / per.get(u, F.lit(1.0)) / F.col("area_m2") for u in ("cooling", "heating", "lighting", "equipment")}
     total = eui["cooling"] + eui["heating"] + eui["lighting"] + eui["equipment"]

@@ -100,9 +100,10 @@ def counts_by_cell(poi_cells: DataFrame) -> DataFrame:
 
 
 def nearest_of_kind(points: DataFrame, poi: DataFrame, kind: str, start_radius: float = 100.0) -> DataFrame:
-    """Nearest POI of one kind at any distance: ``val_id, id, dist``."""
-    targets = poi.where(poi_kind(F.col("typecode")) == kind).select("id", "x", "y")
-    return spatial.nearest_unbounded(points.select("val_id", "x", "y"), targets, "val_id", "id", start_radius)
+    """Nearest POI of one kind at any distance, the lowest id of equally near ones: its row with ``val_id`` and ``dist``."""
+    own = poi.where(poi_kind(F.col("typecode")) == kind)
+    hit = spatial.nearest_unbounded(points.select("val_id", "x", "y"), own.select("id", "x", "y"), "val_id", "id", start_radius)
+    return hit.join(own, "id").select("val_id", "dist", *own.columns)
 
 
 def nearest_of_code(points: DataFrame, poi: DataFrame, prefix: str, start_radius: float = 100.0) -> DataFrame:

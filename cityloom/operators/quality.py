@@ -47,10 +47,15 @@ def tail_distribution(df: DataFrame, value: str, cutoff: int) -> DataFrame:
 
 
 def field_comparison(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns in both frames, only left, only right."""
-    a, b = set(left.columns), set(right.columns)
-    rows = [(c, "both" if c in a and c in b else "left" if c in a else "right") for c in sorted(a | b)]
-    return lookup(left.sparkSession, ["field", "side"], rows)
+    """Every field of either frame: which side has it and how many rows of each side fill it (null where it is missing)."""
+
+    def filled(df: DataFrame, name: str) -> DataFrame:
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias(name)) for c in df.columns])))
+
+    both = filled(left, "n_left").join(filled(right, "n_right"), "field", "full")
+    side = F.when(F.col("n_right").isNull(), "left").when(F.col("n_left").isNull(), "right").otherwise("both")
+    return both.select("field", side.alias("side"), "n_left", "n_right")
 
 
 def code_profile(df: DataFrame) -> DataFrame:

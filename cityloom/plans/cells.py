@@ -113,10 +113,17 @@ KIND = {
 }
 
 
-@register("j12_nearest_mall", "SELECT val_id, round(dist, 6) AS dist FROM md", KIND)
+@register(
+    "j12_nearest_mall",
+    """SELECT t.val_id, round(md.dist, 6) AS dist, p.id, p.name, p.typecode, p.x, p.y FROM tm t JOIN md USING (val_id)
+JOIN poi p ON p.typecode LIKE '0601%' AND sqrt((t.x-p.x)*(t.x-p.x) + (t.y-p.y)*(t.y-p.y)) = md.dist
+QUALIFY row_number() OVER (PARTITION BY t.val_id ORDER BY p.id) = 1""",
+    KIND,
+)
 def j12_nearest_mall(i: Inputs):
     malls = i.view("truth").where(F.col("archetype") == "shopping_mall")
-    return P.nearest_of_kind(malls, i.view("poi"), "mall").select("val_id", F.round("dist", 6).alias("dist"))
+    near = P.nearest_of_kind(malls, i.view("poi"), "mall")
+    return near.select("val_id", F.round("dist", 6).alias("dist"), "id", "name", "typecode", "x", "y")
 
 
 @register(

@@ -268,13 +268,15 @@ def a14_tail_distribution(i: Inputs):
 
 @register(
     "u3_field_comparison",
-    """SELECT coalesce(a.column_name, b.column_name) AS field, CASE WHEN b.column_name IS NULL THEN 'left' WHEN a.column_name IS NULL THEN 'right' ELSE 'both' END AS side
-FROM (SELECT column_name FROM (DESCRIBE SELECT * FROM customer)) a FULL JOIN (SELECT column_name FROM (DESCRIBE SELECT c_custkey, c_name, 1 AS extra FROM customer)) b
- ON a.column_name = b.column_name""",
+    """SELECT * FROM (VALUES ('c_custkey', 'both'), ('c_name', 'both'), ('c_nationkey', 'left'), ('c_acctbal', 'both'), ('c_mktsegment', 'left'), ('extra', 'right')) f(field, side),
+ LATERAL (SELECT CASE WHEN side <> 'right' THEN count(*) END AS n_left,
+   CASE field WHEN 'c_acctbal' THEN count(*) FILTER (c_acctbal > 0) WHEN 'extra' THEN count(*) FILTER (c_custkey % 3 = 0) ELSE CASE WHEN side <> 'left' THEN count(*) END END AS n_right FROM customer)""",
 )
 def u3_field_comparison(i: Inputs):
-    c = i.table("customer")
-    return Q.field_comparison(c, c.select("c_custkey", "c_name", F.lit(1).alias("extra")))
+    """The customer table against a vendor's cut of it, with gaps in one field and a field of its own."""
+    c = i.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    vendor = c.select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_custkey") % 3 == 0, 1).alias("extra"))
+    return Q.field_comparison(c, vendor)
 
 
 @register(
@@ -288,9 +290,15 @@ def a15_code_profile(i: Inputs):
     return Q.code_profile(slim(i))
 
 
-@register("a17_missing_codes", "SELECT c AS code FROM (SELECT unnest(range((SELECT min(height) FROM b26 WHERE height < 160), (SELECT max(height) + 1 FROM b26 WHERE height < 160))) AS c) WHERE c NOT IN (SELECT height FROM b26 WHERE height < 160)")
+@register(
+    "a17_missing_codes",
+    """SELECT CAST(u.code AS INT) AS code FROM (SELECT unnest(range((SELECT min(code) FROM spread), (SELECT max(code) + 1 FROM spread))) AS code) u
+WHERE u.code NOT IN (SELECT code FROM spread)""",
+    {"spread": "SELECT ep*3 + CAST(bid % 2 AS INT) AS code FROM b26"},
+)
 def a17_missing_codes(i: Inputs):
-    return Q.missing_codes(i.buildings().where("height < 160"), "height").select(F.col("code"))
+    """The code column spread out, so that every third code never occurs."""
+    return Q.missing_codes(i.buildings().select((F.col("ep") * 3 + F.col("bid") % 2).cast("int").alias("ep")), "ep").select("code")
 
 
 @register(

@@ -267,6 +267,8 @@ def test_monthly_parse(spark):
     m = out["m", 1]
     assert [m[f"{u}_kwh_m2"] for u in ("lighting", "equipment", "cooling", "heating", "total")] == [1.0, 2.0, 1.0, 1.0, 5.0]
     assert out["z", 4]["cooling_kwh_m2"] == 1.0
+    with pytest.raises(Exception, match="not 12 months"):
+        E.parse_monthly(spark.createDataFrame(rows[:11], cols), runs).collect()
 
 
 @pytest.mark.parametrize("sim,want", [([10, 20, 30], 0.0), ([11, 22, 33], 10.0), ([9, 18, 27], -10.0)])
