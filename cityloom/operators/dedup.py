@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom import rules
 from cityloom.operators.graph import connected_components
-from cityloom.operators.skew import salted_join
+from cityloom.operators.skew import balanced_join
 from cityloom.sources.tables import lookup
 
 # Rows of one micro-bucket always satisfy all three limits pairwise.
@@ -57,7 +57,7 @@ def model_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         .withColumnsRenamed({c: f"o_{c}" for c in pos.columns if c not in by})
     )
     keys = [*by, "_cx", "_cy", "_ch", "_ca"]
-    return salted_join(left, right, keys, ["id"]).where(_same_model() & (F.col("id") != F.col("o_id")))
+    return balanced_join(left, right, keys).where(_same_model() & (F.col("id") != F.col("o_id")))
 
 
 def same_model_clusters(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def same_model_clusters(df: DataFrame, by: list[str] | None = None) -> DataFrame
     pos = df.where(F.col("area") > 0).withColumns(micro)
     keys = [*by, *micro]
     buckets = pos.groupBy(*keys).agg(F.min("id").alias("node"))
-    tagged = salted_join(pos, buckets, keys, ["id"])
+    tagged = balanced_join(pos, buckets, keys)
     kinds = tagged.groupBy(*by, "x", "y", "area", "height", "node").agg(F.min("id").alias("id"))
     pairs = model_pairs(kinds, by).where(F.col("node") < F.col("o_node"))
     edges = pairs.select(*by, F.col("node").alias("u"), F.col("o_node").alias("v")).distinct()
@@ -94,7 +94,7 @@ def same_model_clusters(df: DataFrame, by: list[str] | None = None) -> DataFrame
         comp = connected_components(edges)
         roots = buckets.select("node").join(comp, "node", "left")
         roots = roots.select("node", F.coalesce("root", "node").alias("cluster_root"))
-    out = salted_join(tagged.drop(*micro), roots, [*by, "node"], ["id"]).drop("node")
+    out = balanced_join(tagged.drop(*micro), roots, [*by, "node"]).drop("node")
     rest = df.where(F.coalesce(F.col("area") <= 0, F.lit(True))).withColumn("cluster_root", F.col("id"))
     return out.unionByName(rest.select(*out.columns))
 

@@ -12,22 +12,6 @@ from cityloom.operators.skew import union_all
 from cityloom.sources.tables import lookup
 
 
-def accuracy_by_scope(pred: DataFrame, scopes: dict[str, Column]) -> DataFrame:
-    """Plain and floor-area weighted accuracy in percent for overlapping row scopes, in one pass.
-
-    ``pred`` has ``truth_arch, pred_class, gfa_m2``.
-    """
-    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in scopes.items()]))
-    hit = (F.col("truth_arch") == F.col("pred_class")).cast("double")
-    d = pred.select(F.explode(names).alias("denominator"), hit.alias("h"), F.col("gfa_m2").alias("w"))
-    s = d.groupBy("denominator").agg(
-        F.count(F.lit(1)).alias("n"),
-        half_even(F.avg("h") * 100, 1).alias("accuracy"),
-        half_even(F.sum(F.col("h") * F.col("w")) / F.sum("w") * 100, 1).alias("gfa_weighted_accuracy"),
-    )
-    return s.unpivot(["denominator", "n"], ["accuracy", "gfa_weighted_accuracy"], "metric", "value")
-
-
 def accuracy_with_interval(pred: DataFrame, key: str, name: str, n_boot: int = rules.BOOTSTRAP_N, seed: int = rules.MODEL_SEED) -> DataFrame:
     """Both accuracies of one denominator with bootstrap intervals, in percent."""
     hit = F.col("truth_arch") == F.col("pred_class")

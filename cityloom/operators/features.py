@@ -8,7 +8,7 @@ from cityloom import rules
 from cityloom.functions import geometry as G
 from cityloom.operators import spatial
 from cityloom.operators.quantiles import exact_quantiles
-from cityloom.operators.skew import salted_join, with_group_stats
+from cityloom.operators.skew import balanced_join, with_group_stats
 from cityloom.session import cut_lineage
 
 
@@ -74,7 +74,7 @@ def neighbour_stats(master: DataFrame, radius: float = rules.NEIGHBOUR_RADIUS_M)
         F.count(F.lit(1)).alias("o_n")
     )
     asks = master.select(F.col("rep_x").alias("p_x"), F.col("rep_y").alias("p_y"), F.col("area_m2").alias("p_area")).distinct()
-    pairs = spatial.radius_pairs(asks, spots, radius, ("p_x", "p_y"), ("o_x", "o_y"), "p_x")
+    pairs = spatial.radius_pairs(asks, spots, radius, ("p_x", "p_y"), ("o_x", "o_y"))
     # a row is not its own neighbour: take one off its own (spot, footprint) entry
     own = (F.col("p_x") == F.col("o_x")) & (F.col("p_y") == F.col("o_y")) & (F.col("p_area") == F.col("o_area"))
     pairs = pairs.withColumn("n", F.col("o_n") - F.when(own, F.lit(1)).otherwise(F.lit(0))).where(F.col("n") > 0)
@@ -83,7 +83,7 @@ def neighbour_stats(master: DataFrame, radius: float = rules.NEIGHBOUR_RADIUS_M)
     )
     keyed = stats.withColumnsRenamed({"p_x": "rep_x", "p_y": "rep_y", "p_area": "area_m2"})
     keys = ["rep_x", "rep_y", "area_m2"]
-    j = salted_join(master.select("bid", *keys), keyed, keys, ["bid"], "left")
+    j = balanced_join(master.select("bid", *keys), keyed, keys, "left")
     return j.select(
         "bid", F.coalesce("n_bld_100m", F.lit(0)).alias("n_bld_100m"), F.coalesce("nbr_fp_med_m2", F.lit(0.0)).alias("nbr_fp_med_m2")
     )
@@ -102,9 +102,9 @@ def neighbourhood_features(master: DataFrame) -> DataFrame:
 def parcel_features(rows: DataFrame, parcels: DataFrame) -> DataFrame:
     """``bid, parcel_area_m2, n_bld_in_parcel, gfa_share_parcel, in_parcel`` from ``bid, parcel_id, gfa_m2``."""
     stats = {"n_bld_in_parcel": F.count(F.lit(1)), "_gfa": F.sum("gfa_m2")}
-    j = with_group_stats(rows.select("bid", "parcel_id", "gfa_m2"), "parcel_id", stats, ["bid"])
+    j = with_group_stats(rows.select("bid", "parcel_id", "gfa_m2"), "parcel_id", stats)
     areas = parcels.select("parcel_id", F.col("area_m2").alias("parcel_area_m2"))
-    j = salted_join(j, areas, ["parcel_id"], ["bid"], "left")
+    j = balanced_join(j, areas, ["parcel_id"], "left")
     share = F.when(F.col("_gfa") > 0, F.col("gfa_m2") / F.col("_gfa"))
     return j.select(
         "bid",

@@ -8,7 +8,6 @@ from cityloom import rules
 from cityloom.functions import geometry as G
 from cityloom.functions.numeric import half_even
 from cityloom.operators import spatial
-from cityloom.operators.skew import first_per_key
 from cityloom.sources.tables import lookup
 
 PARCEL_CELL_M = 250.0
@@ -255,7 +254,3 @@ def evaluated(truth: DataFrame, buildings: DataFrame, master: DataFrame) -> Data
     j = j.withColumnsRenamed({"archetype": "pred_arch", "label_rule": "pred_rule", "floors": "pred_floors"})
     j = j.withColumn("pred_coarse", coarse(F.col("pred_arch")))
     return j.withColumn("hit", is_hit(F.col("pred_coarse"), F.col("truth_arch")))
-
-
-def dedup_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return first_per_key(df, [key], order)

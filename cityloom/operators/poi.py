@@ -134,7 +134,7 @@ def token_matches(points: DataFrame, poi: DataFrame, token: str, radius: float,
     """
     left = points.select("val_id", F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col(token).alias("_tok"))
     right = poi.select("id", "name", F.col("x").alias("q_x"), F.col("y").alias("q_y"))
-    near = spatial.radius_pairs(left, right, radius, ("p_x", "p_y"), ("q_x", "q_y"), "val_id")
+    near = spatial.radius_pairs(left, right, radius, ("p_x", "p_y"), ("q_x", "q_y"))
     hit = F.coalesce(F.exists("_tok", lambda t: (t != "") & F.col("name").contains(t)), F.lit(False))
     counts = near.groupBy("val_id").agg(F.count(F.lit(1)).alias("n_near"), F.count_if(hit).alias("n_match"))
     from pyspark.sql import Window

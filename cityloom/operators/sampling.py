@@ -116,8 +116,8 @@ def poisson_bootstrap(df: DataFrame, key: str, hit: Column, weight: Column, n_bo
     base = df.select(F.xxhash64(key).alias("_k") if dict(df.dtypes)[key] == "string" else F.col(key).cast("bigint").alias("_k"),
                      hit.cast("double").alias("_h"), weight.cast("double").alias("_w"))
     reps = base.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    times = poisson_times(hash_uniform(seed, F.col("_k"), F.col("_b")))
-    reps = reps.withColumn("_t", times).where(F.col("_t") > 0)
+    reps = reps.withColumn("_u", hash_uniform(seed, F.col("_k"), F.col("_b")))
+    reps = reps.withColumn("_t", poisson_times(F.col("_u"))).where(F.col("_t") > 0)
     share = F.sum(F.col("_t") * F.col("_w") * F.col("_h")) / F.sum(F.col("_t") * F.col("_w"))
     per = reps.groupBy("_b").agg(share.alias("_s"))
     ci = per.agg(F.percentile("_s", [0.025, 0.975]).alias("_q"))
@@ -125,16 +125,16 @@ def poisson_bootstrap(df: DataFrame, key: str, hit: Column, weight: Column, n_bo
     return point.crossJoin(ci).select("value", F.col("_q")[0].alias("ci95_lo"), F.col("_q")[1].alias("ci95_hi"), "n")
 
 
-# Cumulative Poisson(1) probabilities for 0..7 events.
-POISSON_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+# Cumulative Poisson(1) probabilities for 0..11 events; what is left lies below the resolution of the draws.
+POISSON_CDF = [
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
+    0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
+]
 
 
 def poisson_times(u: Column) -> Column:
-    out = F.lit(len(POISSON_CDF))
-    for k in reversed(range(len(POISSON_CDF))):
-        out = F.when(u < POISSON_CDF[k], F.lit(k)).otherwise(out)
-    return out
+    """Poisson(1) multiplicity of a uniform draw: how many of the cumulative probabilities it reaches."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON_CDF]), lambda c: c <= u))
 
 
 def _quotas(total: int, parts: int) -> list[int]:

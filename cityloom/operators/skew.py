@@ -5,61 +5,24 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import MapType
 
-MAX_HOT_KEYS = 256
-#: a split smaller than this is not worth a task of its own
-MIN_ROWS_PER_SPLIT = 50_000
 
+def balanced_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that adaptive execution keeps balanced.
 
-def hot_keys(big: DataFrame, small: DataFrame | None, keys: list[str], min_rows: int | None = None) -> DataFrame:
-    """Keys above 1/256 of the rows of a side, with the splits each side needs: ``*keys, _fb, _fs``.
-
-    At most 255 keys of each side can exceed that share, so the result always fits a broadcast. Both sides are counted in
-    one aggregate. Without ``small`` only ``big`` is counted.
+    It measures the shuffled partitions of both sides, whatever their size, and splits those that a hot key of either side
+    blows up, repeating the matching part of the other; the session forces this also where it costs another shuffle.
     """
-    least = float(MIN_ROWS_PER_SPLIT if min_rows is None else min_rows)
-    rows = big.select(*keys, F.lit(1).alias("_b"), F.lit(0).alias("_s"))
-    if small is not None:
-        rows = rows.unionByName(small.select(*keys, F.lit(0).alias("_b"), F.lit(1).alias("_s")))
-    counts = rows.groupBy(*keys).agg(F.sum("_b").alias("_b"), F.sum("_s").alias("_s"))
-    totals = counts.agg(*[F.greatest(F.sum(c) / F.lit(float(MAX_HOT_KEYS)), F.lit(least)).alias(f"{c}_most") for c in ("_b", "_s")])
-    over = counts.crossJoin(F.broadcast(totals)).where((F.col("_b") > F.col("_b_most")) | (F.col("_s") > F.col("_s_most")))
-    fan = lambda c: F.greatest(F.ceil(F.col(c) / F.col(f"{c}_most")), F.lit(1)).cast("int")
-    return over.select(*keys, fan("_b").alias("_fb"), fan("_s").alias("_fs"))
-
-
-def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", min_rows: int | None = None
-) -> DataFrame:
-    """Equi-join where rows with a hot key are spread over several tasks, whichever side they are on.
-
-    Keys are counted, so input of any size behaves alike. A key that is hot in ``big`` splits ``big`` by ``spread`` (columns
-    that differ within the key) and repeats the matching rows of ``small`` once per split; in an inner join a key that is hot
-    in ``small`` splits ``small`` by its other columns and repeats the rows of ``big``. ``how`` is inner, left, left_semi or
-    left_anti; in the last three only ``big`` can be split.
-    """
-    hot = F.broadcast(hot_keys(big, small if how == "inner" else None, keys, min_rows))
-
-    def salted(side: DataFrame, own: str, other: str, by: list[str]) -> DataFrame:
-        fans = {c: F.coalesce(F.col(c), F.lit(1)) for c in ("_fb", "_fs")}
-        out = side.join(hot, keys, "left").withColumns(fans)
-        place = F.when(F.col(own) > 1, F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.col(own))).otherwise(0).cast("int") if by else F.lit(0)
-        out = out.withColumn(f"_n{own}", place)
-        return out.withColumn(f"_n{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_fb", "_fs")
-
-    rest = [c for c in small.columns if c not in keys and not isinstance(small.schema[c].dataType, MapType)]
-    left, right = salted(big, "_fb", "_fs", spread), salted(small, "_fs", "_fb", rest)
-    return left.join(right, [*keys, "_n_fb", "_n_fs"], how).drop("_n_fb", "_n_fs")
+    return big.join(small, keys, how)
 
 
-def with_group_stats(df: DataFrame, key: str, stats: dict[str, Column], spread: list[str]) -> DataFrame:
+def with_group_stats(df: DataFrame, key: str, stats: dict[str, Column]) -> DataFrame:
     """Attach per-group aggregates to every row without holding a group in one task.
 
     Rows with a null key get null statistics.
     """
     totals = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[c.alias(n) for n, c in stats.items()])
-    known = salted_join(df.where(F.col(key).isNotNull()), totals, [key], spread)
+    known = balanced_join(df.where(F.col(key).isNotNull()), totals, [key])
     missing = df.where(F.col(key).isNull())
     for name in stats:
         missing = missing.withColumn(name, F.lit(None).cast(known.schema[name].dataType))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom.functions import geometry as G
 from cityloom.operators import grid
-from cityloom.operators.skew import first_per_key, salted_join
+from cityloom.operators.skew import balanced_join, first_per_key
 from cityloom.session import cut_lineage
 
 CELL = ["_k", "_cx", "_cy"]
@@ -24,7 +24,7 @@ def point_polygon_pairs(
     levels = grid.occurring_levels(boxed)
     cells = grid.box_cells(boxed, size)
     probes = grid.point_cells(points, size, x, y, levels)
-    joined = salted_join(probes, cells, CELL, [point_id])
+    joined = balanced_join(probes, cells, CELL)
     in_box = F.col(x).between(F.col("_bx0"), F.col("_bx1")) & F.col(y).between(F.col("_by0"), F.col("_by1"))
     return joined.where(in_box).drop(*CELL, "_lv", "_bx0", "_by0", "_bx1", "_by1")
 
@@ -74,7 +74,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, size: float, a_id: str, b_id: str,
         named = [F.col(n).alias(tag + n) for n in box] + [F.col("_lv").alias(f"{tag}_lv")]
         return c.select(*CELL, *cols, *named, F.col("geom").alias(f"{tag}_geom"), F.col("area_m2").alias(f"{tag}_area"))
 
-    j = salted_join(side(a_box, "a", [a_id]), side(b_box, "b", [b_id, *b_keep]), CELL, [a_id])
+    j = balanced_join(side(a_box, "a", [a_id]), side(b_box, "b", [b_id, *b_keep]), CELL)
     meets = (
         (F.col("a_bx0") < F.col("b_bx1"))
         & (F.col("b_bx0") < F.col("a_bx1"))
@@ -116,17 +116,17 @@ def _own_cell(df: DataFrame, size: float, x: str, y: str) -> DataFrame:
 
 
 def radius_pairs(
-    probes: DataFrame, targets: DataFrame, radius: float, probe_xy: tuple[str, str], target_xy: tuple[str, str], spread: str
+    probes: DataFrame, targets: DataFrame, radius: float, probe_xy: tuple[str, str], target_xy: tuple[str, str]
 ) -> DataFrame:
     """All (probe, target) pairs at most ``radius`` apart, with ``dist``.
 
-    Column names of both sides must differ. The probe side is salted on crowded cells.
+    Column names of both sides must differ.
     """
     px, py = probe_xy
     tx, ty = target_xy
     left = _own_cell(probes, radius, px, py)
     right = _neighbour_cells(targets, radius, tx, ty)
-    j = salted_join(left, right, ["_cx", "_cy"], [spread])
+    j = balanced_join(left, right, ["_cx", "_cy"])
     dist = F.hypot(F.col(px) - F.col(tx), F.col(py) - F.col(ty))
     return j.withColumn("dist", dist).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
@@ -153,16 +153,16 @@ def nearest_with_ties(
     rank = F.rank().over(Window.partitionBy("_px", "_py").orderBy("dist"))
 
     def closest(ask: DataFrame, r: float) -> DataFrame:
-        cand = radius_pairs(ask, spots, r, ("_px", "_py"), ("_tx", "_ty"), "_px")
+        cand = radius_pairs(ask, spots, r, ("_px", "_py"), ("_tx", "_ty"))
         return cand.withColumn("_rk", rank).where(F.col("_rk") == 1).drop("_rk")
 
     short = closest(asks, radius / 4.0)
     far = closest(asks.join(short, ["_px", "_py"], "left_anti"), radius)
     hit = short.unionByName(far)
     at_spot = targets.select(target_id, F.col(tx).alias("_tx"), F.col(ty).alias("_ty"))
-    found = salted_join(at_spot, hit, ["_tx", "_ty"], [target_id])
+    found = balanced_join(at_spot, hit, ["_tx", "_ty"])
     who = probes.select(probe_id, F.col(px).alias("_px"), F.col(py).alias("_py"))
-    hits = salted_join(who, found.select("_px", "_py", target_id, "dist"), ["_px", "_py"], [probe_id])
+    hits = balanced_join(who, found.select("_px", "_py", target_id, "dist"), ["_px", "_py"])
     return hits.select(probe_id, target_id, "dist")
 
 
@@ -199,7 +199,7 @@ def nearest_unbounded(
     limit = 2.0 * (span or 0.0) + start_radius
     found, radius = stacked, float(start_radius)
     while True:
-        cand = radius_pairs(asks, spots, radius, ("_px", "_py"), ("_tx", "_ty"), "_px")
+        cand = radius_pairs(asks, spots, radius, ("_px", "_py"), ("_tx", "_ty"))
         if same_table:
             cand = cand.where((F.col("_px") != F.col("_tx")) | (F.col("_py") != F.col("_ty")))
         best = cand.groupBy("_px", "_py").agg(F.min(F.struct("dist", "_lo")).alias("_b"))
@@ -213,6 +213,6 @@ def nearest_unbounded(
             break
         radius *= growth
     who = probes.select(F.col(probe_id).alias("_pid"), F.col("x").alias("_px"), F.col("y").alias("_py"))
-    j = salted_join(who, found, ["_px", "_py"], ["_pid"])
+    j = balanced_join(who, found, ["_px", "_py"])
     tid = F.when(F.col("_pid") == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")) if same_table else F.col("_lo")
     return j.select(F.col("_pid").alias(probe_id), tid.alias(out_id or target_id), "dist")

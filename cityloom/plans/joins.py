@@ -86,7 +86,7 @@ def j8_neighbour_pairs(i: Inputs):
     b = slim(i)
     left = b.select("bid", "rep_x", "rep_y")
     right = b.select(F.col("bid").alias("other"), F.col("rep_x").alias("o_x"), F.col("rep_y").alias("o_y"))
-    pairs = spatial.radius_pairs(left, right, 100.0, ("rep_x", "rep_y"), ("o_x", "o_y"), "bid")
+    pairs = spatial.radius_pairs(left, right, 100.0, ("rep_x", "rep_y"), ("o_x", "o_y"))
     return pairs.where(F.col("bid") < F.col("other")).groupBy("bid").agg(
         F.count(F.lit(1)).alias("n_higher"), F.round(F.max("dist"), 6).alias("farthest"), F.round(F.min("dist"), 6).alias("closest")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cityloom import rules
 from cityloom.operators import evaluation as E, features as B, labelling as L, model as M, sampling as R
+from cityloom.operators.skew import union_all
 from cityloom.plans.inputs import buildings, master, parcels, slim
 from cityloom.plans.joins import NEIGHBOURS
 from cityloom.plans.registry import register
@@ -84,7 +85,7 @@ def w4_group_total(i: Inputs):
     from cityloom.operators.skew import with_group_stats
 
     rows = _parcel_rows(i).where(F.col("parcel_id").isNotNull())
-    return with_group_stats(rows, "parcel_id", {"g": F.sum("gfa_m2")}, ["bid"]).select("bid", F.round("g", 6).alias("parcel_gfa"))
+    return with_group_stats(rows, "parcel_id", {"g": F.sum("gfa_m2")}).select("bid", F.round("g", 6).alias("parcel_gfa"))
 
 
 @register("a21_class_agreement", "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS agreement FROM bp")
@@ -276,20 +277,35 @@ def a29_class_metrics(i: Inputs):
     return E.class_metrics(labelled_predictions(i), LABELS)
 
 
+POISSON = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(R.POISSON_CDF)) + f" ELSE {len(R.POISSON_CDF)} END"
+
+
+BOOT = {
+    "bt": f"""SELECT b, h, gfa_m2, in_parcel, CAST({POISSON} AS DOUBLE) AS t FROM (
+   SELECT *, CAST((h2*h2 + k*40692 + 7) % 2147483647 AS DOUBLE)/2147483647 AS u FROM (
+    SELECT *, (h1*h1 + b*16807 + k*11) % 2147483647 AS h2 FROM (
+     SELECT val_id::BIGINT AS k, b, (truth_arch = pred_class)::INT::DOUBLE AS h, gfa_m2, in_parcel, (val_id::BIGINT*48271 + b*69621 + 20260712) % 2147483647 AS h1
+     FROM pt CROSS JOIN (SELECT unnest(range(1, 10001)) AS b))))""",
+    "reps": """SELECT s.denominator, b, sum(t*h)/sum(t) AS plain, sum(t*gfa_m2*h)/sum(t*gfa_m2) AS weighted FROM bt
+ JOIN (VALUES ('full_matched'), ('in_parcel')) s(denominator) ON s.denominator = 'full_matched' OR in_parcel WHERE t > 0 GROUP BY 1, 2""",
+    "point": """SELECT s.denominator, count(*) AS n, avg((truth_arch = pred_class)::INT) AS plain, sum((truth_arch = pred_class)::INT*gfa_m2)/sum(gfa_m2) AS weighted
+FROM pt JOIN (VALUES ('full_matched'), ('in_parcel')) s(denominator) ON s.denominator = 'full_matched' OR in_parcel GROUP BY 1""",
+}
+
+
 @register(
     "a30_accuracy_by_scope",
     """
-SELECT s.denominator, count(*) AS n, m.metric, round_even(CASE m.metric WHEN 'accuracy' THEN avg((truth_arch = pred_class)::INT)
-   ELSE sum((truth_arch = pred_class)::INT*gfa_m2)/sum(gfa_m2) END*100, 1) AS value
-FROM pt JOIN (VALUES ('full_matched'), ('in_parcel')) s(denominator) ON s.denominator = 'full_matched' OR in_parcel
-CROSS JOIN (VALUES ('accuracy'), ('gfa_weighted_accuracy')) m(metric) GROUP BY 1, 3""",
-    PRED,
+SELECT p.denominator, p.n, m.metric, round_even(any_value(CASE m.metric WHEN 'accuracy' THEN p.plain ELSE p.weighted END)*100, 1) AS value,
+ round_even(quantile_cont(CASE m.metric WHEN 'accuracy' THEN r.plain ELSE r.weighted END, 0.025)*100, 1) AS ci95_lo,
+ round_even(quantile_cont(CASE m.metric WHEN 'accuracy' THEN r.plain ELSE r.weighted END, 0.975)*100, 1) AS ci95_hi
+FROM point p JOIN reps r USING (denominator) CROSS JOIN (VALUES ('accuracy'), ('gfa_weighted_accuracy')) m(metric) GROUP BY 1, 2, 3""",
+    {**PRED, **BOOT},
 )
 def a30_accuracy_by_scope(i: Inputs):
-    return E.accuracy_by_scope(labelled_predictions(i), {"full_matched": F.lit(True), "in_parcel": F.col("in_parcel")})
-
-
-POISSON = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(R.POISSON_CDF)) + " ELSE 8 END"
+    """Both accuracies of both denominators with their bootstrap intervals."""
+    p = labelled_predictions(i)
+    return union_all([E.accuracy_with_interval(p, "val_id", "full_matched"), E.accuracy_with_interval(p.where("in_parcel"), "val_id", "in_parcel")])
 
 
 @register(

@@ -79,7 +79,7 @@ def w6_cluster_size(i: Inputs):
     from cityloom.operators.skew import with_group_stats
 
     c = clusters(i).select("id", "cluster_root")
-    return with_group_stats(c, "cluster_root", {"cluster_size": F.count(F.lit(1))}, ["id"]).select("id", "cluster_size")
+    return with_group_stats(c, "cluster_root", {"cluster_size": F.count(F.lit(1))}).select("id", "cluster_size")
 
 
 @register(

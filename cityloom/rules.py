@@ -126,7 +126,6 @@ POI_BIG_CODES = {
 }
 
 # Scan of POI cells.
-LANDMARK_NAMES = ["港汇恒隆", "美罗城", "国金中心", "环球港", "静安嘉里"]
 DENSE_CLASSES = [1, 2]
 TARGET_CLASSES = [0, 1, 2]
 AREA_THRESHOLDS_HA = [5, 8, 10]
@@ -225,7 +224,6 @@ STUDY_AREAS = {
     "xuhui": (121.40, 31.15, 121.50, 31.25),
     "pudong_lujiazui": (121.48, 31.22, 121.55, 31.27),
 }
-EXPECTED_ROWS_2026 = 843_062
 EXPECTED_ROWS_2023 = 412_099
 ROW_BAND = (838_000, 850_000)
 EOL_STAGE = [  # the first word found in the product name, else in the category, decides

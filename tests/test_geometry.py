@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.operators import features as B, labelling as L, skew, spatial as S
+from cityloom.operators import features as B, labelling as L, spatial as S
 
 
 def ring(*pts):
@@ -94,9 +94,7 @@ def test_neighbours_with_stacked_copies(spark):
     assert n[1]["nn_dist_m"] == 0.0
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_spatial_joins_against_brute_force(spark, salted, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS_PER_SPLIT", 5 if salted else 1 << 40)
+def test_spatial_joins_against_brute_force(spark):
     rng = random.Random(7)
     polys = [(k, square(rng.uniform(0, 900), rng.uniform(0, 900), rng.choice([8.0, 60.0, 700.0]))) for k in range(60)]
     hot = [(k, 100.0 + rng.random(), 100.0 + rng.random()) for k in range(80)]

@@ -153,23 +153,28 @@ def test_exact_quantiles(spark, n):
 
 
 @pytest.mark.parametrize("hot_right", [False, True])
-def test_salted_join_equals_plain(spark, hot_right):
-    many = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(900)] + [(None, 5)], "k int, id int")
-    few = spark.createDataFrame([(k, k * 10) for k in range(0, 900, 2)] + [(1, 7), (1, 8)], "k int, w int")
-    big, small, spread = (few, many, ["w"]) if hot_right else (many, few, ["id"])
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got = skew.salted_join(big, small, ["k"], spread, how, min_rows=50)
-        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, ["k"], how).collect()), key=repr)
-    hot = skew.hot_keys(big, small, ["k"], 50).collect()
-    assert [r.k for r in hot] == [1] and (hot[0]._fs > 1) == hot_right and (hot[0]._fb > 1) != hot_right
-    # rows of the hot key really are spread
-    salted = skew.salted_join(big, small, ["k"], spread, min_rows=50)
-    assert "_n_fb" in salted._jdf.queryExecution().analyzed().toString()
+def test_hot_keys_are_split(spark, hot_right):
+    """A key that is hot on either side: same rows, and the plan that ran holds a skewed join."""
+    tight = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "2k", "autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "8"}
+    old = {k: spark.conf.get(f"spark.sql.{k}", None) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        many = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 900).cast("int").alias("k"), "id")
+        few = spark.range(900).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("w"))
+        big, small = (few, many) if hot_right else (many, few)
+        got = skew.balanced_join(big, small, ["k"])
+        assert got.count() == 30_000
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
 
 
 def test_group_stats(spark):
     big = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(900)], "k int, id int")
-    g = skew.with_group_stats(big.withColumn("k", F.when(F.col("k") != 0, F.col("k"))), "k", {"n": F.count("*")}, ["id"])
+    g = skew.with_group_stats(big.withColumn("k", F.when(F.col("k") != 0, F.col("k"))), "k", {"n": F.count("*")})
     assert g.where("k = 1").first()["n"] == 600 and g.where("k is null").first()["n"] is None
 
 
