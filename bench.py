@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and ``BENCH_CPUS`` (default 8) choose data and cores. Each query
-runs once after a short warm-up; its time covers planning and full evaluation of every output column.
+runs once after a short warm-up; its time covers planning and full evaluation of every output column. The total
+includes the warm-up, which writes the prepared table the queries read.
 """
 
 from __future__ import annotations
@@ -62,10 +63,11 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "total_query_seconds",
-                "value": round(sum(times.values()), 3),
+                "value": round(sum(times.values()) + prepare, 3),
                 "unit": "sec",
                 "queries": times,
                 "prepare_sec": round(prepare, 3),
+                "queries_sec": round(sum(times.values()), 3),
                 "sf": sf,
                 "cpus": int(cpus),
             }
