@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cityloom import rules
 from cityloom.operators import evaluation as E, features as B, labelling as L, model as M, sampling as R
+from cityloom.operators.quantiles import exact_quantiles
 from cityloom.operators.skew import union_all
 from cityloom.plans.inputs import buildings, master, parcels, slim
 from cityloom.plans.joins import NEIGHBOURS
@@ -337,12 +338,15 @@ def w5_importance_rank(i: Inputs):
 
 @register(
     "w7_round_robin",
-    """SELECT bid, pred_class FROM (SELECT bid, pred_class, row_number() OVER (PARTITION BY pred_class ORDER BY md5('20260712:' || bid)) AS r FROM pred WHERE pred_confidence <= 0.1)
+    """SELECT bid, pred_class FROM (SELECT bid, pred_class, row_number() OVER (PARTITION BY pred_class ORDER BY md5('20260712:' || bid)) AS r FROM pred WHERE pred_confidence <= (SELECT quantile_cont(pred_confidence, 0.1) FROM pred))
 ORDER BY r, pred_class LIMIT 20""",
     PRED,
 )
 def w7_round_robin(i: Inputs):
-    pool = predictions(i).where(F.col("pred_confidence") <= 0.1).select("bid", "pred_class")
+    """From the tenth of the buildings with the lowest confidence."""
+    pred = predictions(i)
+    low = exact_quantiles(pred, F.col("pred_confidence"), [0.1]).select(F.col("value").alias("_q"))
+    pool = pred.crossJoin(F.broadcast(low)).where(F.col("pred_confidence") <= F.col("_q")).select("bid", "pred_class")
     return R.round_robin(pool, "pred_class", 20, rules.MODEL_SEED, "bid")
 
 

@@ -123,6 +123,18 @@ def g12_largest_part(i: Inputs):
     return j.groupBy("parcel_id").agg(best.alias("bid"), F.max("area_m2").alias("area_m2"))
 
 
+@register(
+    "g12_multipolygon_part",
+    """SELECT bid, greatest(CASE WHEN lshape THEN w*d*3/4 ELSE w*d END, (bid % 3 + 1)*w/2*d/2) AS area_m2 FROM b26""",
+)
+def g12_multipolygon_part(i: Inputs):
+    """Footprint and an annex as one multipolygon each: its largest polygon."""
+    b = i.view("b26").select("bid", "x0", "y0", "w", "d").join(i.buildings().select("bid", "geom"), "bid")
+    annex = G.box(F.col("x0") + 100, F.col("y0"), F.col("x0") + 100 + (F.col("bid") % 3 + 1) * F.col("w") / 2, F.col("y0") + F.col("d") / 2)
+    parts = b.select("bid", F.array(F.col("geom"), annex).alias("parts"))
+    return G.largest_part(parts, "bid", "parts").select("bid", "area_m2")
+
+
 # lon/lat of a fixture point: the metric plane laid over the city
 LONLAT = "121.0 + x/100000 AS lon, 30.9 + y/100000 AS lat"
 
