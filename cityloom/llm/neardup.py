@@ -1,11 +1,14 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of hashed word shingles over all texts, in a table of fixed size.
+1. Document frequencies of hashed word shingles over all distinct texts, in a table of fixed size.
 2. Each text becomes a bag of shingles weighted by term frequency and a bounded inverse document frequency. Improved
    consistent weighted sampling (Ioffe, 2010) draws samples that two texts share with the probability of their weighted
-   Jaccard similarity; ``rows`` samples make a band, and texts that share a band are candidates.
-3. The weight of a text that other candidates hold too bounds its similarity to any of them from above; texts whose bound
-   is too low leave. The others are verified by their exact weighted Jaccard similarity, first every text of a band
+   Jaccard similarity; ``rows`` samples make a band, and texts that share a band are candidates. As many bands again are
+   of smallest hashes of the plain set of shingles: in a large group of near copies the shared shingles weigh little, and
+   the weighted similarity of a pair falls with the size of its group, the plain one does not.
+3. What a text has in common with any other candidate, by weight and by number, bounds its similarities to them from
+   above, in the bands of either kind; texts whose bound is too low leave. The others are verified exactly and linked if the weighted or the
+   plain Jaccard similarity reaches the limit, first every text of a band
    against a few leaders of the band and of similar size. Where a band still holds several classes, the texts outside its
    largest class are verified against all others of the band whose joint bound allows a link. So no link is lost, and a
    group of k copies costs about k comparisons, not k squared.
@@ -105,13 +108,15 @@ def idf_weight(n: int, df: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame, text: str, k: int = WORDS, bits: int = DF_BITS) -> np.ndarray:
-    """:func:`idf_weight` by hashed shingle.
+    """:func:`idf_weight` by hashed shingle; equal texts count once.
 
     The table has ``2**bits`` entries whatever the input; a rare shingle's frequency is overstated by what shares its
     entry, at most one text in a few thousand, which leaves it at full weight.
     """
     rows = (
-        docs.select(text)
+        docs.groupBy(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+        .agg(F.first(text).alias(text))
+        .select(text)
         .mapInArrow(_count_frequencies(k, bits), "part int, counts binary, docs long")
         .repartition("part")
         .mapInArrow(_add_frequencies, "part int, counts binary, docs long")
@@ -144,6 +149,15 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     return out
 
 
+def minima(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """``n`` smallest hashes per document (rows in order of document), shared with the probability of the plain Jaccard similarity."""
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    out = np.empty((len(head), n), np.uint64)
+    for j in range(n):
+        out[:, j] = np.minimum.reduceat(textkit.mix(h ^ np.uint64((j + 1) * 0xA0761D6478BD642F % 2**64)), head)
+    return out
+
+
 def _signatures(k: int, bits: int, idf, bands: int, rows: int):
     def run(batches):
         weights = idf.value
@@ -154,8 +168,8 @@ def _signatures(k: int, bits: int, idf, bands: int, rows: int):
                 if not len(doc):
                     continue
                 w = tf * weights[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                sig = samples(doc, h, w.astype(np.float32), bands * rows)
-                key = np.zeros((len(sig), bands), np.uint64)
+                sig = np.hstack([samples(doc, h, w.astype(np.float32), bands * rows), minima(doc, h, bands * rows)])
+                key = np.zeros((len(sig), 2 * bands), np.uint64)
                 for j in range(rows):
                     key = textkit.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows])
                 whole, same = textkit.digests(words)
@@ -191,8 +205,10 @@ def _vectors(k: int, bits: int, idf):
                         pa.array([w[a:b].tobytes() for a, b in zip(head, tail, strict=True)], pa.binary()),
                         pa.array([float(w[a:b].sum(dtype=np.float64)) for a, b in zip(head, tail, strict=True)], pa.float64()),
                         pa.array([np.bincount(part[a:b], weights=w[a:b], minlength=SLICES).tolist() for a, b in zip(head, tail, strict=True)], pa.list_(pa.float64())),
+                        pa.array([float(b - a) for a, b in zip(head, tail, strict=True)], pa.float64()),
+                        pa.array([np.bincount(part[a:b], minlength=SLICES).astype(float).tolist() for a, b in zip(head, tail, strict=True)], pa.list_(pa.float64())),
                     ],
-                    names=["node", "h", "w", "total", "slices"],
+                    names=["node", "h", "w", "total", "slices", "number", "parts"],
                 )
 
     return run
@@ -209,16 +225,21 @@ def _entries(batches):
 
 def _bounds(vectors: DataFrame) -> DataFrame:
     """``node, total, common``: the weight of each text, and by slice of the hashes (``SLICES``) at most how much of it any
-    other text of ``vectors`` holds. Two texts share at most the sum over slices of the smaller ``common``."""
+    other text of ``vectors`` holds; ``number, alike``: the same with every shingle counted as 1. Two texts share at most
+    the sum over slices of the smaller ``common`` or ``alike``."""
     mine = vectors.select("node", "h", "w").mapInArrow(_entries, "h long, node long, w float")
     # a shingle that only one candidate holds cannot be shared
     mine = mine.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1")
-    own = [F.sum(F.when(F.pmod("h", F.lit(SLICES)) == k, F.col("w")).otherwise(0.0)) for k in range(SLICES)]
-    mine = mine.groupBy("node").agg(F.array(*own).alias("own"))
-    every = [F.sum(F.get("slices", F.lit(k))) for k in range(SLICES)]
-    weights = vectors.groupBy("node").agg(F.min("total").alias("total"), F.array(*every).alias("slices")).join(mine, "node", "left")
-    rest = F.zip_with("slices", F.coalesce("own", F.array_repeat(F.lit(0.0), SLICES)), lambda a, o: a * (1 + 1e-6) - o)
-    return weights.select("node", "total", rest.alias("common"))
+    at = F.pmod("h", F.lit(SLICES))
+    own, alone = ([F.sum(F.when(at == k, x).otherwise(0.0)) for k in range(SLICES)] for x in (F.col("w"), F.lit(1.0)))
+    mine = mine.groupBy("node").agg(F.array(*own).alias("own"), F.array(*alone).alias("alone"))
+    every, each = (F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(SLICES))) for c in ("slices", "parts"))
+    weights = vectors.groupBy("node").agg(F.min("total").alias("total"), every.alias("slices"), F.min("number").alias("number"), each.alias("parts"))
+    weights = weights.join(mine, "node", "left")
+    none = F.array_repeat(F.lit(0.0), SLICES)
+    rest = F.zip_with("slices", F.coalesce("own", none), lambda a, o: a * (1 + 1e-6) - o)
+    left = F.zip_with("parts", F.coalesce("alone", none), lambda a, o: a - o)
+    return weights.select("node", "total", rest.alias("common"), "number", left.alias("alike"))
 
 
 def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
@@ -231,6 +252,12 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return low / top if top else 0.0
 
 
+def plain_jaccard(h1: np.ndarray, h2: np.ndarray) -> float:
+    """Jaccard similarity of two sets given by sorted distinct hashes."""
+    both = len(np.intersect1d(h1, h2, assume_unique=True))
+    return both / max(len(h1) + len(h2) - both, 1)
+
+
 def _verify(similarity: float):
     def run(batches):
         for batch in batches:
@@ -238,8 +265,9 @@ def _verify(similarity: float):
             sides = [batch.column(c).to_pylist() for c in ("h", "w", "h2", "w2")]
             hit = []
             for row, (h1, w1, h2, w2) in enumerate(zip(*sides, strict=True)):
-                s = weighted_jaccard(np.frombuffer(h1, np.uint64), np.frombuffer(w1, np.float32), np.frombuffer(h2, np.uint64), np.frombuffer(w2, np.float32))
-                if s >= similarity:
+                h1, h2 = np.frombuffer(h1, np.uint64), np.frombuffer(h2, np.uint64)
+                s = weighted_jaccard(h1, np.frombuffer(w1, np.float32), h2, np.frombuffer(w2, np.float32))
+                if s >= similarity or plain_jaccard(h1, h2) >= similarity:
                     hit.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([u[r] for r in hit], pa.int64()), pa.array([v[r] for r in hit], pa.int64())], names=["u", "v"])
 
@@ -258,11 +286,12 @@ def duplicate_classes(
 ) -> DataFrame:
     """``doc_id, class_id`` for every distinct non-null id; ``class_id`` is the smallest id of the near-duplicate class.
 
-    Two texts are linked when their weighted Jaccard similarity over ``words``-word shingles reaches ``similarity``, and
-    equal texts always are. Rows that share an id belong to one class. A null, empty or blank text has no shingles and is
+    Two texts are linked when their weighted or their plain Jaccard similarity over ``words``-word shingles reaches
+    ``similarity``, and equal texts always are. Rows that share an id belong to one class. A null, empty or blank text has no shingles and is
     a class of its own, as is a text without a partner. Rows with a null id cannot be named and are not returned. Empty
     table: empty result. Only ``doc_id`` and ``text`` are read. A candidate pair at the threshold itself is missed with
-    probability ``(1 - similarity**rows) ** bands`` (0.03 % by default), nearer pairs far more rarely.
+    probability ``(1 - similarity**rows) ** bands`` (0.03 % by default) at most, nearer pairs far more rarely; there are
+    ``bands`` bands for either similarity.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -281,11 +310,15 @@ def duplicate_classes(
 
     wanted = shared.select("node").distinct()
     vectors = table(
-        source.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_vectors(words, df_bits, idf), "node long, h binary, w binary, total double, slices array<double>"), "vectors"
+        source.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_vectors(words, df_bits, idf), "node long, h binary, w binary, total double, slices array<double>, number double, parts array<double>"), "vectors"
     )
+    # from here on the bands of smallest hashes go by numbers of shingles, the others by weight
+    plain = F.col("band") >= bands
     held = sum(F.get("common", F.lit(k)) for k in range(SLICES))
-    able = _bounds(vectors).withColumn("held", held).where(F.col("held") >= similarity * F.col("total"))
-    shared = table(shared.join(able, "node"), "bands")
+    shared = shared.join(_bounds(vectors), "node").select(
+        "node", "band", "key", F.when(plain, F.col("number")).otherwise(F.col("total")).alias("total"), F.when(plain, F.col("alike")).otherwise(F.col("common")).alias("common")
+    )
+    shared = table(shared.withColumn("held", held).where(F.col("held") >= similarity * F.col("total")), "bands")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = vectors.select(F.col("node").alias("u"), "h", "w").hint("merge")

@@ -145,6 +145,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == _classes(rows)
 
 
+def test_near_copies_of_a_hot_text_against_brute_force_on_plain_jaccard(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    hot = [word() for _ in range(100)]
+    rows = []
+    for i in range(240):  # a third: exact copies of one text, and copies with one word changed
+        text = list(hot) if i % 3 == 0 else [word() for _ in range(100)]
+        if i % 3 == 0 and i % 2:
+            text[rng.randrange(5, 95)] = word()
+        rows.append((i, " ".join(text)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: min([k for k in sets if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]) for i in sets}
+    assert len(set(want.values())) == 161
+    got = {r.doc_id: r.class_id for r in neardup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_permutation_and_tree():
     for n in (1, 2, 5, 257, 4096):
         assert sorted(mixing.permute(np.arange(n), n, 9).tolist()) == list(range(n))
