@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cityloom.llm import decontaminate, langid, mixing, neardup, quality, substring, tokencount, toxicity, urlfilter, warc
+from cityloom.llm import decontaminate, langid, merkle, mixing, neardup, quality, substring, tokencount, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,6 +150,49 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query(
+    "op13_merkle_manifest",
+    """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, n_chars, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+         coalesce(strlen(lang) || ':' || lang, '-')) AS a, coalesce(strlen(text) || ':' || text, '-') AS b FROM documents),
+leaf AS (SELECT doc_id, lang, sha256(concat(a, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), b)) AS h,
+         sha256(concat(a, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-'), b)) AS changed FROM f),
+lv AS (SELECT lang, 0 AS lvl, row_number() OVER (PARTITION BY lang ORDER BY doc_id, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, h FROM leaf
+       UNION ALL
+       SELECT lang, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY lang, lvl, n, i // 2),
+top AS (SELECT 0 AS lvl, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, lang, h FROM lv WHERE n = 1
+        UNION ALL
+        SELECT lvl + 1, i // 2, (n + 1) // 2, NULL, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, n, i // 2),
+sub AS (SELECT lang, i, h AS subroot FROM top WHERE lvl = 0),
+one AS (SELECT h AS root FROM top WHERE n = 1),
+mine AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, h) - 1 AS i FROM leaf),
+step AS (SELECT m.doc_id, s.lvl, s.i % 2 AS side, s.h FROM mine m JOIN lv s ON s.lang IS NOT DISTINCT FROM m.lang AND s.n > 1 AND s.i = xor(m.i >> s.lvl, 1)
+         UNION ALL
+         SELECT m.doc_id, 1000 + s.lvl, s.i % 2, s.h FROM mine m JOIN sub ON sub.lang IS NOT DISTINCT FROM m.lang JOIN top s ON s.n > 1 AND s.i = xor(sub.i >> s.lvl, 1)),
+rungs AS (SELECT m.doc_id, s.lvl FROM mine m JOIN (SELECT DISTINCT lang, lvl FROM lv WHERE n > 1) s ON s.lang IS NOT DISTINCT FROM m.lang
+          UNION ALL SELECT m.doc_id, 1000 + s.lvl FROM mine m, (SELECT DISTINCT lvl FROM top WHERE n > 1) s),
+proof AS (SELECT doc_id, list({'side': coalesce(side, 1), 'h': coalesce(h, '')} ORDER BY lvl) AS p FROM rungs LEFT JOIN step USING (doc_id, lvl) GROUP BY doc_id),
+bad AS (SELECT doc_id, xor(list_reduce(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT)),
+            lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))), 4294967295), 4294967295) % 7 = 0 AS bad FROM leaf),
+done AS (SELECT m.doc_id, m.h AS leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(p, lambda x: x.h), ''), '')) AS proof_sha256,
+         coalesce(list_reduce(list_transform(p, lambda x: {'side': x.side, 'h': x.h}), lambda acc, x: {'side': 0, 'h': sha256(CASE WHEN x.side = 0 THEN x.h || acc.h ELSE acc.h || x.h END)},
+                  {'side': 0, 'h': CASE WHEN bad THEN changed ELSE m.h END}).h, CASE WHEN bad THEN changed ELSE m.h END) AS folded_root
+         FROM mine m JOIN sub ON sub.lang IS NOT DISTINCT FROM m.lang CROSS JOIN one LEFT JOIN proof USING (doc_id) JOIN bad USING (doc_id))
+SELECT *, folded_root = root AS verified FROM done
+""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    proven = merkle.manifest(_table(spark, folder, "documents"))
+    wrong = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    start = F.when(wrong, F.col("tampered")).otherwise(F.col("leaf"))
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.proof_text(F.col("left"), F.col("right")), 256).alias("proof_sha256"),
+        merkle.fold(start, F.col("left"), F.col("right")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
