@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cityloom.llm import decontaminate, langid, merkle, mixing, neardup, quality, substring, tokencount, toxicity, urlfilter, warc
+from cityloom.llm import ann, decontaminate, langid, merkle, mixing, neardup, quality, substring, tokencount, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,6 +150,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query("op11_nearest_vectors")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    index = ann.calibrate(ann.build(vectors))
+    return ann.search(index, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @_query(
     "op13_merkle_manifest",
     """
