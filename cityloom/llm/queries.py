@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cityloom.llm import ann, decontaminate, langid, merkle, mixing, neardup, quality, substring, tokencount, toxicity, urlfilter, warc
+from cityloom.llm import ann, decontaminate, langid, merkle, mixing, neardup, quality, spelling, substring, tokencount, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,6 +157,32 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(index, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+@_query(
+    "op12_spelling_variants",
+    r"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hex AS (SELECT *, hex(encode(concat(doc_id, ':', run))) AS x FROM runs),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda k: CAST('0x' || substr(x, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+            lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) AS h FROM hex),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, c FROM hashed),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+gone AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM gone a JOIN gone b USING (i, v) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gone a JOIN w b ON a.v = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gone a JOIN w b ON a.v = b.word),
+near AS (SELECT word, count(*) AS n_near FROM pairs GROUP BY word),
+best AS (SELECT word, other AS form, other_n AS form_n FROM pairs WHERE other_n >= 10 * n
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+walk AS (SELECT word, word AS root FROM w UNION ALL SELECT walk.word, best.form FROM walk JOIN best ON best.word = walk.root),
+ends AS (SELECT word, root FROM walk ANTI JOIN best ON best.word = walk.root)
+SELECT word, n, coalesce(n_near, 0) AS n_near, form, form_n, root FROM w JOIN ends USING (word) LEFT JOIN near USING (word) LEFT JOIN best USING (word)
+""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 @_query(
     "op13_merkle_manifest",
     """
