@@ -10,8 +10,8 @@
    above, in the bands of either kind; texts whose bound is too low leave. The others are verified exactly and linked if the weighted or the
    plain Jaccard similarity reaches the limit, first every text of a band
    against a few leaders of the band and of similar size. Where a band still holds several classes, the texts outside its
-   largest class are verified against all others of the band whose joint bound allows a link. So no link is lost, and a
-   group of k copies costs about k comparisons, not k squared.
+   largest class are verified against all others with which they share a rare shingle (:func:`rare_pairs`). So no link is
+   lost, and a group of k copies costs about k comparisons, not k squared.
 4. Classes are connected components of the links. Equal texts are one node throughout.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cityloom.llm import textkit
 from cityloom.llm.storage import ship, table
@@ -30,10 +30,9 @@ SIMILARITY = 0.8
 BANDS = 8
 ROWS = 2
 DF_BITS = 20
-LEADERS = 6
+LEADERS = 3
 SIZE_CLASS = 0.1
 SLICES = 16
-TURNS = 1
 _CHUNK = 1 << 16
 
 _DRAWS = np.random.default_rng(7919)
@@ -274,6 +273,35 @@ def _verify(similarity: float):
     return run
 
 
+def rare_pairs(vectors: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: pairs of different ``root``, one of them ``outside``, that can reach ``similarity``; complete, by prefixes.
+
+    The shingles of a text are put in order of how many of ``vectors`` hold them. A pair at the limit shares the fraction
+    ``s / (1 + s)`` of both sizes; its rarest shared shingle therefore lies where at least so much is left of either text.
+    Only these beginnings are joined, by shingle and class of size, for numbers and for weights of shingles alike. What is
+    common to a whole group of near copies lies behind the beginnings of texts that differ from the group, so their
+    candidates are the few that share their own shingles.
+    """
+    entries = vectors.select("node", "h", "w").mapInArrow(_entries, "h long, node long, w float")
+    often = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")  # what one text alone holds cannot be shared
+    rest = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("h"))
+    placed = entries.join(often, "h").select("node", "h", F.count("*").over(rest).cast("double").alias("left"), F.sum(F.col("w").cast("double")).over(rest).alias("heavy"))
+    kinds = F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("number").alias("size"), F.col("left").alias("rest")), F.struct(F.lit(1).alias("kind"), F.col("total").alias("size"), F.col("heavy").alias("rest"))))
+    placed = placed.join(vectors.select("node", "root", "outside", "number", "total"), "node").select("node", "root", "outside", "h", kinds)
+    slack = 1 - 1e-6
+    tokens = table(placed.where(F.col("rest") >= similarity * slack * F.col("size")), "beginnings")
+    width = float(np.log(1.05))
+    grade = lambda size: F.floor(F.log(size) / width)
+    share = similarity / (1 + similarity) * slack
+    mine = tokens.where("outside").withColumn("grade", F.explode(F.sequence(grade(F.col("size") * similarity * slack), grade(F.col("size") / similarity / slack))))
+    least = F.greatest(F.exp(F.col("grade") * width), F.col("size") * similarity)
+    mine = mine.where(F.col("rest") >= share * (F.col("size") + least)).drop("outside")
+    other = tokens.select("kind", "h", grade(F.col("size")).alias("grade"), *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "size", "rest")))
+    reach = F.least("rest", "o_rest") >= share * (F.col("size") + F.col("o_size"))
+    met = mine.join(other, ["kind", "h", "grade"]).where((F.col("root") != F.col("o_root")) & reach)
+    return met.select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v")).distinct()
+
+
 def duplicate_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -327,30 +355,21 @@ def duplicate_classes(
             pairs.join(right, "v").join(left, "u").select("u", "v", "h", "w", "h2", "w2").mapInArrow(_verify(similarity), "u long, v long"), "links"
         )
 
-    def pairs(some: DataFrame, rest: DataFrame) -> DataFrame:
-        """Pairs of one band, different class and a joint bound that allows a link."""
-        other = some.select("band", "key", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "total", "common")))
-        low = sum(F.least(F.get("common", F.lit(k)), F.get("a_common", F.lit(k))) for k in range(SLICES))
-        link = (F.col("a_root") != F.col("root")) & (low >= similarity * (F.col("total") + F.col("a_total") - low))
-        return other.join(rest, ["band", "key"]).where(link).select(F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")).distinct()
-
-    links, comp = None, None
-    for turn in range(TURNS):
-        named = _with_classes(shared, comp)
-        # leaders of each band and class of size: the text with the highest bound, then texts outside the largest class by hash
-        outside = F.when(F.col("root") != F.col("main"), 0).otherwise(1)
-        picks = [F.min_by("node", F.struct(outside, -F.col("held") / F.col("total"), "node"))]
-        picks += [F.min_by("node", F.struct(outside, F.xxhash64("node", F.lit(turn), F.lit(k)))) for k in range(1, LEADERS)]
-        lead = named.groupBy("band", "key", F.floor(F.log("total") / SIZE_CLASS)).agg(
-            F.array_distinct(F.array(*picks)).alias("nodes"), F.max(F.when(F.col("root") == F.col("main"), 0).otherwise(1)).alias("n")
-        )
-        lead = lead.where("n > 0").select("band", "key", F.explode("nodes").alias("node"))
-        found = verified(pairs(named.join(lead, ["band", "key", "node"]), named))
-        links = found if links is None else links.unionByName(found)
-        comp = table(connected_components(links), "classes")
-    # bands that still hold several classes: those outside the largest class against all others
+    # every text of a band against a few leaders of its class of size: the text with the highest bound, the others by hash
+    picks = [F.min_by("node", F.struct(-F.col("held") / F.col("total"), "node"))]
+    picks += [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, LEADERS)]
+    lead = shared.groupBy("band", "key", F.floor(F.log("total") / SIZE_CLASS)).agg(F.array_distinct(F.array(*picks)).alias("nodes"))
+    lead = shared.join(lead.select("band", "key", F.explode("nodes").alias("node")), ["band", "key", "node"])
+    lead = lead.select("band", "key", *(F.col(c).alias(f"a_{c}") for c in ("node", "total", "common")))
+    low = sum(F.least(F.get("common", F.lit(k)), F.get("a_common", F.lit(k))) for k in range(SLICES))
+    link = (F.col("a_node") != F.col("node")) & (low >= similarity * (F.col("total") + F.col("a_total") - low))
+    links = verified(lead.join(shared, ["band", "key"]).where(link).select(F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")).distinct())
+    comp = table(connected_components(links), "classes")
+    # bands that still hold several classes: texts outside the largest one against all others that share a rare shingle
     named = _with_classes(shared, comp)
-    more = verified(pairs(named.where("root <> main"), named))
+    open_ = named.join(named.where("root <> main").select("band", "key").distinct(), ["band", "key"])
+    open_ = table(open_.groupBy("node").agg(F.min("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside")), "open")
+    more = verified(rare_pairs(vectors.join(open_, "node"), similarity))
     edges = links.unionByName(more).unionByName(copies)
     final = table(connected_components(edges), "classes")
     return (
@@ -358,11 +377,9 @@ def duplicate_classes(
     )
 
 
-def _with_classes(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _with_classes(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """Band members with their class so far (``root``) and the largest class of the band (``main``)."""
-    named = shared.withColumn("root", F.col("node"))
-    if comp is not None:
-        named = shared.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = shared.select("band", "key", "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = named.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     return table(named.join(main, ["band", "key"]), "named")
 
