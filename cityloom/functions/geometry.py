@@ -50,6 +50,19 @@ class _Edges:
         self.count = np.bincount(self.row, minlength=n)
         self.start = np.cumsum(self.count) - self.count
 
+    @classmethod
+    def closed(cls, n: int, row: np.ndarray, x: np.ndarray, y: np.ndarray) -> _Edges:
+        """One ring per row, from its vertices in order."""
+        e = cls.__new__(cls)
+        e.n, e.row, e.x, e.y = n, row, x, y
+        e.count = np.bincount(row, minlength=n)
+        e.start = np.cumsum(e.count) - e.count
+        nxt = np.arange(1, len(x) + 1)
+        full = e.count > 0
+        nxt[(e.start + e.count - 1)[full]] = e.start[full]
+        e.x2, e.y2 = x[nxt], y[nxt]
+        return e
+
     def total(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=v, minlength=self.n)
 
@@ -199,39 +212,52 @@ def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.abs(out))
 
 
-def _hull(xs: list, ys: list) -> list:
-    """Convex hull vertices, counter-clockwise, without collinear ones."""
-    pts = sorted(set(zip(xs, ys)))
-    if len(pts) < 3:
-        return []
-
-    def half(seq: list) -> list:
-        chain: list = []
-        for px, py in seq:
-            while len(chain) > 1:
-                (ax, ay), (bx, by) = chain[-2], chain[-1]
-                if (bx - ax) * (py - ay) - (by - ay) * (px - ax) > 0:
-                    break
-                chain.pop()
-            chain.append((px, py))
-        return chain[:-1]
+def _chain(row: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of the points on the strictly left-turning chain of each row; points come in order along the chain.
 
-    ring = half(pts) + half(pts[::-1])
-    return ring if len(ring) > 2 else []
+    A point that does not turn left between two other points of its row is on no such chain, so all of them leave at once;
+    rounds end when every turn that is left is a left turn.
+    """
+    at = np.arange(len(row))
+    while len(at) > 2:
+        r, px, py = row[at], x[at], y[at]
+        turn = (px[1:-1] - px[:-2]) * (py[2:] - py[:-2]) - (py[1:-1] - py[:-2]) * (px[2:] - px[:-2])
+        gone = (r[:-2] == r[2:]) & (turn <= 0)
+        if not gone.any():
+            break
+        at = at[np.concatenate([[True], ~gone, [True]])]
+    return at
+
+
+def _hulls(e: _Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, x and y of the convex hull vertices of each row, counter-clockwise, without collinear ones or flat hulls."""
+    order = np.lexsort((e.y, e.x, e.row))
+    row, x, y = e.row[order], e.x[order], e.y[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    row, x, y = row[new], x[new], y[new]
+    lower = _chain(row, x, y)
+    upper = len(row) - 1 - _chain(row[::-1], x[::-1], y[::-1])
+    parts = []
+    for part, chain in enumerate((lower, upper)):
+        last = np.append(row[chain][1:] != row[chain][:-1], True) if len(chain) else np.zeros(0, bool)
+        parts.append((chain[~last], np.full((~last).sum(), part)))  # the other chain begins with it
+    at, part = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    at = at[np.lexsort((np.arange(len(at)), part, row[at]))]
+    whole = np.bincount(row[at], minlength=e.n) > 2
+    at = at[whole[row[at]]]
+    return row[at], x[at], y[at]
 
 
 @arrow_udf(_doubles(HULL))
 def hull_measures(geom: pa.Array) -> pa.Array:
     """Hull area and sides of the minimum-area rotated rectangle (the shorter rectangle on ties).
 
-    Only the hull walk goes vertex by vertex; areas and the rectangle on every hull edge are one batch.
+    Hulls, areas and the rectangle on every hull edge are computed for the whole batch at once.
     """
     e = _Edges(geom)
-    xs, ys = e.x.tolist(), e.y.tolist()
-    hulls = [_hull(xs[s : s + c], ys[s : s + c]) for s, c in zip(e.start.tolist(), e.count.tolist())]
-    size = np.array([len(h) for h in hulls], dtype=np.int64)
-    rings = pa.array([[[{"x": x, "y": y} for x, y in h]] if h else [] for h in hulls], geom.type)
-    h = _Edges(rings)
+    h = _Edges.closed(e.n, *_hulls(e))
+    size = h.count
     cols = [np.where(e.count > 0, 0.0, np.nan), np.full(e.n, np.nan), np.full(e.n, np.nan)]
     if len(h.x):
         cols[0] = np.where(size > 0, h.area(), cols[0])

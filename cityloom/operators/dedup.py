@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cityloom import rules
 from cityloom.operators.graph import connected_components
 from cityloom.operators.skew import balanced_join
+from cityloom.session import cut_lineage
 from cityloom.sources.tables import lookup
 
 # Rows of one micro-bucket always satisfy all three limits pairwise.
@@ -33,39 +34,108 @@ def _bins(value: Column, tol: float, width: float) -> Column:
     return F.sequence(F.floor((value - tol) / width), F.floor((value + tol) / width))
 
 
+def _forward_cells(df: DataFrame) -> DataFrame:
+    """Own cell of side ``DISTANCE_TOL_M`` and the four behind it: of two cells side by side exactly one sees the other."""
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (-1, -1), (-1, 0), (-1, 1), (0, -1))])
+    out = df.withColumn("_s", F.explode(steps))
+    return out.withColumns({f"_c{c}": F.floor(F.col(c) / rules.DISTANCE_TOL_M) + F.col(f"_s.{c}") for c in "xy"}).drop("_s")
+
+
 def model_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Same-model partners of every row: ``id, o_id`` (both directions).
+    """Same-model pairs of rows, each pair once: ``id, o_id`` with the columns of both sides.
 
     ``df`` has ``id, x, y, area, height``. Equi-join on cell, height bin and log-area bin.
     """
     by = by or []
     pos = df.where(F.col("area") > 0)
     log_a = F.log("area")
-    left = pos.withColumns(
-        {
-            "_cx": F.floor(F.col("x") / rules.DISTANCE_TOL_M),
-            "_cy": F.floor(F.col("y") / rules.DISTANCE_TOL_M),
-            "_ch": F.floor(F.col("height") / _BIN_H),
-            "_ca": F.floor(log_a / _BIN_LOG),
-        }
-    )
-    right = (
-        pos.withColumn("_cx", F.explode(_bins(F.col("x"), rules.DISTANCE_TOL_M, rules.DISTANCE_TOL_M)))
-        .withColumn("_cy", F.explode(_bins(F.col("y"), rules.DISTANCE_TOL_M, rules.DISTANCE_TOL_M)))
-        .withColumn("_ch", F.explode(_bins(F.col("height"), rules.HEIGHT_ABS_TOL_M, _BIN_H)))
-        .withColumn("_ca", F.explode(_bins(log_a, 2 * _MICRO_LOG, _BIN_LOG)))
-        .withColumnsRenamed({c: f"o_{c}" for c in pos.columns if c not in by})
-    )
+    own = {f"_c{c}": F.floor(F.col(c) / rules.DISTANCE_TOL_M) for c in "xy"}
+    left = pos.withColumns({**own, "_ch": F.floor(F.col("height") / _BIN_H), "_ca": F.floor(log_a / _BIN_LOG)})
+    right = _forward_cells(pos.withColumns({"_ox": own["_cx"], "_oy": own["_cy"]}))
+    right = right.withColumn("_ch", F.explode(_bins(F.col("height"), rules.HEIGHT_ABS_TOL_M, _BIN_H)))
+    right = right.withColumn("_ca", F.explode(_bins(log_a, 2 * _MICRO_LOG, _BIN_LOG)))
+    right = right.withColumnsRenamed({c: f"o_{c}" for c in pos.columns if c not in by})
     keys = [*by, "_cx", "_cy", "_ch", "_ca"]
-    return balanced_join(left, right, keys).where(_same_model() & (F.col("id") != F.col("o_id")))
+    # rows of one cell meet in both roles
+    once = (F.col("_cx") != F.col("_ox")) | (F.col("_cy") != F.col("_oy")) | (F.col("id") < F.col("o_id"))
+    return balanced_join(left, right, keys).where(once & _same_model())
+
+
+def partners(pairs: DataFrame) -> DataFrame:
+    """``id, o_id`` in both directions."""
+    return pairs.select(F.inline(F.array(F.struct("id", "o_id"), F.struct(F.col("o_id").alias("id"), F.col("id").alias("o_id")))))
+
+
+_SPAN = ["x", "y", "height", "area"]
+_CUT = {"x": _MICRO_M, "y": _MICRO_M, "height": rules.HEIGHT_ABS_TOL_M, "area": _MICRO_LOG}
+
+
+def _boxed(kinds: DataFrame, by: list[str], level: int) -> DataFrame:
+    """Boxes of the buckets of ``level``: each is cut in half along every side from one level to the next."""
+    place = {f"_q{c}": F.floor((F.log(c) if c == "area" else F.col(c)) / (_CUT[c] / 2**level)) for c in _SPAN}
+    ends = [f(c).alias(f"{t}_{c}") for c in _SPAN for f, t in ((F.min, "lo"), (F.max, "hi"))]
+    return kinds.withColumns(place).groupBy(*by, "node", *place).agg(*ends)
+
+
+def _side(boxes: DataFrame, by: list[str], tag: str) -> DataFrame:
+    return boxes.withColumnsRenamed({c: f"{tag}{c}" for c in boxes.columns if c not in by})
+
+
+def _least_and_most() -> tuple[Column, Column]:
+    """Whether some pair of two boxes could be of the same model, and whether every pair is."""
+    gap = {c: F.greatest(F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}"), F.lit(0.0)) for c in _SPAN}
+    reach = {c: F.greatest(F.abs(F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}")), F.abs(F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}"))) for c in _SPAN}
+    some = (gap["height"] <= rules.HEIGHT_ABS_TOL_M) & (F.hypot(gap["x"], gap["y"]) <= rules.DISTANCE_TOL_M)
+    some &= gap["area"] / F.greatest(F.least("a_hi_area", "b_hi_area"), F.greatest("a_lo_area", "b_lo_area")) <= rules.AREA_REL_TOL
+    every = (reach["height"] <= rules.HEIGHT_ABS_TOL_M) & (F.hypot(reach["x"], reach["y"]) <= rules.DISTANCE_TOL_M)
+    every &= F.greatest((F.col("a_hi_area") - F.col("b_lo_area")) / F.col("a_hi_area"), (F.col("b_hi_area") - F.col("a_lo_area")) / F.col("b_hi_area")) <= rules.AREA_REL_TOL
+    return some, every
+
+
+def touching_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, u, v``: pairs of buckets that hold at least one same-model pair of rows between them.
+
+    ``kinds``: distinct ``x, y, area, height`` with their bucket ``node``. Bounding boxes settle most pairs of buckets; those
+    left open are cut in half along every side and compared again, down to single kinds, until one pair of parts links them.
+    """
+    some, every = _least_and_most()
+    boxes = _boxed(kinds, by, 0)
+    left = boxes.withColumns({"_cx": F.floor(F.col("lo_x") / rules.DISTANCE_TOL_M), "_cy": F.floor(F.col("lo_y") / rules.DISTANCE_TOL_M), "_ch": F.floor(F.col("lo_height") / _BIN_H), "_ca": F.floor(F.log("lo_area") / _BIN_LOG)})
+    # two buckets that touch have their lower corners within the limits and one bucket's sides
+    near = {c: F.sequence(F.floor((F.col(f"lo_{c}") - rules.DISTANCE_TOL_M - _MICRO_M) / rules.DISTANCE_TOL_M), F.floor((F.col(f"lo_{c}") + rules.DISTANCE_TOL_M + _MICRO_M) / rules.DISTANCE_TOL_M)) for c in "xy"}
+    right = boxes.withColumn("_cx", F.explode(near["x"])).withColumn("_cy", F.explode(near["y"]))
+    right = right.withColumn("_ch", F.explode(_bins(F.col("lo_height"), 2 * rules.HEIGHT_ABS_TOL_M, _BIN_H))).withColumn("_ca", F.explode(_bins(F.log("lo_area"), 3 * _MICRO_LOG, _BIN_LOG)))
+    cells = ["_cx", "_cy", "_ch", "_ca"]
+    met = balanced_join(_side(left, [*by, *cells], "a_"), _side(right, [*by, *cells], "b_"), [*by, *cells])
+    met = cut_lineage(met.where((F.col("a_node") < F.col("b_node")) & some).withColumn("_linked", every).drop(*cells))
+    pair = [*by, "a_node", "b_node"]
+    linked, level = met.where("_linked").select(*pair), 0
+    open_ = met.where(~F.col("_linked"))
+    while not open_.isEmpty():
+        level += 1
+        finer = cut_lineage(_boxed(kinds.join(_open_nodes(open_, by), [*by, "node"], "left_semi"), by, level))
+        place = {f"_q{c}": F.floor(F.col(f"_q{c}") / 2) for c in _SPAN}
+        finer = finer.withColumns({f"_p{c}": v for c, v in zip(_SPAN, place.values())})
+        parts = open_.select(*pair, *(F.col(f"{t}_q{c}").alias(f"{t}_p{c}") for t in ("a_", "b_") for c in _SPAN))
+        for t in ("a_", "b_"):
+            side = finer.select(*by, F.col("node").alias(f"{t}node"), *(F.col(f"_p{c}").alias(f"{t}_p{c}") for c in _SPAN), *(F.col(c).alias(f"{t}{c}") for c in finer.columns if c.startswith(("lo_", "hi_", "_q"))))
+            parts = parts.join(side, [*by, f"{t}node", *(f"{t}_p{c}" for c in _SPAN)])
+        met = cut_lineage(parts.where(some).withColumn("_linked", every))
+        new = cut_lineage(met.where("_linked").select(*pair).distinct())
+        linked = linked.unionByName(new)
+        open_ = cut_lineage(met.where(~F.col("_linked")).join(new, pair, "left_anti"))
+    return linked.select(*by, F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
+
+
+def _open_nodes(open_: DataFrame, by: list[str]) -> DataFrame:
+    return open_.select(*by, F.col("a_node").alias("node")).unionByName(open_.select(*by, F.col("b_node").alias("node"))).distinct()
 
 
 def same_model_clusters(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Add ``cluster_root`` (lowest id of the cluster) to ``id, x, y, area, height`` rows; separate per ``by``.
 
-    Transitive closure without listing all pairs: rows fall into micro-buckets whose members are linked by
-    construction, equal rows are joined once, and pairs only decide which buckets touch. Components are then
-    found on the buckets.
+    Transitive closure without listing pairs: rows fall into micro-buckets whose members are linked by construction, equal
+    rows are joined once, and bounding boxes decide which buckets touch. Components are then found on the buckets.
     """
     by = by or []
     micro = {
@@ -76,16 +146,17 @@ def same_model_clusters(df: DataFrame, by: list[str] | None = None) -> DataFrame
     }
     pos = df.where(F.col("area") > 0).withColumns(micro)
     keys = [*by, *micro]
-    buckets = pos.groupBy(*keys).agg(F.min("id").alias("node"))
-    tagged = balanced_join(pos, buckets, keys)
-    kinds = tagged.groupBy(*by, "x", "y", "area", "height", "node").agg(F.min("id").alias("id"))
-    pairs = model_pairs(kinds, by).where(F.col("node") < F.col("o_node"))
-    edges = pairs.select(*by, F.col("node").alias("u"), F.col("o_node").alias("v")).distinct()
+    buckets = cut_lineage(pos.groupBy(*keys).agg(F.min("id").alias("node")))
+    tagged = cut_lineage(balanced_join(pos, buckets, keys))
+    kinds = cut_lineage(tagged.groupBy(*by, "x", "y", "area", "height", "node").agg(F.min("id").alias("id")))
+    edges = touching_buckets(kinds, by)
     if by:
-        # ids repeat across groups, so nodes are numbered per (group, id)
-        nodes = buckets.select(*by, "node").withColumn("_nid", F.xxhash64(*by, "node"))
-        e = edges.select(F.xxhash64(*by, "u").alias("u"), F.xxhash64(*by, "v").alias("v"))
-        comp = connected_components(e)
+        # ids repeat across groups, so nodes are numbered; the number is stored, and so the same wherever it is read
+        nodes = cut_lineage(buckets.select(*by, "node").withColumn("_nid", F.monotonically_increasing_id()))
+        e = edges
+        for end in ("u", "v"):
+            e = e.join(nodes.withColumnsRenamed({"node": end, "_nid": f"_{end}"}), [*by, end])
+        comp = connected_components(e.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
         named = nodes.join(comp.withColumnRenamed("node", "_nid"), "_nid", "left")
         named = named.withColumn("_comp", F.coalesce("root", "_nid"))
         low = named.groupBy(*by, "_comp").agg(F.min("node").alias("cluster_root"))

@@ -91,7 +91,7 @@ def neighbour_stats(master: DataFrame, radius: float = rules.NEIGHBOUR_RADIUS_M)
 
 def nearest_neighbour(master: DataFrame, start_radius: float = 32.0) -> DataFrame:
     pts = master.select("bid", F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
-    nn = spatial.nearest_unbounded(pts, pts, "bid", "bid", start_radius, same_table=True, out_id="_other")
+    nn = spatial.nearest_unbounded(pts, pts, "bid", "bid", same_table=True, out_id="_other")
     return nn.select("bid", F.col("dist").alias("nn_dist_m"))
 
 

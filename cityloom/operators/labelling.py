@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cityloom import rules
 from cityloom.functions import geometry as G
 from cityloom.functions.numeric import half_even
-from cityloom.operators import spatial
+from cityloom.operators import cover, spatial
 from cityloom.sources.tables import lookup
 
 PARCEL_CELL_M = 250.0
@@ -54,7 +54,7 @@ def parcel_of(buildings: DataFrame, parcels: DataFrame, keep: list[str] | None =
     """``bid, parcel_id, class``: parcel holding the interior point of each building."""
     shapes = G.with_shape(parcels) if "xmin" not in parcels.columns else parcels
     pts = buildings.select("bid", "rep_x", "rep_y")
-    return spatial.points_within(pts, shapes, PARCEL_CELL_M, "rep_x", "rep_y", "bid", "parcel_id", keep or ["class"])
+    return cover.points_within(pts, shapes, "rep_x", "rep_y", "bid", "parcel_id", keep or ["class"], PARCEL_CELL_M)
 
 
 def with_parcel_class(df: DataFrame, parcel_rows: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom import rules
 from cityloom.functions import geometry as G
 from cityloom.operators import spatial
+from cityloom.operators.skew import balanced_join
 from cityloom.sources.tables import lookup
 
 CELL_M = 500.0
@@ -102,13 +103,13 @@ def counts_by_cell(poi_cells: DataFrame) -> DataFrame:
 def nearest_of_kind(points: DataFrame, poi: DataFrame, kind: str, start_radius: float = 100.0) -> DataFrame:
     """Nearest POI of one kind at any distance, the lowest id of equally near ones: its row with ``val_id`` and ``dist``."""
     own = poi.where(poi_kind(F.col("typecode")) == kind)
-    hit = spatial.nearest_unbounded(points.select("val_id", "x", "y"), own.select("id", "x", "y"), "val_id", "id", start_radius)
+    hit = spatial.nearest_unbounded(points.select("val_id", "x", "y"), own.select("id", "x", "y"), "val_id", "id")
     return hit.join(own, "id").select("val_id", "dist", *own.columns)
 
 
 def nearest_of_code(points: DataFrame, poi: DataFrame, prefix: str, start_radius: float = 100.0) -> DataFrame:
     targets = poi.where(F.col("typecode").startswith(prefix)).select("id", "x", "y")
-    return spatial.nearest_unbounded(points.select("val_id", "x", "y"), targets, "val_id", "id", start_radius)
+    return spatial.nearest_unbounded(points.select("val_id", "x", "y"), targets, "val_id", "id")
 
 
 # Bracketed text and stop words removed from a name, and the shape of a usable token.
@@ -125,26 +126,43 @@ def name_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(F.regexp_replace(text, NAME_STRIP, " "), F.lit("")), F.lit(f"({pattern})"), F.lit(1)))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct characters and pairs of adjacent characters of a text."""
+    ones = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(text, k, F.lit(1)))
+    twos = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda k: F.substring(text, k, F.lit(2)))
+    return F.when(F.length(text) > 1, F.array_distinct(F.concat(ones, twos))).when(F.length(text) == 1, F.array(text))
+
+
+def name_index(poi: DataFrame, cell: float) -> DataFrame:
+    """Postings of POI names: ``_cx, _cy, _gram, id, name, q_x, q_y``, a row per distinct gram of a name."""
+    at = [F.floor(F.col(c) / cell).alias(f"_c{c}") for c in "xy"]
+    return poi.select(*at, F.explode(_grams(F.col("name"))).alias("_gram"), "id", "name", F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+
+
 def token_matches(points: DataFrame, poi: DataFrame, token: str, radius: float, keep: int = 3) -> DataFrame:
     """POIs within ``radius`` whose name holds one of the point's tokens: number near, number matching, first few ids.
 
-    ``token`` is a list column, see :func:`name_tokens`; a point without a token matches nothing.
-
-    Counts and the lowest ids are map-side combined; no per-point list is built.
+    ``token`` is a list column, see :func:`name_tokens`; a point without a token matches nothing. Tokens meet the names of
+    their surroundings through :func:`name_index`, by cell and the token's first two characters; only those names are
+    searched. Counts and the lowest ids are map-side combined; no per-point list is built.
     """
-    left = points.select("val_id", F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col(token).alias("_tok"))
-    right = poi.select("id", "name", F.col("x").alias("q_x"), F.col("y").alias("q_y"))
-    near = spatial.radius_pairs(left, right, radius, ("p_x", "p_y"), ("q_x", "q_y"))
-    hit = F.coalesce(F.exists("_tok", lambda t: (t != "") & F.col("name").contains(t)), F.lit(False))
-    counts = near.groupBy("val_id").agg(F.count(F.lit(1)).alias("n_near"), F.count_if(hit).alias("n_match"))
-    from pyspark.sql import Window
-
+    spots = points.select("val_id", F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+    near = spatial.radius_pairs(spots, poi.select("id", F.col("x").alias("q_x"), F.col("y").alias("q_y")), radius, ("p_x", "p_y"), ("q_x", "q_y"))
+    counts = near.groupBy("val_id").agg(F.count(F.lit(1)).alias("n_near"))
+    asks = points.select("val_id", F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.explode(token).alias("_tok")).where(F.length("_tok") > 0)
+    asks = asks.withColumn("_gram", F.substring("_tok", 1, 2))
+    for c in "xy":
+        cell = F.floor(F.col(f"p_{c}") / radius)
+        asks = asks.withColumn(f"_c{c}", F.explode(F.sequence(cell - 1, cell + 1)))
+    met = balanced_join(name_index(poi, radius), asks, ["_cx", "_cy", "_gram"])
+    hit = met.where((F.hypot(F.col("p_x") - F.col("q_x"), F.col("p_y") - F.col("q_y")) <= radius) & F.col("name").contains(F.col("_tok")))
+    hit = hit.select("val_id", "id").distinct()
+    matched = hit.groupBy("val_id").agg(F.count(F.lit(1)).alias("n_match"))
     rank = F.row_number().over(Window.partitionBy("val_id").orderBy("id"))
-    top = near.where(hit).select("val_id", "id").withColumn("_r", rank).where(F.col("_r") <= keep)
+    top = hit.withColumn("_r", rank).where(F.col("_r") <= keep)
     firsts = top.groupBy("val_id").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("first_ids"))
-    return points.select("val_id").join(counts, "val_id", "left").join(firsts, "val_id", "left").select(
-        "val_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_match", F.lit(0)).alias("n_match"), "first_ids"
-    )
+    j = points.select("val_id").join(counts, "val_id", "left").join(matched, "val_id", "left").join(firsts, "val_id", "left")
+    return j.select("val_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("n_match", F.lit(0)).alias("n_match"), "first_ids")
 
 
 def category_counts(hits: DataFrame, codes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cityloom import rules
 from cityloom.functions.numeric import closed_bin
-from cityloom.operators import spatial
+from cityloom.operators import cover
 from cityloom.operators.quantiles import quantile_columns
 from cityloom.operators.skew import with_group_stats
 from cityloom.sources.tables import lookup
@@ -19,10 +19,11 @@ def with_centres(px: DataFrame) -> DataFrame:
 
 
 def clip_to_region(px: DataFrame, region: DataFrame, size: float = 250.0) -> DataFrame:
-    """Pixels whose centre lies in any polygon of the region; members need no dissolving."""
-    pts = with_centres(px).withColumn("_pid", F.col("prow").cast("bigint") * 10_000_000 + F.col("col"))
-    inside = spatial.points_within(pts.select("_pid", "px_x", "px_y").distinct(), region, size, "px_x", "px_y", "_pid", "parcel_id", [])
-    return pts.join(inside.select("_pid"), "_pid", "left_semi").drop("_pid", "px_x", "px_y")
+    """Pixels whose centre lies in any polygon of the region; members need no dissolving.
+
+    Cells that the region covers keep their pixels without a test, and a pixel row moves once at most.
+    """
+    return cover.points_in_region(with_centres(px), region, "px_x", "px_y", size).drop("px_x", "px_y")
 
 
 def mosaic(px: DataFrame, keys: list[str], order: str = "tile", value: str = "h") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom import rules
-from cityloom.functions.numeric import draw_order, hash_uniform
+from cityloom.functions.numeric import draw_order
+from cityloom.functions.resample import replicate_sums
 from cityloom.operators.dedup import cluster_sizes, keep_first, same_model_clusters, size_histogram
 from cityloom.operators.quantiles import exact_quantiles
 from cityloom.operators.skew import union_all
@@ -110,33 +111,20 @@ def sampling_summary(result: dict[str, DataFrame], seed: int) -> DataFrame:
 def poisson_bootstrap(df: DataFrame, key: str, hit: Column, weight: Column, n_boot: int, seed: int) -> DataFrame:
     """Percentile bootstrap interval of a weighted share: ``value, ci95_lo, ci95_hi, n``.
 
-    Every row draws its own Poisson(1) multiplicity per replicate from a seeded hash, so replicates need no
-    resampling join and sum up map-side; only ``n_boot`` totals are shuffled.
+    Every row draws its own Poisson(1) multiplicity per replicate from a seeded hash of its key, so replicates need no
+    resampling join. Draws are made in blocks of a batch times many replicates and added up in the task; ``n_boot`` sums a
+    task are all that is shuffled. Rows whose weight is null, and those with a null key, are not drawn; a null hit is a miss.
     """
-    base = df.select(F.xxhash64(key).alias("_k") if dict(df.dtypes)[key] == "string" else F.col(key).cast("bigint").alias("_k"),
-                     hit.cast("double").alias("_h"), weight.cast("double").alias("_w"))
-    reps = base.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    reps = reps.withColumn("_u", hash_uniform(seed, F.col("_k"), F.col("_b")))
-    reps = reps.withColumn("_t", poisson_times(F.col("_u"))).where(F.col("_t") > 0)
-    share = F.sum(F.col("_t") * F.col("_w") * F.col("_h")) / F.sum(F.col("_t") * F.col("_w"))
-    per = reps.groupBy("_b").agg(share.alias("_s"))
+    own = F.xxhash64(key) if dict(df.dtypes)[key] == "string" else F.col(key).cast("bigint")
+    base = df.select(own.alias("_k"), hit.cast("double").alias("_h"), weight.cast("double").alias("_w"))
+    drawn = base.where(F.col("_k").isNotNull()).select("_k", (F.col("_w") * F.col("_h")).alias("_h"), "_w")
+    sums = drawn.mapInArrow(replicate_sums(n_boot, seed), "_b bigint, _h double, _w double")
+    per = sums.groupBy("_b").agg(F.try_divide(F.sum("_h"), F.sum("_w")).alias("_s"))
     ci = per.agg(F.percentile("_s", [0.025, 0.975]).alias("_q"))
-    point = base.agg((F.sum(F.col("_w") * F.col("_h")) / F.sum("_w")).alias("value"), F.count(F.lit(1)).alias("n"))
+    point = base.agg(F.try_divide(F.sum(F.col("_w") * F.col("_h")), F.sum("_w")).alias("value"), F.count(F.lit(1)).alias("n"))
     return point.crossJoin(ci).select("value", F.col("_q")[0].alias("ci95_lo"), F.col("_q")[1].alias("ci95_hi"), "n")
 
 
-# Cumulative Poisson(1) probabilities for 0..11 events; what is left lies below the resolution of the draws.
-POISSON_CDF = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
-    0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
-]
-
-
-def poisson_times(u: Column) -> Column:
-    """Poisson(1) multiplicity of a uniform draw: how many of the cumulative probabilities it reaches."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON_CDF]), lambda c: c <= u))
-
-
 def _quotas(total: int, parts: int) -> list[int]:
     base, extra = divmod(total, parts)
     return [base + (1 if k < extra else 0) for k in range(parts)]

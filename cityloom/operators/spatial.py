@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.operators import grid
+from cityloom.operators import grid, quadtree
 from cityloom.operators.skew import balanced_join, first_per_key
 from cityloom.session import cut_lineage
 
@@ -148,71 +148,50 @@ def nearest_with_ties(
     """
     px, py = probe_xy
     tx, ty = target_xy
-    spots = targets.select(F.col(tx).alias("_tx"), F.col(ty).alias("_ty")).distinct()
-    asks = probes.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct()
+    spots = cut_lineage(targets.select(F.col(tx).alias("_tx"), F.col(ty).alias("_ty")).distinct())
+    asks = cut_lineage(probes.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct())
     rank = F.rank().over(Window.partitionBy("_px", "_py").orderBy("dist"))
 
     def closest(ask: DataFrame, r: float) -> DataFrame:
         cand = radius_pairs(ask, spots, r, ("_px", "_py"), ("_tx", "_ty"))
         return cand.withColumn("_rk", rank).where(F.col("_rk") == 1).drop("_rk")
 
-    short = closest(asks, radius / 4.0)
-    far = closest(asks.join(short, ["_px", "_py"], "left_anti"), radius)
-    hit = short.unionByName(far)
+    short = cut_lineage(closest(asks, radius / 4.0))
+    far = closest(cut_lineage(asks.join(short, ["_px", "_py"], "left_anti")), radius)
+    hit = cut_lineage(short.unionByName(far))
     at_spot = targets.select(target_id, F.col(tx).alias("_tx"), F.col(ty).alias("_ty"))
-    found = balanced_join(at_spot, hit, ["_tx", "_ty"])
+    found = cut_lineage(balanced_join(at_spot, hit, ["_tx", "_ty"]))
     who = probes.select(probe_id, F.col(px).alias("_px"), F.col(py).alias("_py"))
     hits = balanced_join(who, found.select("_px", "_py", target_id, "dist"), ["_px", "_py"])
     return hits.select(probe_id, target_id, "dist")
 
 
 def nearest_unbounded(
-    probes: DataFrame,
-    targets: DataFrame,
-    probe_id: str,
-    target_id: str,
-    start_radius: float,
-    same_table: bool = False,
-    growth: float = 4.0,
-    out_id: str | None = None,
+    probes: DataFrame, targets: DataFrame, probe_id: str, target_id: str, same_table: bool = False, out_id: str | None = None
 ) -> DataFrame:
     """Nearest target of every probe at any distance: ``probe_id, target_id (or out_id), dist``.
 
-    Both sides carry ``x, y``. The search works on distinct spots, so stacked rows cost one lookup. Cells
-    grow only for spots still open; a hit is final once it is no farther than the searched radius. A probe
-    stays without a row only when there is no (other) target at all. With ``same_table`` a row never finds
-    itself; among rows on one spot the lowest id is reported, and the highest to the lowest one.
+    Both sides carry ``x, y``. The search works on distinct spots, so stacked rows cost one lookup, and walks a quadtree of
+    counted cells (:mod:`quadtree`). A probe stays without a row only when there is no (other) target at all. With
+    ``same_table`` a row never finds itself; among rows on one spot the lowest id is reported, and the highest to the lowest one.
     """
-    spots = targets.groupBy(F.col("x").alias("_tx"), F.col("y").alias("_ty")).agg(
-        F.min(target_id).alias("_lo"), F.max(target_id).alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    spots = cut_lineage(spots)
+    spots = targets.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(F.col("x").alias("_tx"), F.col("y").alias("_ty"))
+    spots = cut_lineage(spots.agg(F.min(target_id).alias("_lo"), F.max(target_id).alias("_hi"), F.count(F.lit(1)).alias("_rows")))
     if same_table:
-        asks = spots.select(F.col("_tx").alias("_px"), F.col("_ty").alias("_py"), "_lo", "_hi", "_n")
-        stacked = asks.where(F.col("_n") > 1).select("_px", "_py", "_lo", "_hi", F.lit(0.0).alias("dist"))
-        asks = asks.where(F.col("_n") == 1).select("_px", "_py")
+        every = spots.select(F.col("_tx").alias("_px"), F.col("_ty").alias("_py"), "_lo", "_hi", "_rows")
+        stacked = every.where(F.col("_rows") > 1).select("_px", "_py", "_lo", "_hi", F.lit(0.0).alias("dist"))
+        asks = every.where(F.col("_rows") == 1).select("_px", "_py")
     else:
-        asks = probes.select(F.col("x").alias("_px"), F.col("y").alias("_py")).distinct()
+        asks = probes.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col("x").alias("_px"), F.col("y").alias("_py")).distinct()
         stacked = None
-    both = spots.select("_tx", "_ty").unionByName(asks.select(F.col("_px").alias("_tx"), F.col("_py").alias("_ty")))
-    span = both.agg(F.greatest(F.max("_tx") - F.min("_tx"), F.max("_ty") - F.min("_ty")).alias("s")).first()["s"]
-    limit = 2.0 * (span or 0.0) + start_radius
-    found, radius = stacked, float(start_radius)
-    while True:
-        cand = radius_pairs(asks, spots, radius, ("_px", "_py"), ("_tx", "_ty"))
-        if same_table:
-            cand = cand.where((F.col("_px") != F.col("_tx")) | (F.col("_py") != F.col("_ty")))
-        best = cand.groupBy("_px", "_py").agg(F.min(F.struct("dist", "_lo")).alias("_b"))
-        best = cut_lineage(best.select("_px", "_py", F.col("_b._lo").alias("_lo"), F.col("_b.dist").alias("dist")))
-        best_rows = best.withColumn("_hi", F.col("_lo")).select("_px", "_py", "_lo", "_hi", "dist")
-        found = best_rows if found is None else found.unionByName(best_rows)
-        if radius >= limit:
-            break
-        asks = cut_lineage(asks.join(best, ["_px", "_py"], "left_anti"))
-        if asks.isEmpty():
-            break
-        radius *= growth
+    tree = quadtree.build(spots.select("_tx", "_ty", "_lo"))
+    if tree is None:
+        found = asks.select("_px", "_py", F.lit(None).cast(targets.schema[target_id].dataType).alias("_lo"), F.lit(0.0).alias("dist")).where(F.lit(False))
+    else:
+        found = quadtree.nearest(tree, asks, same_table, ["_lo"])
+    found = found.select("_px", "_py", "_lo", F.col("_lo").alias("_hi"), "dist")
+    found = found if stacked is None else stacked.unionByName(found)
     who = probes.select(F.col(probe_id).alias("_pid"), F.col("x").alias("_px"), F.col("y").alias("_py"))
-    j = balanced_join(who, found, ["_px", "_py"])
+    j = balanced_join(who, cut_lineage(found), ["_px", "_py"])
     tid = F.when(F.col("_pid") == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")) if same_table else F.col("_lo")
     return j.select(F.col("_pid").alias(probe_id), tid.alias(out_id or target_id), "dist")

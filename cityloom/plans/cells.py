@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from cityloom import rules
 from cityloom.functions import geometry as G
-from cityloom.operators import labelling as L, poi as P, raster as R, spatial
+from cityloom.operators import cover, labelling as L, poi as P, raster as R
 from cityloom.plans.inputs import buildings, parcels, slim
 from cityloom.plans.registry import register
 from cityloom.session import scratch_path
@@ -212,7 +211,7 @@ def d11_parcel_subset(i: Inputs):
     p = parcels(i)
     region = cells(i).where(F.col("cell_id") % 3 == 0)
     pts = p.select("parcel_id", F.col("rep_x").alias("p_x"), F.col("rep_y").alias("p_y"))
-    inside = spatial.points_within(pts, region, 500.0, "p_x", "p_y", "parcel_id", "cell_id", [])
+    inside = cover.points_in_region(pts, region, "p_x", "p_y", 250.0)
     return p.join(inside, "parcel_id", "left_semi").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("area_m2").alias("area_m2"))
 
 
@@ -301,12 +300,13 @@ def _event_files(i: Inputs) -> str:
 def p6_incremental_ingest(i: Inputs):
     src = _event_files(i)
     out = scratch_path(i.spark, "ingested")
-    ST.append_to(ST.first_seen(ST.read_records(i.spark, src), "event_id"), out, scratch_path(i.spark, "ingest-log"))
+    ST.ingest(ST.read_records(i.spark, src), "event_id", out, scratch_path(i.spark, "ingest-log"))
     return i.spark.read.parquet(out).select("event_id", "event_type", "cell_id", "capped")
 
 
 @register("p7_running_counts", "SELECT date_trunc('day', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def p7_running_counts(i: Inputs):
     src = _event_files(i)
-    counts = ST.kind_counts(ST.first_seen(ST.read_records(i.spark, src), "event_id"), F.col("event_type"))
-    return ST.run_counts(counts, f"kind_counts_{uuid.uuid4().hex}", scratch_path(i.spark, "counts-log"))
+    out, counts = scratch_path(i.spark, "ingested"), scratch_path(i.spark, "kind-counts")
+    ST.ingest(ST.read_records(i.spark, src), "event_id", out, scratch_path(i.spark, "counts-log"), counts, F.col("event_type"))
+    return ST.totals(i.spark, counts)

@@ -99,7 +99,7 @@ def j8_neighbour_pairs(i: Inputs):
 )
 def j9_nearest_neighbour(i: Inputs):
     pts = slim(i).select("bid", F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
-    nn = spatial.nearest_unbounded(pts, pts, "bid", "bid", 32.0, same_table=True, out_id="other")
+    nn = spatial.nearest_unbounded(pts, pts, "bid", "bid", same_table=True, out_id="other")
     return nn.select("bid", F.round("dist", 6).alias("nn_dist_m"))
 
 

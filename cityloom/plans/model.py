@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cityloom import rules
+from cityloom.functions.resample import POISSON_CDF
 from cityloom.operators import evaluation as E, features as B, labelling as L, model as M, sampling as R
 from cityloom.operators.quantiles import exact_quantiles
 from cityloom.operators.skew import union_all
@@ -278,7 +279,7 @@ def a29_class_metrics(i: Inputs):
     return E.class_metrics(labelled_predictions(i), LABELS)
 
 
-POISSON = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(R.POISSON_CDF)) + f" ELSE {len(R.POISSON_CDF)} END"
+POISSON = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(POISSON_CDF)) + f" ELSE {len(POISSON_CDF)} END"
 
 
 BOOT = {

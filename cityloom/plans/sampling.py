@@ -52,7 +52,7 @@ SELECT id, lab AS cluster_root FROM cc""",
 @register("j10_same_model_pairs", "SELECT id, count(*) AS n_partners, min(o_id) AS first_partner FROM mp GROUP BY id", PAIRS)
 def j10_same_model_pairs(i: Inputs):
     """Same-model partners counted per building; pairs go straight into the aggregate."""
-    p = D.model_pairs(models(i))
+    p = D.partners(D.model_pairs(models(i)))
     return p.groupBy("id").agg(F.count(F.lit(1)).alias("n_partners"), F.min("o_id").alias("first_partner"))
 
 

@@ -53,16 +53,10 @@ def s6_vendor_fields(i: Inputs):
 
 @register("s7_report_csv", "SELECT epd_id, category, gwp FROM epd")
 def s7_report_csv(i: Inputs):
-    """Report CSV with provenance lines: written from a table, then read back by the reader."""
+    """Report CSV with provenance lines and header, written and read back as one report."""
     path = scratch_path(i.spark, "report-csv")
-    epd = i.view("epd").select("epd_id", "category", "gwp")
-    lines = epd.select(F.concat_ws(",", F.col("epd_id").cast("string"), "category", F.col("gwp").cast("string")).alias("line"))
-    head = i.spark.range(1).select(F.lit("# provenance line\nepd_id,category,gwp").alias("line"))
-    head.write.mode("append").text(f"{path}/0")
-    lines.write.mode("append").text(f"{path}/1")
-    schema = "epd_id bigint, category string, gwp double"
-    body = i.spark.read.csv(f"{path}/1", schema=schema, comment="#")
-    return S.read_report_csv(i.spark, f"{path}/0", schema).unionByName(body)
+    sinks.write_commented_csv(i.view("epd").select("epd_id", "category", "gwp"), path, ["made from the product table", "gwp, in kg"])
+    return S.read_report_csv(i.spark, path, "epd_id bigint, category string, gwp double")
 
 
 def _cell_records(i: Inputs):

@@ -27,6 +27,22 @@ def write_report(df: DataFrame, path: str, provenance: list[str]) -> None:
     meta.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_meta")
 
 
+def write_commented_csv(df: DataFrame, path: str, provenance: list[str]) -> None:
+    """Report as CSV that carries its own provenance: ``#`` lines, the header, then rows, in every file it consists of.
+
+    Rows are not gathered; a small report is one file. :func:`tables.read_report_csv` reads it back in one call.
+    """
+    head = [*(f"# {line}" for line in provenance), ",".join(df.columns)]
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"line": head})
+        yield from batches
+
+    df.select(F.to_csv(F.struct(*df.columns)).alias("line")).mapInArrow(headed, "line string").write.mode("overwrite").text(path)
+
+
 def blind_export(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only ``columns``; refuses input that carries a hidden column or lacks a wanted one."""
     leaked = sorted(set(HIDDEN_COLUMNS) & set(df.columns))

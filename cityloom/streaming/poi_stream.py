@@ -12,43 +12,46 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def first_seen(records: DataFrame, key: str, delay: str | None = None) -> DataFrame:
-    """Each key once. Without ``delay`` every key is remembered, as the batch job does; with it, state is
-    dropped once the watermark has passed."""
-    if delay is None:
-        return records.dropDuplicates([key])
-    return records.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-
-
-def append_to(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, append it to a Parquet table, stop. A rerun continues from the checkpoint."""
-    q = (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def _run(records: DataFrame, each, checkpoint: str) -> None:
+    """Process what is there in micro-batches, then stop. A rerun continues from the checkpoint."""
+    q = records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def new_rows(batch: DataFrame, key: str, target: str, number: int) -> DataFrame:
+    """Rows of a micro-batch whose key no earlier batch has stored, each key once."""
+    once = batch.dropDuplicates([key])
+    if number == 0:
+        return once
+    earlier = batch.sparkSession.read.parquet(target).where(F.col("batch") < number)
+    return once.join(earlier.select(key), key, "left_anti")
+
+
+def ingest(records: DataFrame, key: str, target: str, checkpoint: str, counts: str | None = None, kind: Column | None = None) -> None:
+    """Append records with a new key to the Parquet table ``target``, a partition ``batch`` per micro-batch.
+
+    The table itself is the memory of keys, so the stream keeps no state. A micro-batch overwrites only its own partition and
+    ignores it when it looks for keys, so one that is repeated after a failure leaves the same rows. With ``counts``, counts
+    of the new rows per day and ``kind`` are stored the same way.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        new = new_rows(batch, key, target, number)
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if counts is not None:
+            stored = batch.sparkSession.read.schema(new.schema).parquet(f"{target}/batch={number}")
+            kind_counts(stored, kind).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    _run(records, each, checkpoint)
+
+
+def totals(spark: SparkSession, counts: str) -> DataFrame:
+    """``window_start, kind, n`` over the counts of all micro-batches."""
+    return spark.read.parquet(counts).groupBy("window_start", "kind").agg(F.sum("n").alias("n"))
+
+
 def kind_counts(records: DataFrame, kind: Column, window: str = "1 day") -> DataFrame:
     """Counts per tumbling window of ingest time and kind."""
     return records.groupBy(F.window("ts", window).alias("w"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), "kind", "n"
     )
-
-
-def run_counts(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run the counting query over what is there; the result has one row per window and kind."""
-    q = (
-        counts.writeStream.format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return counts.sparkSession.table(name)

@@ -134,3 +134,40 @@ def test_largest_part_and_validity(spark):
     assert r["area_m2"] == 64 and r["geom"][0][0]["x"] == 9
     bad = frame(spark, [[ring((0, 0), (1, 1))], square(0, 0), []])
     assert [r[0] for r in bad.orderBy("bid").select(G.has_valid_rings(F.col("geom"))).collect()] == [False, True, False]
+
+
+def _walked_hull(points):
+    points = sorted(set(points))
+
+    def half(seq):
+        chain = []
+        for p in seq:
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = chain[-2:]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
+                    break
+                chain.pop()
+            chain.append(p)
+        return chain[:-1]
+
+    ring = half(points) + half(points[::-1]) if len(points) > 2 else []
+    return ring if len(ring) > 2 else []
+
+
+def test_batched_hulls_equal_walked_ones():
+    """Small grids (repeated, collinear and vertical points), random rings, empty and null rows, all in one batch."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [[], [[]], None, [[(1.0, float(k)) for k in range(9)]], [[(float(k), float(k * k % 7)) for k in range(50)]]]
+    for _ in range(600):
+        draw = rng.choice([lambda: float(rng.randint(0, 4)), lambda: rng.uniform(0, 100)])
+        rows.append([[(draw(), draw()) for _ in range(rng.choice([1, 2, 3, 4, 6, 8, 30]))] for _ in range(rng.choice([1, 1, 2]))])
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    batch = pa.array([r and [[{"x": x, "y": y} for x, y in ring] for ring in r] for r in rows], kind)
+    row, x, y = G._hulls(G._Edges(batch))
+    for k, r in enumerate(rows):
+        got = list(zip(x[row == k].tolist(), y[row == k].tolist()))
+        assert got == _walked_hull([p for ring in r or [] for p in ring])

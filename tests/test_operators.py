@@ -1,5 +1,6 @@
 """Datum shift, dedup, sampling, quantiles, energy, guards and streaming on small literal inputs."""
 
+import math
 import random
 import statistics
 
@@ -154,22 +155,16 @@ def test_exact_quantiles(spark, n):
 
 @pytest.mark.parametrize("hot_right", [False, True])
 def test_hot_keys_are_split(spark, hot_right):
-    """A key that is hot on either side: same rows, and the plan that ran holds a skewed join."""
-    tight = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "2k", "autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "8"}
-    old = {k: spark.conf.get(f"spark.sql.{k}", None) for k in tight}
-    try:
-        for k, v in tight.items():
-            spark.conf.set(f"spark.sql.{k}", v)
-        many = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 900).cast("int").alias("k"), "id")
-        few = spark.range(900).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("w"))
-        big, small = (few, many) if hot_right else (many, few)
-        got = skew.balanced_join(big, small, ["k"])
-        assert got.count() == 30_000
-        got.collect()
-        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    """A key that is hot on one side only: same rows as the plain join, and no task holds the key's rows."""
+    many = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(900)] + [(None, 5)], "k int, id int")
+    few = spark.createDataFrame([(k, k * 10) for k in range(0, 900, 2)] + [(1, 7), (1, 8)], "k int, w int")
+    big, small = (few, many) if hot_right else (many, few)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = skew.balanced_join(big, small, ["k"], how, min_rows=50)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, ["k"], how).collect()), key=repr)
+    (hot,) = skew.hot_keys(big, small, ["k"], 50).collect()
+    assert hot.k == 1 and (hot._fs > 1) == hot_right and (hot._fb > 1) != hot_right
+    assert skew.hot_keys(big, small, ["k"]).collect() == []
 
 
 def test_group_stats(spark):
@@ -355,3 +350,106 @@ def test_confidence_bins_at_edges(spark):
     got = {r["bin"]: r["n"] for r in V.confidence_histogram(df).collect()}
     assert got == {0: 1, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0, 7: 1, 8: 0, 9: 1}
     assert statistics.fmean(got.values()) == 0.5
+
+
+def _nearest_brute(asks, spots, same):
+    out = {}
+    for px, py in asks:
+        best = min(((math.hypot(px - x, py - y), k) for k, (x, y) in enumerate(spots) if not same or (x, y) != (px, py)), default=None)
+        if best:
+            out[px, py] = best
+    return out
+
+
+@pytest.mark.parametrize("shape, same", [("even", True), ("even", False), ("hot cell", True), ("hot cell", False), ("far apart", True), ("one", True), ("one", False)])
+def test_quadtree_finds_the_nearest(spark, shape, same):
+    from cityloom.operators import quadtree
+
+    rng = random.Random(len(shape))
+    if shape == "even":
+        pts = [(rng.random() * 1000, rng.random() * 1000) for _ in range(400)]
+    elif shape == "hot cell":  # most spots within a millimetre-wide corner
+        pts = [(rng.random() * 0.5, rng.random() * 0.5) for _ in range(400)] + [(1000.0 * k, 900.0 * k) for k in range(1, 8)]
+    elif shape == "far apart":
+        pts = [(0.0, 0.0), (0.0, 1.0), (1e6, 1e6), (5e5, 3.0), (1e6, 0.0)]
+    else:
+        pts = [(3.0, 4.0)]
+    pts = list(dict.fromkeys(pts))
+    asks = pts if same else [(rng.uniform(-500, 1500), rng.uniform(-500, 1500)) for _ in range(60)] + pts[:5]
+    spots = spark.createDataFrame([(x, y, k) for k, (x, y) in enumerate(pts)], "_tx double, _ty double, id int")
+    tree = quadtree.build(spots)
+    assert tree.spots.count() == len(pts)
+    most = tree.spots.groupBy(*quadtree.KEY).count().agg(F.max("count")).first()[0]
+    assert most <= quadtree.CAPACITY
+    rows = quadtree.nearest(tree, spark.createDataFrame(asks, "_px double, _py double").distinct(), same, ["id"]).collect()
+    want = _nearest_brute(asks, pts, same)
+    assert {(r._px, r._py): r.id for r in rows} == {k: i for k, (_, i) in want.items()}
+    assert all(r.dist == pytest.approx(want[r._px, r._py][0], rel=1e-12) for r in rows)
+
+
+def test_quadtree_reads_only_reachable_cells(spark):
+    """A hot corner far from every asker: its spots never meet an asker beyond its nearest leaf."""
+    from cityloom.operators import quadtree
+
+    pts = [(k / 1000.0, (k * 7 % 1000) / 1000.0) for k in range(1000)] + [(100.0, 100.0), (100.0, 101.0)]
+    tree = quadtree.build(spark.createDataFrame(pts, "_tx double, _ty double"))
+    bounds = quadtree._first_bounds(tree, spark.createDataFrame([(100.0, 100.5)], "_px double, _py double"), 1).collect()
+    assert [round(b._bound, 6) for b in bounds] == [0.5]
+    assert quadtree.build(spark.createDataFrame([], "_tx double, _ty double")) is None
+
+
+def test_many_near_identical_rows_stay_linear(spark):
+    """5,000 rows in two neighbouring buckets: boxes link them, no pair of rows is made; groups are told apart by (group, id)."""
+    rng = random.Random(1)
+    rows = [(k, 125.0 + rng.uniform(-60, 60), 10.0 + rng.uniform(-5, 5), 500.0 + rng.uniform(-1, 1), 30.0 + rng.uniform(-0.01, 0.01)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, area double, height double")
+    kinds = df.withColumn("node", F.when(F.col("x") < 125, 0).otherwise(1))
+    assert [tuple(r) for r in dedup.touching_buckets(kinds, []).collect()] == [(0, 1)]
+    both = df.withColumn("g", F.lit("a")).unionByName(df.where("id % 2 = 0").withColumn("g", F.lit("b")))
+    got = dedup.same_model_clusters(both, ["g"]).groupBy("g").agg(F.count_distinct("cluster_root").alias("n"), F.min("cluster_root").alias("low")).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 0), ("b", 1, 0)]
+
+
+def test_undecided_buckets_are_refined(spark):
+    """Two buckets whose boxes say nothing: one pair of rows within the limits links them, else they stay apart."""
+    west, east = [(0.0, 0.0), (120.0, 0.0)], [(371.0, 0.0), (480.0, 0.0)]
+    for extra, linked in (([], False), ([(121.5, 0.0)], True)):
+        rows = [(x, y, 500.0, 30.0, 0) for x, y in west + extra] + [(x, y, 500.0, 30.0, 9) for x, y in east]
+        kinds = spark.createDataFrame(rows, "x double, y double, area double, height double, node int")
+        assert (dedup.touching_buckets(kinds, []).count() == 1) == linked
+
+
+def test_ingest_knows_earlier_keys_without_state(spark, tmp_path):
+    from cityloom.streaming import poi_stream as ST
+
+    src, out, log, counts = (str(tmp_path / n) for n in ("src", "out", "log", "counts"))
+    row = "named_struct('event_id', id, 'ts', timestamp'2024-01-01 10:00:00', 'event_type', if(id % 2 = 0, 'a', 'b'), 'value', 1.0D, 'cell_id', 1, 'capped', false)"
+    for lo, hi in ((0, 60), (40, 100)):  # the second delivery repeats twenty keys, and every key twice
+        spark.range(lo, hi).unionByName(spark.range(lo, hi)).select(F.expr(row).alias("r")).select("r.*").write.mode("append").json(src)
+        ST.ingest(ST.read_records(spark, src, files_per_batch=3), "event_id", out, log, counts, F.col("event_type"))
+        ids = [r.event_id for r in spark.read.parquet(out).select("event_id").collect()]
+        assert sorted(ids) == list(range(hi))
+        assert {(r.kind, r.n) for r in ST.totals(spark, counts).collect()} == {("a", hi // 2), ("b", hi // 2)}
+    assert not (tmp_path / "log" / "state").exists()  # no state is kept
+    # a micro-batch that is repeated after a failure finds the same rows
+    records = spark.read.schema(ST.RECORD).json(src).where("event_id < 3")
+    assert ST.new_rows(records, "event_id", out, 0).count() == 3 and ST.new_rows(records, "event_id", out, 99).count() == 0
+
+
+def test_name_index_finds_what_contains_finds(spark):
+    from cityloom.operators import poi
+
+    names = ["green hall", "hall", "h", "", None, "Green", "xhally", "绿地大厦"]
+    rows = [(k, n, 10.0 * k, 0.0) for k, n in enumerate(names)] + [(99, "hall", 500.0, 0.0)]
+    pois = spark.createDataFrame(rows, "id int, name string, x double, y double")
+    pts = spark.createDataFrame([(1, 0.0, 0.0, ["hall"]), (2, 0.0, 0.0, ["h"]), (3, 0.0, 0.0, []), (4, 0.0, 0.0, ["绿地", "green", ""]), (5, 900.0, 900.0, ["hall"])], "val_id int, x double, y double, tok array<string>")
+    df = poi.token_matches(pts, pois, "tok", 100.0)
+    got = {r.val_id: (r.n_near, r.n_match, r.first_ids) for r in df.collect()}
+    assert got == {1: (8, 3, "0,1,6"), 2: (8, 4, "0,1,2"), 3: (8, 0, None), 4: (8, 2, "0,7"), 5: (0, 0, None)}
+    assert "_gram" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_csv_is_one_report(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", 1.5), (2, None, None), (3, 'say "x"', 2.0)], "id int, name string, v double").repartition(3)
+    sinks.write_commented_csv(df, str(tmp_path / "r"), ["line one", "line two"])
+    assert sorted(map(tuple, S.read_report_csv(spark, str(tmp_path / "r"), "id int, name string, v double").collect())) == [(1, "a,b", 1.5), (2, None, None), (3, 'say "x"', 2.0)]
