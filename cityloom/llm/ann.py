@@ -49,8 +49,8 @@ def points(rows: DataFrame, vec_id: str, vector: str, keep: int) -> DataFrame:
     sound = rows.where(usable(F.col(vector)) & F.col(vec_id).isNotNull())
     # adding 0 makes -0.0 and 0.0 alike
     sound = sound.select(F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("v"), F.col(vec_id).cast("long").alias("id"))
-    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    return sound.withColumn("place", place).where(F.col("place") <= keep).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    place = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))  # rows alike in id and vector are one
+    return sound.withColumn("place", place).where(F.col("place") <= keep).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

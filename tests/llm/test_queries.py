@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from cityloom.llm.queries import ORACLES, QUERIES
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 MIDDLE = "/root/testdata/sf0.01"
 
 
@@ -26,8 +26,8 @@ def test_reference_sql(spark, small, name):
     assert strip(rows(got)) == strip(rows(want))
 
 
-def test_ten_operators_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+def test_operators_and_the_pipeline():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in QUERIES
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "benchmarks", "mixture"]
 
 
@@ -69,6 +69,14 @@ def test_mix_meets_the_targets(spark, small):
     assert ((by.taken - by.target).abs() <= 0.5).all() and abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-6 * by["size"].sum()
 
 
+def test_nearest_vectors(spark, small):
+    got = QUERIES["op11_nearest_vectors"](spark, small).toPandas()
+    want = _sql(small, """SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings c
+        ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, c.vec_id) <= 10""")
+    both = got.merge(want, on=["query_id", "vec_id"])
+    assert len(got) == len(want) and len(both) >= 0.9 * len(want) and ((both.score - both.d).abs() < 1e-12).all()
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     sizes = []
