@@ -202,20 +202,26 @@ def factor_stats(factors: DataFrame) -> DataFrame:
     return s.join(med, "category")
 
 
-def embodied_monte_carlo(stats: DataFrame, intensity: DataFrame, stages: dict[str, float], n_draws: int, seed: int) -> DataFrame:
-    """Embodied carbon per m2 and label: mean, median, P5, P95 over ``n_draws`` draws.
+def embodied_samples(stats: DataFrame, intensity: DataFrame, stages: dict[str, float], n_draws: int, seed: int) -> DataFrame:
+    """``archetype, category, stage, draw, v``: embodied carbon per m2 of every draw, material and life-cycle stage.
 
-    ``stats``: ``category, low, median, high`` (triangular factor per kg); ``intensity``: ``archetype,
-    category, category_no, kg_m2``; ``stages`` scales the factor per life-cycle stage. A draw is an integer
-    hash of (draw, material), so all labels and stages share it and no random state is kept.
+    ``stats``: ``category, low, median, high`` (triangular factor per kg); ``intensity``: ``archetype, category, category_no,
+    kg_m2``; ``stages`` scales the factor per stage. A draw is an integer hash of (draw, material and stage), so all labels
+    share it and no random state is kept.
     """
-    parts = intensity.join(stats.select("category", "low", "median", "high"), "category")
+    frame = lookup(stats.sparkSession, ["stage", "stage_no", "share"], [(s, k, float(v)) for k, (s, v) in enumerate(stages.items())])
+    parts = intensity.join(stats.select("category", "low", "median", "high"), "category").crossJoin(F.broadcast(frame))
     d = parts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    u = hash_uniform(seed, F.col("draw"), F.col("category_no"))
+    u = hash_uniform(seed, F.col("draw"), F.col("category_no") * 16 + F.col("stage_no"))
     lo, mid, hi = F.col("low"), F.col("median"), F.col("high")
     split = F.when(hi > lo, (mid - lo) / (hi - lo)).otherwise(F.lit(0.0))
     value = F.when(u < split, lo + F.sqrt(u * (hi - lo) * (mid - lo))).otherwise(hi - F.sqrt((1 - u) * (hi - lo) * (hi - mid)))
-    per = d.groupBy("archetype", "draw").agg((F.sum(value * F.col("kg_m2")) * sum(stages.values())).alias("v"))
-    return per.groupBy("archetype").agg(F.avg("v").alias("mean"), F.percentile("v", [0.05, 0.5, 0.95]).alias("_q")).select(
-        "archetype", "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p05"), F.col("_q")[2].alias("p95")
+    return d.select("archetype", "category", "stage", "draw", (value * F.col("kg_m2") * F.col("share")).alias("v"))
+
+
+def embodied_spread(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Mean, median, P5 and P95 per ``by`` of the draws, whose other parts are added up first."""
+    per = samples.groupBy(*by, "draw").agg(F.sum("v").alias("v"))
+    return per.groupBy(*by).agg(F.avg("v").alias("mean"), F.percentile("v", [0.05, 0.5, 0.95]).alias("_q")).select(
+        *by, "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p05"), F.col("_q")[2].alias("p95")
     )

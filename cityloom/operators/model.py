@@ -52,7 +52,7 @@ def spatial_folds(df: DataFrame, n_folds: int = rules.CV_FOLDS) -> DataFrame:
         k = min(range(n_folds), key=lambda f: load[f])
         load[k] += r["n"]
         rows.append((r["cell"], k))
-    return df.join(F.broadcast(lookup(df.sparkSession, ["cell", "fold"], rows)), "cell")
+    return df.join(df.sparkSession.createDataFrame(rows, "cell bigint, fold int"), "cell")
 
 
 def with_balanced_weights(df: DataFrame, label: str = "truth_arch") -> DataFrame:

@@ -38,6 +38,36 @@ def qc_report(df: DataFrame, value: str, tail_above: int, expected: dict[str, fl
     return out.withColumn("ok", F.col("expected").isNull() | (F.col("actual") == F.col("expected")))
 
 
+def coordinate_check(df: DataFrame, expected: int = 4326, column: str = "srid") -> DataFrame:
+    """Coordinate system of a table: ``check, actual, expected, ok``; ``actual`` is null where rows disagree."""
+    one = F.when(F.min(column).eqNullSafe(F.max(column)) & (F.count(column) == F.count(F.lit(1))), F.max(column)).cast("double")
+    out = df.agg(one.alias("actual")).select(F.lit("epsg").alias("check"), "actual", F.lit(float(expected)).alias("expected"))
+    return out.withColumn("ok", F.coalesce(F.col("actual") == F.col("expected"), F.lit(False)))
+
+
+def field_types(df: DataFrame, expected: list[str] | None = None) -> DataFrame:
+    """``field, kind, expected, filled``: every column with its type, whether it was expected, and the rows that fill it."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    rows = [
+        F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("kind"), F.lit(expected is None or f.name in expected).alias("expected"), F.col(f"`{f.name}`").alias("filled"))
+        for f in df.schema
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def height_report(df: DataFrame, value: str, cutoff: float, expected_rows: int | None = None) -> DataFrame:
+    """Report of the newer data: rows, range, median and gaps of the heights, and how many reach the cutoff."""
+    d = df.select(F.expr(f"try_cast({value} AS DOUBLE)").alias("v"))
+    sums = d.agg(
+        F.count(F.lit(1)).cast("double").alias("rows"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", 0.5).alias("median"),
+        F.count_if(F.col("v").isNull()).cast("double").alias("nulls"), F.count_if(F.col("v") >= cutoff).cast("double").alias("tail_rows"),
+    )
+    want = {"rows": expected_rows}
+    rows = [F.struct(F.lit(c).alias("check"), F.col(c).alias("actual"), F.lit(want.get(c)).cast("double").alias("expected")) for c in sums.columns]
+    out = sums.select(F.inline(F.array(*rows)))
+    return out.withColumn("ok", F.col("expected").isNull() | (F.col("actual") == F.col("expected")))
+
+
 def tail_distribution(df: DataFrame, value: str, cutoff: int) -> DataFrame:
     """Counts per value above the cutoff with the floors a doubled code stands for."""
     v = F.expr(f"try_cast({value} AS INT)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cityloom import rules
-from cityloom.functions.numeric import draw_order
+from cityloom.functions.geodesy import wgs84_to_bd09
+from cityloom.functions.numeric import draw_order, half_even
 from cityloom.functions.resample import replicate_sums
 from cityloom.operators.dedup import cluster_sizes, keep_first, same_model_clusters, size_histogram
 from cityloom.operators.quantiles import exact_quantiles
@@ -23,6 +24,13 @@ def in_window(x: Column, y: Column, cx: Column, cy: Column, half: Column) -> Col
     return x.between(cx - half, cx + half) & y.between(cy - half, cy + half)
 
 
+def in_areas(df: DataFrame, areas: dict[str, tuple[float, float, float, float]] = rules.STUDY_AREAS) -> DataFrame:
+    """Rows with ``lon, lat`` inside named areas (west, south, east, north, ends included), a row per ``area`` that holds it."""
+    frame = lookup(df.sparkSession, ["area", "_w", "_s", "_e", "_n"], [(k, *map(float, b)) for k, b in areas.items()])
+    inside = F.col("lon").between(F.col("_w"), F.col("_e")) & F.col("lat").between(F.col("_s"), F.col("_n"))
+    return df.join(F.broadcast(frame), inside).drop("_w", "_s", "_e", "_n")
+
+
 def draw(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """Seeded simple random sample of ``n`` rows (top-n by hash, so no global sort)."""
     return df.orderBy(draw_order(seed, *[F.col(k) for k in keys])).limit(n)
@@ -34,6 +42,18 @@ def draw_per_group(df: DataFrame, by: list[str], quota: Column, seed: int, *keys
     return df.withColumn("draw_no", F.row_number().over(w)).where(F.col("draw_no") <= quota)
 
 
+#: steps of a window that are clustered in one go
+LOOK_AHEAD = 3
+
+
+def growing_windows(spark, windows: list[tuple[str, float, float, int, int]], max_half: int) -> DataFrame:
+    """``window, cx, cy, quota, step, half``: every half-width each window may get, the last one the first beyond ``max_half``."""
+    steps = F.greatest(F.ceil((F.lit(max_half) - F.col("_h")) / rules.HALFWIDTH_STEP_M), F.lit(0))
+    frame = lookup(spark, ["window", "cx", "cy", "_h", "quota"], [(k, float(x), float(y), float(h), q) for k, x, y, h, q in windows])
+    frame = frame.withColumn("step", F.explode(F.sequence(F.lit(0), steps.cast("int"))))
+    return frame.withColumn("half", F.col("_h") + F.col("step") * F.lit(float(rules.HALFWIDTH_STEP_M)))
+
+
 def sample_windows(
     footprints: DataFrame,
     windows: list[tuple[str, float, float, int, int]],
@@ -42,39 +62,56 @@ def sample_windows(
 ) -> dict[str, DataFrame]:
     """Sample each window: area floor, box, same-model dedup, seeded draw; short windows grow by 300 m.
 
-    ``footprints`` has ``id, x, y, area, height``; a window is (key, centre x, centre y, half-width, quota).
-    All windows still short run in one job per round. The limit is tested before growing, so a window may be
-    tried once beyond ``max_half``. Returns ``picked``, ``kept`` and ``tally`` (one row per window).
+    ``footprints`` has ``id, x, y, area, height``; a window is (key, centre x, centre y, half-width, quota). The limit is
+    tested before growing, so a window may be tried once beyond ``max_half``. Each row is given the smallest step that holds
+    it; running counts of these name the first step that can fill the quota. That step and the next ones are clustered
+    together, each by itself, and the first with enough rows is taken. Returns ``picked``, ``kept``, ``sizes`` and
+    ``tally`` (one row per window).
     """
     spark = footprints.sparkSession
     base = footprints.where(F.col("area") >= rules.MIN_FOOTPRINT_M2)
-    todo = {w[0]: w for w in windows}
-    half = {w[0]: w[3] for w in windows}
-    done_kept, done_all = [], []
-    while todo:
-        rows = [(k, float(w[1]), float(w[2]), float(half[k]), w[4]) for k, w in todo.items()]
-        frame = F.broadcast(lookup(spark, ["window", "cx", "cy", "half", "quota"], rows))
-        clipped = base.join(frame, in_window(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("half")))
-        clusters = cut_lineage(same_model_clusters(clipped, ["window"]))
-        kept = keep_first(clusters, by=["window"])
-        n_kept = {r["window"]: r["n"] for r in kept.groupBy("window").agg(F.count("*").alias("n")).collect()}
-        full = [k for k, w in todo.items() if n_kept.get(k, 0) >= w[4]]
-        if full:
-            done_all.append(clusters.where(F.col("window").isin(full)))
-            done_kept.append(kept.where(F.col("window").isin(full)))
-        for k in full:
-            del todo[k]
-        for k in todo:
-            if half[k] >= max_half:
-                raise NotEnoughCandidates(f"window {k}: {n_kept.get(k, 0)} candidates at half-width {half[k]} m")
-            half[k] += rules.HALFWIDTH_STEP_M
-    kept, everything = union_all(done_kept), union_all(done_all)
+    steps = growing_windows(spark, windows, max_half)
+    last = steps.groupBy("window", "cx", "cy", "_h", "quota").agg(F.max("step").alias("last"), F.max("half").alias("_most"))
+    box = in_window(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("_most"))
+    away = F.greatest(F.abs(F.col("x") - F.col("cx")), F.abs(F.col("y") - F.col("cy"))) - F.col("_h")
+    first = F.greatest(F.ceil(away / rules.HALFWIDTH_STEP_M), F.lit(0)).cast("int")
+    near = cut_lineage(base.join(F.broadcast(last), box).withColumn("first_step", first))
+    new = near.groupBy("window", "quota", "last", F.col("first_step").alias("step")).agg(F.count(F.lit(1)).alias("_n"))
+    enough = F.sum("_n").over(Window.partitionBy("window").orderBy("step")) >= F.col("quota")
+    able = new.withColumn("_ok", enough).where("_ok").groupBy("window", "last").agg(F.min("step").alias("from"))
+    taken, tried = None, {w[0]: 0 for w in windows}
+    from_ = {r["window"]: (r["from"], r["last"]) for r in able.collect()}  # a row per window
+    while True:
+        todo = {k: (lo, hi) for k, (lo, hi) in from_.items() if k in tried and lo <= hi}
+        missing = [k for k in tried if k not in todo]
+        if missing:
+            raise NotEnoughCandidates(f"windows {missing}: too few candidates up to a half-width of {max_half} m")
+        frame = F.broadcast(lookup(spark, ["window", "_lo"], [(k, lo) for k, (lo, _) in todo.items()]))
+        runs = near.join(frame, "window").withColumn("step", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + LOOK_AHEAD - 1, F.col("last"))).cast("array<int>")))
+        runs = runs.where(F.col("first_step") <= F.col("step")).withColumn("half", F.col("_h") + F.col("step") * F.lit(float(rules.HALFWIDTH_STEP_M)))
+        clusters = cut_lineage(same_model_clusters(runs.drop("_lo", "_most", "first_step", "last"), ["window", "step"]))
+        kept = keep_first(clusters, by=["window", "step"])
+        full = kept.groupBy("window", "step", "quota").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.col("quota"))
+        full = cut_lineage(full.groupBy("window").agg(F.min("step").alias("step")))
+        found = clusters.join(F.broadcast(full), ["window", "step"])
+        taken = found if taken is None else taken.unionByName(found)
+        for r in full.collect():  # a row per window
+            del tried[r["window"]]
+        if not tried:
+            break
+        from_ = {k: (lo + LOOK_AHEAD, hi) for k, (lo, hi) in from_.items()}
+    everything = cut_lineage(taken)
+    kept = keep_first(everything, by=["window"])
     picked = draw_per_group(kept, ["window"], F.col("quota"), seed, "window", "id")
     sizes = cluster_sizes(everything, ["window"])
-    counts = everything.groupBy("window").agg(F.count("*").alias("n_clipped"), F.first("half").alias("final_half"),
-                                               F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+    counts = everything.groupBy("window").agg(
+        F.count("*").alias("n_clipped"), F.first("half").alias("final_half"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("_h").alias("initial_half")
+    )
     tally = counts.join(kept.groupBy("window").agg(F.count("*").alias("candidates_kept")), "window").select(
         "window",
+        "cx",
+        "cy",
+        "initial_half",
         "final_half",
         "candidates_kept",
         (F.col("n_clipped") - F.col("candidates_kept")).alias("dropped_duplicates"),
@@ -100,11 +137,18 @@ def cluster_note(size: Column) -> Column:
     return F.when(size >= 2, F.format_string("同款约 %d 栋(自动识别)", size.cast("int"))).otherwise(F.lit(""))
 
 
-def sampling_summary(result: dict[str, DataFrame], seed: int) -> DataFrame:
-    """One JSON document per window: counts, box and cluster-size histogram."""
+def sampling_summary(result: dict[str, DataFrame], ids: DataFrame, seed: int, centre: Column | None = None) -> DataFrame:
+    """One JSON document per window: centre, half-widths, counts, box, range of ids and cluster-size histogram.
+
+    ``ids``: the picked rows with ``val_id``; ``centre``: longitude and latitude of the centre as a struct of ``cx`` and
+    ``cy``.
+    """
     hist = size_histogram(result["sizes"], ["window"])
     packed = hist.groupBy("window").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "n")))).alias("histogram"))
-    j = result["tally"].join(packed, "window").withColumn("seed", F.lit(seed))
+    spans = ids.groupBy("window").agg(F.array(F.min("val_id"), F.max("val_id")).alias("id_range"))
+    tally = result["tally"].withColumn("initial_halfwidth_m", F.col("initial_half"))
+    tally = tally.withColumn("centre_wgs84", centre) if centre is not None else tally
+    j = tally.drop("initial_half", "cx", "cy").join(spans, "window").join(packed, "window").withColumn("seed", F.lit(seed))
     return j.select("window", F.to_json(F.struct(*[c for c in j.columns])).alias("summary"))
 
 
@@ -189,6 +233,25 @@ def labelling_list(rows: DataFrame, matched: DataFrame, forced: list, windows: d
     return cut_lineage(chosen.unionByName(city))
 
 
+SHEET = [
+    "bid", "district", "lat_wgs84", "lon_wgs84", "lat_bd09", "lon_bd09", "label_rule", "euluc_class", "floors", "footprint_m2",
+    "pred_class", "pred_confidence", "stratum", "actual_class", "actual_floors", "notes",
+]
+
+
+def labelling_sheet(listed: DataFrame, rows: DataFrame, lon: Column, lat: Column) -> DataFrame:
+    """The list with what a labeller needs (``SHEET``): both positions, rule label, prediction, and three empty columns.
+
+    ``rows`` are those of :func:`labelling_list` with ``district, label_rule, euluc_class``; ``lon, lat`` are in degrees.
+    """
+    j = listed.join(rows, "bid")
+    blon, blat = wgs84_to_bd09(lon, lat)
+    places = {"lat_wgs84": lat, "lon_wgs84": lon, "lat_bd09": blat, "lon_bd09": blon}
+    blank = {c: F.lit("") for c in SHEET[-3:]}
+    j = j.withColumns({**{n: half_even(c, 7) for n, c in places.items()}, **blank, "footprint_m2": half_even(F.col("area_m2"), 1)})
+    return j.withColumn("pred_confidence", half_even(F.col("pred_confidence"), 3)).select(*SHEET)
+
+
 def round_robin(pool: DataFrame, group: str, k: int, seed: int, key: str) -> DataFrame:
     """Take rows from the groups in turn until ``k`` are picked."""
     w = Window.partitionBy(group).orderBy(draw_order(seed, F.col(key)))

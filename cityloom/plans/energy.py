@@ -209,20 +209,23 @@ def d4_normalised_factors(i: Inputs):
     return n.select("epd_id", F.round("gwp_per_kg", 6).alias("gwp_per_kg"), E.end_of_life_stage(product, F.col("category")).alias("eol_stage"))
 
 
-@register(
-    "d3_embodied_carbon",
-    """
-SELECT archetype, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.95), 4) AS p95 FROM (
- SELECT archetype, draw, sum(kg*CASE WHEN u < sp THEN low + sqrt(u*(high-low)*(median-low)) ELSE high - sqrt((1-u)*(high-low)*(high-median)) END)*(1 + 0.1::DOUBLE + 0.05::DOUBLE) AS v FROM (
+# draws per label, material and life-cycle stage
+SAMPLES = {
+    **EPD,
+    "smp": """
+SELECT archetype, category, stage, draw, kg*share*CASE WHEN u < sp THEN low + sqrt(u*(high-low)*(median-low)) ELSE high - sqrt((1-u)*(high-low)*(high-median)) END AS v FROM (
   SELECT *, coalesce((median-low)/nullif(high-low, 0), 0) AS sp, CAST((h2*h2 + draw*40692 + 7) % 2147483647 AS DOUBLE)/2147483647 AS u FROM (
    SELECT *, (h1*h1 + no*16807 + draw*11) % 2147483647 AS h2 FROM (
-    SELECT a.archetype, e.*, n.no, d.draw, (10 + length(e.category) + a.k)::DOUBLE AS kg, (d.draw*48271 + n.no*69621 + 20260712) % 2147483647 AS h1
-    FROM efs e JOIN (SELECT category, row_number() OVER (ORDER BY category) AS no FROM efs) n USING (category)
-    CROSS JOIN (VALUES ('office', 1), ('hotel', 2), ('residential', 3)) a(archetype, k) CROSS JOIN (SELECT unnest(range(1, 5001)) AS draw) d)))
- GROUP BY 1, 2) GROUP BY 1""",
-    EPD,
-)
-def d3_embodied_carbon(i: Inputs):
+    SELECT *, (draw*48271 + no*69621 + 20260712) % 2147483647 AS h1 FROM (
+     SELECT a.archetype, e.*, n.no*16 + s.k AS no, s.stage, s.share, d.draw, (10 + length(e.category) + a.k)::DOUBLE AS kg
+     FROM efs e JOIN (SELECT category, row_number() OVER (ORDER BY category) AS no FROM efs) n USING (category)
+     CROSS JOIN (VALUES ('office', 1), ('hotel', 2), ('residential', 3)) a(archetype, k)
+     CROSS JOIN (VALUES ('A1-A3', 0, 1::DOUBLE), ('A4', 1, 0.1::DOUBLE), ('A5', 2, 0.05::DOUBLE)) s(stage, k, share) CROSS JOIN (SELECT unnest(range(1, 2001)) AS draw) d))))""",
+}
+_SPREAD = "round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.95), 4) AS p95"
+
+
+def _samples(i: Inputs):
     """Material intensities are a parameter of the operator; here a label-dependent figure per category."""
     from pyspark.sql import Window
 
@@ -232,5 +235,19 @@ def d3_embodied_carbon(i: Inputs):
     inten = stats.select("category", no.alias("category_no")).crossJoin(labels).select(
         "archetype", "category", "category_no", (F.lit(10.0) + F.length("category") + F.col("k")).alias("kg_m2")
     )
-    out = E.embodied_monte_carlo(stats, inten, {"A1-A3": 1.0, "A4": 0.1, "A5": 0.05}, 5000, rules.MODEL_SEED)
-    return out.select("archetype", *[F.round(c, 4).alias(c) for c in ("mean", "median", "p05", "p95")])
+    return E.embodied_samples(stats, inten, {"A1-A3": 1.0, "A4": 0.1, "A5": 0.05}, 2000, rules.MODEL_SEED)
+
+
+def _rounded(df, by: list[str]):
+    return df.select(*by, *[F.round(c, 4).alias(c) for c in ("mean", "median", "p05", "p95")])
+
+
+@register("d3_embodied_carbon", f"SELECT archetype, {_SPREAD} FROM (SELECT archetype, draw, sum(v) AS v FROM smp GROUP BY 1, 2) GROUP BY 1", SAMPLES)
+def d3_embodied_carbon(i: Inputs):
+    return _rounded(E.embodied_spread(_samples(i), ["archetype"]), ["archetype"])
+
+
+@register("d3_embodied_by_stage", f"SELECT archetype, category, stage, {_SPREAD} FROM smp GROUP BY 1, 2, 3", SAMPLES)
+def d3_embodied_by_stage(i: Inputs):
+    by = ["archetype", "category", "stage"]
+    return _rounded(E.embodied_spread(_samples(i), by), by)

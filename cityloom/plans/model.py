@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from cityloom import rules
 from cityloom.functions.resample import POISSON_CDF
-from cityloom.operators import evaluation as E, features as B, labelling as L, model as M, sampling as R
+from cityloom.operators import evaluation as E, features as B, labelling as L, model as M, sampling as R, spatial
 from cityloom.operators.quantiles import exact_quantiles
 from cityloom.operators.skew import union_all
 from cityloom.plans.inputs import buildings, master, parcels, slim
 from cityloom.plans.joins import NEIGHBOURS
 from cityloom.plans.registry import register
-from cityloom.plans.shapes import HULL
+from cityloom.plans.shapes import GCJ, HULL
 from cityloom.sources.views import Inputs, stored, stored_tables
 
 SCALE = {
@@ -90,9 +90,19 @@ def w4_group_total(i: Inputs):
     return with_group_stats(rows, "parcel_id", {"g": F.sum("gfa_m2")}).select("bid", F.round("g", 6).alias("parcel_gfa"))
 
 
-@register("a21_class_agreement", "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS agreement FROM bp")
+@register(
+    "a21_class_agreement",
+    """
+SELECT count(*) AS n, avg((a.class = o.class)::INT::DOUBLE) AS agreement FROM bp a JOIN (
+ SELECT bid, arg_max(class, (inter, -parcel_id)) AS class FROM (
+  SELECT r.bid, p.parcel_id, p.class, sum((least(r.xb, p.x0+p.side)-greatest(r.xa, p.x0))*(least(r.yb, p.y0+p.side)-greatest(r.ya, p.y0))) AS inter
+  FROM r26 r JOIN parcels p ON r.xa < p.x0+p.side AND p.x0 < r.xb AND r.ya < p.y0+p.side AND p.y0 < r.yb GROUP BY 1, 2, 3) GROUP BY bid) o USING (bid)""",
+)
 def a21_class_agreement(i: Inputs):
-    again = L.parcel_of(slim(i), parcels(i)).select("bid", F.col("class").alias("euluc_class"))
+    """The parcel that holds the interior point against the parcel that covers most of the footprint."""
+    p = parcels(i).select("parcel_id", "class", "geom", "area_m2", "xmin", "ymin", "xmax", "ymax")
+    pairs = spatial.overlap_pairs(buildings(i), p, L.PARCEL_CELL_M, "bid", "parcel_id", ["class"])
+    again = spatial.best_overlap(pairs, "bid", "parcel_id").select("bid", F.col("class").alias("euluc_class"))
     return B.class_agreement(master(i), again, "bid", "euluc_class")
 
 
@@ -139,7 +149,22 @@ def _train(i: Inputs):
     return M.with_cell(j, "rep_x", "rep_y", PLANE_CELL_M), names
 
 
-@register("b7_spatial_folds")
+# cells by size, then one after the other to the fold with the fewest rows so far (the first of equal ones)
+FOLDS = {
+    "trained": f"""SELECT val_id, t.bid, CAST(floor(g.rx/{PLANE_CELL_M:.0f}) AS BIGINT)*100000 + CAST(floor(g.ry/{PLANE_CELL_M:.0f}) AS BIGINT) AS cell
+FROM tmatch t JOIN truth USING (val_id) JOIN g26 g ON g.bid = t.bid WHERE status = 'annotated' AND val_id NOT IN (9, 96, 141)""",
+    "ordered": "SELECT cell, n, row_number() OVER (ORDER BY n DESC, cell) AS r FROM (SELECT cell, count(*) AS n FROM trained GROUP BY cell)",
+    "dealt": f"""
+WITH RECURSIVE d AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST({[0] * rules.CV_FOLDS} AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS cell, CAST(NULL AS INT) AS fold
+  UNION ALL
+  SELECT o.r, list_transform(held, lambda h, k: h + CASE WHEN k = list_position(held, list_min(held)) THEN o.n ELSE 0 END), o.cell, CAST(list_position(held, list_min(held)) - 1 AS INT)
+  FROM d JOIN ordered o ON o.r = d.r + 1)
+SELECT cell, fold FROM d WHERE r > 0""",
+}
+
+
+@register("b7_spatial_folds", "SELECT val_id, bid, cell, fold FROM trained JOIN dealt USING (cell)", FOLDS)
 def b7_spatial_folds(i: Inputs):
     f, _ = feature_rows(i)
     t = M.truth_set(i.view("truth"), buildings(i), master(i), EXCLUDED).where("is_train")
@@ -351,11 +376,69 @@ def w7_round_robin(i: Inputs):
     return R.round_robin(pool, "pred_class", 20, rules.MODEL_SEED, "bid")
 
 
-@register("r3_labelling_list")
-def r3_labelling_list(i: Inputs):
-    matched = M.truth_set(i.view("truth"), buildings(i), master(i), []).select("val_id", "bid")
-    windows = {
-        "lingang": R.in_window(F.col("rep_x"), F.col("rep_y"), F.lit(400.0), F.lit(150.0), F.lit(150.0)),
-        "zhangjiang": R.in_window(F.col("rep_x"), F.col("rep_y"), F.lit(2200.0), F.lit(150.0), F.lit(150.0)),
+LIST_WINDOWS = {"lingang": (400.0, 150.0, 150.0), "zhangjiang": (2200.0, 150.0, 150.0)}
+
+
+def _listing() -> dict[str, str]:
+    """Strata of the labelling list in SQL: each draw excludes labelled rows and those drawn before."""
+    q, edges = rules.LIST_QUOTAS, rules.LIST_FLOOR_EDGES
+    cut = lambda value, share, where: f"(SELECT quantile_cont({value}, {share}::DOUBLE) FROM pred WHERE {where})"
+    hotel, bundle = "archetype = 'hotel'", "archetype = 'sport_culture'"
+    quart = [cut("area_m2", x, bundle) for x in (0.25, 0.5, 0.75)]
+    parts = [f"area_m2 <= {quart[0]}", f"area_m2 > {quart[0]} AND area_m2 <= {quart[1]}", f"area_m2 > {quart[1]} AND area_m2 <= {quart[2]}", f"area_m2 > {quart[2]}"]
+    box = {k: f"rx BETWEEN {x - h} AND {x + h} AND ry BETWEEN {y - h} AND {y + h}" for k, (x, y, h) in LIST_WINDOWS.items()}
+    strata = [
+        [("hotel_high_conf", f"{hotel} AND pred_confidence >= {cut('pred_confidence', 0.667, hotel)}", q["hotel"] // 2)],
+        [("hotel_low_conf", f"{hotel} AND pred_confidence <= {cut('pred_confidence', 0.333, hotel)}", q["hotel"] - q["hotel"] // 2)],
+        [(f"sport_culture_fp_q{k + 1}", f"{bundle} AND {c}", q["bundle"] // 4 + (k < q["bundle"] % 4)) for k, c in enumerate(parts)],
+        [*((f"floors_{a}_{b - 1}", f"floors BETWEEN {a} AND {b - 1}", q["floors"]) for a, b in zip(edges, edges[1:])), (f"floors_{edges[-1]}plus", f"floors >= {edges[-1]}", q["floors"])],
+        *([(f"low_conf_{k}", f"{b} AND pred_confidence <= {cut('pred_confidence', 0.333, b)}", q["window"])] for k, b in box.items()),
+    ]
+    out = {
+        "labelled": "SELECT val_id, t.bid FROM tmatch t JOIN truth USING (val_id) WHERE status = 'annotated'",
+        "listed0": f"SELECT bid, 'reassess_' || val_id AS stratum FROM labelled WHERE val_id IN ({', '.join(map(str, EXCLUDED))})",
     }
-    return R.labelling_list(predictions(i), matched, EXCLUDED, windows, rules.MODEL_SEED)
+    for n, some in enumerate(strata):
+        case = " ".join(f"WHEN {c} THEN '{k}'" for k, c, _ in some)
+        quota = " ".join(f"WHEN '{k}' THEN {m}" for k, _, m in some)
+        out[f"listed{n + 1}"] = f"""SELECT * FROM listed{n} UNION ALL SELECT bid, stratum FROM (SELECT bid, CASE {case} END AS stratum FROM pred) WHERE stratum IS NOT NULL
+ AND bid NOT IN (SELECT bid FROM labelled) AND bid NOT IN (SELECT bid FROM listed{n})
+ QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('{rules.MODEL_SEED}:' || stratum || ':' || bid)) <= CASE stratum {quota} END"""
+    last = f"listed{len(strata)}"
+    away = " AND ".join(f"NOT ({b})" for b in box.values())
+    out["listing"] = f"""SELECT * FROM {last} UNION ALL SELECT bid, 'low_conf_citywide' FROM (SELECT bid, pred_class,
+ row_number() OVER (PARTITION BY pred_class ORDER BY md5('{rules.MODEL_SEED}:' || bid)) AS turn FROM pred
+ WHERE pred_confidence <= {cut('pred_confidence', 0.1, 'true')} AND {away} AND bid NOT IN (SELECT bid FROM labelled) AND bid NOT IN (SELECT bid FROM {last})
+ ORDER BY turn, pred_class LIMIT {q["low_conf"]})"""
+    return out
+
+
+def _listed(i: Inputs):
+    matched = M.truth_set(i.view("truth"), buildings(i), master(i), []).select("val_id", "bid")
+    boxes = {k: R.in_window(F.col("rep_x"), F.col("rep_y"), F.lit(x), F.lit(y), F.lit(h)) for k, (x, y, h) in LIST_WINDOWS.items()}
+    rows = predictions(i)
+    listed = R.labelling_list(rows, matched, EXCLUDED, boxes, rules.MODEL_SEED)
+    return R.labelling_sheet(listed, rows, F.lit(121.0) + F.col("rep_x") / 100000.0, F.lit(30.9) + F.col("rep_y") / 100000.0)
+
+
+@register(
+    "r3_labelling_list",
+    """SELECT l.bid, m.district, round_even(30.9::DOUBLE + m.ry/100000, 7) AS lat_wgs84, round_even(121 + m.rx/100000, 7) AS lon_wgs84, m.label_rule, m.euluc_class, m.floors,
+ round_even(m.area_m2, 1) AS footprint_m2, p.pred_class, round_even(p.pred_confidence, 3) AS pred_confidence, l.stratum, '' AS actual_class, '' AS actual_floors, '' AS notes
+FROM listing l JOIN pred p USING (bid) JOIN master m ON m.bid = l.bid""",
+    {**PRED, **_listing()},
+)
+def r3_labelling_list(i: Inputs):
+    """The sheet but for the shifted position, which ``r3_labelling_positions`` returns."""
+    return _listed(i).drop("lat_bd09", "lon_bd09")
+
+
+@register(
+    "r3_labelling_positions",
+    """
+SELECT id AS bid, round_even(z*sin(t) + 0.006, 7) AS lat_bd09, round_even(z*cos(t) + 0.0065, 7) AS lon_bd09 FROM (
+ SELECT id, sqrt(glon*glon + glat*glat) + 0.00002*sin(glat*pi()*3000/180) AS z, atan2(glat, glon) + 0.000003*cos(glon*pi()*3000/180) AS t FROM gcj)""",
+    {**PRED, **_listing(), "ll": "SELECT l.bid AS id, CAST(121 AS DOUBLE) + m.rx/100000 AS lon, CAST(30.9 AS DOUBLE) + m.ry/100000 AS lat FROM listing l JOIN master m USING (bid)", "gcj": GCJ["gcj"]},
+)
+def r3_labelling_positions(i: Inputs):
+    return _listed(i).select("bid", "lat_bd09", "lon_bd09")

@@ -45,10 +45,15 @@ def require_srid(df: DataFrame, srid: int = 4326, column: str = "srid") -> DataF
     ).where(F.col(column).isNull()).drop(column)
 
 
-def whole_number(column: str) -> Column:
-    """Number or numeric text as an integer: ``12``, ``"12"`` and ``"12.0"`` alike; anything else, and any fraction, is null."""
+def number(column: str) -> Column:
+    """Number or numeric text as a double; anything else is null."""
     v = F.expr(f"try_cast(trim(CAST({column} AS STRING)) AS DOUBLE)")
-    return F.when(v == F.floor(v), v).cast("int")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def truncated(value: Column) -> Column:
+    """The whole part of a double, towards zero: 12.5 counts as 12."""
+    return value.cast("bigint").cast("int")
 
 
 def scan_buildings(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -56,17 +61,15 @@ def scan_buildings(df: DataFrame, keep: list[str]) -> DataFrame:
     require_columns(df, ["height"])
     if "Area" in df.columns:
         df = df.withColumnRenamed("Area", "area_m2")
-    return df.select(*keep).withColumn("height", whole_number("height"))
+    return df.select(*keep).withColumn("height", truncated(number("height")))
 
 
 def scan_buildings_2023(df: DataFrame) -> DataFrame:
-    """2023 footprints: ``FLOOR`` text holds twice the floors; an odd value stops the job."""
+    """2023 footprints: ``FLOOR`` text holds twice the floors; an odd value stops the job, a fraction is cut off."""
     require_columns(df, ["FLOOR"])
-    code = whole_number("FLOOR")
-    checked = F.when(code % 2 != 0, F.raise_error(F.concat(F.lit("odd FLOOR: "), F.col("FLOOR"))).cast("int"))
-    return df.withColumn("floor23", F.coalesce(checked, code)).withColumn(
-        "floors_2023", F.floor(F.col("floor23") / 2).cast("int")
-    )
+    code = number("FLOOR")
+    checked = F.when(code % 2 == 1, F.raise_error(F.concat(F.lit("odd FLOOR: "), F.col("FLOOR").cast("string"))).cast("double"))
+    return df.withColumn("floor23", truncated(F.coalesce(checked, code))).withColumn("floors_2023", F.floor(F.col("floor23") / 2).cast("int"))
 
 
 def row_count_check(df: DataFrame, band: tuple[int, int]) -> DataFrame:

@@ -186,9 +186,11 @@ def test_numeric_text(spark):
     from cityloom.sources import tables
 
     df = spark.createDataFrame([("12",), ("12.0",), (" 24.0 ",), ("1.5",), ("x",), (None,)], "height string")
-    assert [r.height for r in tables.scan_buildings(df, ["height"]).collect()] == [12, 12, 24, None, None, None]
+    assert [r.height for r in tables.scan_buildings(df, ["height"]).collect()] == [12, 12, 24, 1, None, None]
     floors = tables.scan_buildings_2023(spark.createDataFrame([("24.0",)], "FLOOR string")).first()
     assert (floors.floor23, floors.floors_2023) == (24, 12)
+    half = tables.scan_buildings_2023(spark.createDataFrame([("25.5",), ("-0.5",), ("nan",)], "FLOOR string")).collect()
+    assert [(r.floor23, r.floors_2023) for r in half] == [(25, 12), (0, 0), (None, None)]
     with pytest.raises(Exception, match="odd FLOOR"):
         tables.scan_buildings_2023(spark.createDataFrame([("25.0",)], "FLOOR string")).collect()
     odd = [("a'b\\",), ("x\\ny",)]
