@@ -70,11 +70,20 @@ _SPAN = ["x", "y", "height", "area"]
 _CUT = {"x": _MICRO_M, "y": _MICRO_M, "height": rules.HEIGHT_ABS_TOL_M, "area": _MICRO_LOG}
 
 
+#: buckets with at most so many pairs of kinds between them are compared kind by kind
+DIRECT = 1024
+
+
+def _placed(kinds: DataFrame, level: int) -> DataFrame:
+    """Place of each row among the buckets of ``level``: each is cut in half along every side from one level to the next."""
+    return kinds.withColumns({f"_q{c}": F.floor((F.log(c) if c == "area" else F.col(c)) / (_CUT[c] / 2**level)) for c in _SPAN})
+
+
 def _boxed(kinds: DataFrame, by: list[str], level: int) -> DataFrame:
-    """Boxes of the buckets of ``level``: each is cut in half along every side from one level to the next."""
-    place = {f"_q{c}": F.floor((F.log(c) if c == "area" else F.col(c)) / (_CUT[c] / 2**level)) for c in _SPAN}
+    """Boxes of the buckets of ``level``."""
+    place = [f"_q{c}" for c in _SPAN]
     ends = [f(c).alias(f"{t}_{c}") for c in _SPAN for f, t in ((F.min, "lo"), (F.max, "hi"))]
-    return kinds.withColumns(place).groupBy(*by, "node", *place).agg(*ends)
+    return _placed(kinds, level).groupBy(*by, "node", *place).agg(F.count(F.lit(1)).alias("kinds"), *ends)
 
 
 def _side(boxes: DataFrame, by: list[str], tag: str) -> DataFrame:
@@ -96,21 +105,40 @@ def touching_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
     """``*by, u, v``: pairs of buckets that hold at least one same-model pair of rows between them.
 
     ``kinds``: distinct ``x, y, area, height`` with their bucket ``node``. Bounding boxes settle most pairs of buckets; those
-    left open are cut in half along every side and compared again, down to single kinds, until one pair of parts links them.
+    left open are compared kind by kind where that is at most ``DIRECT`` pairs; the others are cut in half along every side and
+    their parts compared again, until one pair of parts links them.
     """
     some, every = _least_and_most()
     boxes = _boxed(kinds, by, 0)
-    left = boxes.withColumns({"_cx": F.floor(F.col("lo_x") / rules.DISTANCE_TOL_M), "_cy": F.floor(F.col("lo_y") / rules.DISTANCE_TOL_M), "_ch": F.floor(F.col("lo_height") / _BIN_H), "_ca": F.floor(F.log("lo_area") / _BIN_LOG)})
     # two buckets that touch have their lower corners within the limits and one bucket's sides
-    near = {c: F.sequence(F.floor((F.col(f"lo_{c}") - rules.DISTANCE_TOL_M - _MICRO_M) / rules.DISTANCE_TOL_M), F.floor((F.col(f"lo_{c}") + rules.DISTANCE_TOL_M + _MICRO_M) / rules.DISTANCE_TOL_M)) for c in "xy"}
-    right = boxes.withColumn("_cx", F.explode(near["x"])).withColumn("_cy", F.explode(near["y"]))
+    reach = rules.DISTANCE_TOL_M + _MICRO_M
+    own = {f"_c{c}": F.floor(F.col(f"lo_{c}") / reach) for c in "xy"}
+    left = boxes.withColumns({**own, "_ch": F.floor(F.col("lo_height") / _BIN_H), "_ca": F.floor(F.log("lo_area") / _BIN_LOG)})
+    right = boxes
+    for c in "xy":
+        right = right.withColumn(f"_c{c}", F.explode(F.sequence(own[f"_c{c}"] - 1, own[f"_c{c}"] + 1)))
     right = right.withColumn("_ch", F.explode(_bins(F.col("lo_height"), 2 * rules.HEIGHT_ABS_TOL_M, _BIN_H))).withColumn("_ca", F.explode(_bins(F.log("lo_area"), 3 * _MICRO_LOG, _BIN_LOG)))
     cells = ["_cx", "_cy", "_ch", "_ca"]
     met = balanced_join(_side(left, [*by, *cells], "a_"), _side(right, [*by, *cells], "b_"), [*by, *cells])
     met = cut_lineage(met.where((F.col("a_node") < F.col("b_node")) & some).withColumn("_linked", every).drop(*cells))
     pair = [*by, "a_node", "b_node"]
     linked, level = met.where("_linked").select(*pair), 0
-    open_ = met.where(~F.col("_linked"))
+    few = F.col("a_kinds") * F.col("b_kinds") <= DIRECT
+
+    def compared(some: DataFrame, level: int) -> DataFrame:
+        """Pairs of buckets with few kinds that hold a same-model pair."""
+        own = _placed(kinds, level)
+        for t in ("a_", "b_"):
+            place = {f"_q{c}": f"{t}_q{c}" for c in _SPAN}
+            values = {c: c if t == "a_" else f"o_{c}" for c in _SPAN}
+            side = own.select(*by, "node", *place, *_SPAN).withColumnsRenamed({"node": f"{t}node", **place, **values})
+            some = some.join(side, [*by, f"{t}node", *place.values()])
+        return some.where(_same_model()).select(*pair)
+
+    keyed = [*pair, *(f"{t}_q{c}" for t in ("a_", "b_") for c in _SPAN)]
+    new = compared(met.where(~F.col("_linked") & few).select(*keyed), 0)
+    linked = linked.unionByName(new)
+    open_ = met.where(~F.col("_linked") & ~few)
     while not open_.isEmpty():
         level += 1
         finer = cut_lineage(_boxed(kinds.join(_open_nodes(open_, by), [*by, "node"], "left_semi"), by, level))
@@ -118,12 +146,13 @@ def touching_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
         finer = finer.withColumns({f"_p{c}": v for c, v in zip(_SPAN, place.values())})
         parts = open_.select(*pair, *(F.col(f"{t}_q{c}").alias(f"{t}_p{c}") for t in ("a_", "b_") for c in _SPAN))
         for t in ("a_", "b_"):
-            side = finer.select(*by, F.col("node").alias(f"{t}node"), *(F.col(f"_p{c}").alias(f"{t}_p{c}") for c in _SPAN), *(F.col(c).alias(f"{t}{c}") for c in finer.columns if c.startswith(("lo_", "hi_", "_q"))))
+            side = finer.select(*by, F.col("node").alias(f"{t}node"), *(F.col(f"_p{c}").alias(f"{t}_p{c}") for c in _SPAN), *(F.col(c).alias(f"{t}{c}") for c in finer.columns if c.startswith(("lo_", "hi_", "_q", "kinds"))))
             parts = parts.join(side, [*by, f"{t}node", *(f"{t}_p{c}" for c in _SPAN)])
         met = cut_lineage(parts.where(some).withColumn("_linked", every))
-        new = cut_lineage(met.where("_linked").select(*pair).distinct())
+        new = met.where("_linked").select(*pair).unionByName(compared(met.where(~F.col("_linked") & few).select(*keyed), level))
+        new = cut_lineage(new.distinct())
         linked = linked.unionByName(new)
-        open_ = cut_lineage(met.where(~F.col("_linked")).join(new, pair, "left_anti"))
+        open_ = cut_lineage(met.where(~F.col("_linked") & ~few).join(new, pair, "left_anti"))
     return linked.select(*by, F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
 
 

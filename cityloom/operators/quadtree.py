@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cityloom.operators.skew import balanced_join
 from cityloom.session import cut_lineage
 
-CAPACITY = 8
+CAPACITY = 32
 #: levels a crowded cell is split by at once
 STEP = 2
 #: a cell of this level is not split any more (a square of a thousand km: about a millimetre)
@@ -34,6 +34,7 @@ class Quadtree:
     y0: float
     side: float
     start: int
+    deepest: int
 
     def cell(self, value: Column, origin: float, level: Column) -> Column:
         """Index of the cell of ``level``; coordinates beyond the tree belong to its border cells."""
@@ -62,10 +63,9 @@ def build(spots: DataFrame, capacity: int = CAPACITY) -> Quadtree | None:
     start = 0
     while start < DEEPEST and (r[0] * 2) > capacity * 4**start:
         start += 1
-    tree = Quadtree(spots, spots, r[1], r[2], side, start)
+    tree = Quadtree(spots, spots, r[1], r[2], side, start, start)
     open_, done, cells, level = tree.keyed(spots, "_tx", "_ty", F.lit(start)), [], [], start
     while True:
-        open_ = cut_lineage(open_)
         leaf = F.col("_n") <= capacity if level + STEP <= DEEPEST else F.lit(True)
         cells.append(cut_lineage(_counted(open_).withColumn("_leaf", leaf)))
         crowded = cells[-1].where(~F.col("_leaf")).select(*KEY)
@@ -74,7 +74,7 @@ def build(spots: DataFrame, capacity: int = CAPACITY) -> Quadtree | None:
             break
         done.append(open_.join(cells[-1].where("_leaf").select(*KEY), KEY))
         level += STEP
-        open_ = tree.keyed(open_.join(crowded, KEY).drop(*KEY), "_tx", "_ty", F.lit(level))
+        open_ = cut_lineage(tree.keyed(open_.join(crowded, KEY).drop(*KEY), "_tx", "_ty", F.lit(level)))
     nodes = cells[0]
     for more in cells[1:]:
         nodes = nodes.unionByName(more)
@@ -88,7 +88,7 @@ def build(spots: DataFrame, capacity: int = CAPACITY) -> Quadtree | None:
     held = done[0]
     for more in done[1:]:
         held = held.unionByName(more.select(*held.columns))
-    return Quadtree(cut_lineage(nodes), cut_lineage(held), r[1], r[2], side, start)
+    return Quadtree(cut_lineage(nodes), held if len(done) == 1 else cut_lineage(held), r[1], r[2], side, start, level)
 
 
 def _gap(p: str, lo: str, hi: str) -> Column:
@@ -110,34 +110,18 @@ def _farthest_point() -> Column:
 def _first_bounds(tree: Quadtree, asks: DataFrame, least: int) -> DataFrame:
     """``asks`` with ``_bound``: an upper limit of the distance to the nearest (other) spot."""
     dist = F.hypot(F.col("_px") - F.col("_tx"), F.col("_py") - F.col("_ty"))
-    at, level, met = tree.keyed(asks, "_px", "_py", F.lit(tree.start)), tree.start, None
-    # down to the leaf that holds the asker's place
-    while True:
-        here = at.join(tree.nodes.where(F.col("_lv") == level).select(*KEY, "_leaf"), KEY)
-        found = here.where("_leaf").drop("_leaf")
-        met = found if met is None else met.unionByName(found)
-        deeper = here.where(~F.col("_leaf")).drop("_leaf", *KEY)
-        level += STEP
-        if level > DEEPEST or deeper.isEmpty():
-            break
-        at = cut_lineage(tree.keyed(deeper, "_px", "_py", F.lit(level)))
+    # the leaf that holds the asker's place, if there is one
+    at = asks.withColumn("_l", F.explode(F.array(*[F.lit(k) for k in range(tree.start, tree.deepest + 1, STEP)])))
+    met = tree.keyed(at, "_px", "_py", F.col("_l")).join(tree.nodes.where("_leaf").select(*KEY), KEY)
     near = met.join(tree.spots.select(*KEY, "_tx", "_ty"), KEY).withColumn("_d", dist)
     if least > 1:
         near = near.where((F.col("_px") != F.col("_tx")) | (F.col("_py") != F.col("_ty")))
     bounded = cut_lineage(near.groupBy("_px", "_py").agg(F.min("_d").alias("_bound")))
     # askers without another spot in their leaf: the smallest cell around them that has one
-    level, parts = tree.start, [bounded]
-    open_ = cut_lineage(asks.join(bounded, ["_px", "_py"], "left_anti"))
-    while not open_.isEmpty() and level >= 0:
-        around = tree.nodes.where((F.col("_lv") == level) & (F.col("_n") >= least))
-        here = tree.keyed(open_, "_px", "_py", F.lit(level)).join(around, KEY)
-        parts.append(cut_lineage(here.select("_px", "_py", _farthest_point().alias("_bound"))))
-        open_ = cut_lineage(open_.join(parts[-1], ["_px", "_py"], "left_anti"))
-        level -= 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    alone = asks.join(bounded, ["_px", "_py"], "left_anti").withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(tree.start))))
+    around = tree.nodes.where(F.col("_n") >= least)
+    found = tree.keyed(alone, "_px", "_py", F.col("_l")).join(around, KEY).groupBy("_px", "_py").agg(F.max_by(_farthest_point(), F.col("_lv")).alias("_bound"))
+    return bounded.unionByName(found)
 
 
 def nearest(tree: Quadtree, asks: DataFrame, same_table: bool, rank: list[str]) -> DataFrame:
@@ -145,7 +129,7 @@ def nearest(tree: Quadtree, asks: DataFrame, same_table: bool, rank: list[str])
 
     With ``same_table`` a spot at the asker's own place does not count. An asker has no row only if no other spot exists.
     """
-    bounds = cut_lineage(_first_bounds(tree, asks, 2 if same_table else 1))
+    bounds = _first_bounds(tree, asks, 2 if same_table else 1)
     # the cells of about the bound's size that its circle meets: at most five by five
     fit = F.floor(F.log2(F.lit(tree.side) / F.greatest(F.col("_bound"), F.lit(1e-9)))) + 1
     at = bounds.withColumn("_lv", F.greatest(F.lit(0), F.least(F.lit(tree.start), fit)).cast("int"))

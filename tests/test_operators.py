@@ -153,6 +153,17 @@ def test_exact_quantiles(spark, n):
         assert got[q] == pytest.approx(float(np.quantile(v, q)), rel=1e-12)
 
 
+def test_wide_brackets_are_narrowed(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=60_000), np.full(30_000, 0.25), np.round(rng.normal(size=10_000), 1)])
+    df = spark.createDataFrame([(float(x), "a" if k % 3 else "b") for k, x in enumerate(v)], "v double, g string")
+    qs = [0.0, 0.01, 0.5, 0.62, 0.999, 1.0]
+    for by, parts in ([], {None: v}), (["g"], {"a": v[np.arange(len(v)) % 3 > 0], "b": v[::3]}):
+        got = {(r["g"] if by else None, r["q"]): r["value"] for r in Q.exact_quantiles(df, F.col("v"), qs, by, fit=20).collect()}
+        assert len(got) == len(qs) * len(parts)
+        assert all(got[g, q] == pytest.approx(float(np.quantile(x, q)), rel=1e-12) for g, x in parts.items() for q in qs)
+
+
 @pytest.mark.parametrize("hot_right", [False, True])
 def test_hot_keys_are_split(spark, hot_right):
     """A key that is hot on one side only: same rows as the plain join, and no task holds the key's rows."""
