@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cityloom import rules
-from cityloom.functions import geometry as G
+from cityloom.functions import geometry as G, ranks
 from cityloom.operators import spatial
 from cityloom.operators.quantiles import exact_quantiles
 from cityloom.operators.skew import balanced_join, with_group_stats
@@ -64,29 +64,40 @@ def scale_features(master: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_stats(master: DataFrame, radius: float = rules.NEIGHBOUR_RADIUS_M) -> DataFrame:
+#: side of a tile in radii, and asking spots that a block of a tile holds on average
+TILE_RADII = 4.0
+BLOCK_SPOTS = 512
+
+
+def neighbour_stats(master: DataFrame, radius: float = rules.NEIGHBOUR_RADIUS_M, block: int = BLOCK_SPOTS) -> DataFrame:
     """``bid, n_bld_100m, nbr_fp_med_m2``: neighbours within ``radius`` and their median footprint, 0 without.
 
-    Rows are first collapsed to (spot, footprint) with a multiplicity, so stacked copies are joined once;
-    the median takes the multiplicity as frequency. Pairs go straight into the aggregate.
+    Rows are first collapsed to (spot, footprint) with a multiplicity, so stacked copies are met once. The spots of a
+    tile are dealt out to blocks of bounded size; whatever lies around the tile passes by each block in order of
+    footprint, once to count each spot's neighbours and once to step through the ranks to the middle. No pair leaves a
+    task. Rows without position or footprint are no neighbours and have none.
     """
-    spots = master.groupBy(F.col("rep_x").alias("o_x"), F.col("rep_y").alias("o_y"), F.col("area_m2").alias("o_area")).agg(
-        F.count(F.lit(1)).alias("o_n")
-    )
-    asks = master.select(F.col("rep_x").alias("p_x"), F.col("rep_y").alias("p_y"), F.col("area_m2").alias("p_area")).distinct()
-    pairs = spatial.radius_pairs(asks, spots, radius, ("p_x", "p_y"), ("o_x", "o_y"))
-    # a row is not its own neighbour: take one off its own (spot, footprint) entry
-    own = (F.col("p_x") == F.col("o_x")) & (F.col("p_y") == F.col("o_y")) & (F.col("p_area") == F.col("o_area"))
-    pairs = pairs.withColumn("n", F.col("o_n") - F.when(own, F.lit(1)).otherwise(F.lit(0))).where(F.col("n") > 0)
-    stats = pairs.groupBy("p_x", "p_y", "p_area").agg(
-        F.sum("n").alias("n_bld_100m"), F.percentile("o_area", 0.5, F.col("n")).alias("nbr_fp_med_m2")
-    )
-    keyed = stats.withColumnsRenamed({"p_x": "rep_x", "p_y": "rep_y", "p_area": "area_m2"})
+    size = radius * TILE_RADII
     keys = ["rep_x", "rep_y", "area_m2"]
-    j = balanced_join(master.select("bid", *keys), keyed, keys, "left")
-    return j.select(
-        "bid", F.coalesce("n_bld_100m", F.lit(0)).alias("n_bld_100m"), F.coalesce("nbr_fp_med_m2", F.lit(0.0)).alias("nbr_fp_med_m2")
-    )
+    known = master.where(F.col("rep_x").isNotNull() & F.col("rep_y").isNotNull() & F.col("area_m2").isNotNull())
+    cols = [F.col(c).cast("double").alias(a) for c, a in zip(keys, ("x", "y", "value"), strict=True)]
+    spots = cut_lineage(known.select(*cols).groupBy("x", "y", "value").agg(F.count(F.lit(1)).alias("n")))
+    tile = {"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)}
+    tiles = cut_lineage(spots.withColumns(tile).groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("parts")))
+    place = F.pmod(F.xxhash64("x", "y", "value"), F.col("parts")).cast("int").alias("part")
+    asks = balanced_join(spots.withColumns(tile), tiles, ["tx", "ty"]).select("tx", "ty", place, F.lit(ranks.ASK).alias("role"), "x", "y", "value", "n")
+
+    def span(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size)))
+
+    near = balanced_join(spots.withColumn("tx", span("x")).withColumn("ty", span("y")), tiles, ["tx", "ty"])
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    near = near.select("tx", "ty", "part", F.explode(F.array(F.lit(ranks.COUNT), F.lit(ranks.PICK))).alias("role"), "x", "y", "value", "n")
+    stream = asks.unionByName(near).repartition("tx", "ty", "part").sortWithinPartitions("tx", "ty", "part", "role", "value")
+    stats = stream.mapInArrow(ranks.medians(radius), "x double, y double, value double, n long, median double")
+    keyed = stats.select(*[F.col(a).alias(c) for c, a in zip(keys, ("x", "y", "value"), strict=True)], F.col("n").alias("_n"), F.col("median").alias("_med"))
+    j = balanced_join(master.select("bid", *keys), cut_lineage(keyed), keys, "left")
+    return j.select("bid", F.coalesce("_n", F.lit(0)).alias("n_bld_100m"), F.coalesce("_med", F.lit(0.0)).alias("nbr_fp_med_m2"))
 
 
 def nearest_neighbour(master: DataFrame, start_radius: float = 32.0) -> DataFrame:

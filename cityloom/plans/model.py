@@ -112,19 +112,46 @@ def feature_rows(i: Inputs):
     return df, [c for c in df.columns if c not in ("bid", "rep_x", "rep_y")]
 
 
-@register(
-    "b5_feature_matrix",
-    """
-SELECT g.bid, g.area_m2, round(r.aspect, 6) AS aspect_ratio, s.floors_feat, n.n_bld_100m::DOUBLE AS n_bld_100m, p.in_parcel::DOUBLE AS in_parcel,
-  (s.euluc_class IS NOT DISTINCT FROM 1)::INT::DOUBLE AS euluc_1, s.euluc_out::INT::DOUBLE AS euluc_nan, (g.ep = 3)::INT::DOUBLE AS ep_3, CAST(0 AS DOUBLE) AS ep_nan, 42 AS n_features
-FROM g26 g JOIN rect r USING (bid) JOIN sc s USING (bid) JOIN ns n USING (bid) JOIN pf p USING (bid)""",
-    ALL,
-)
+#: codes of the two category columns in the given tables, for the reference SQL; the operator finds them in the data
+EULUC_CODES, EP_CODES = range(11), range(14)
+
+#: feature, SQL, digits both sides round to
+MATRIX = [
+    ("area_m2", "g.area_m2", None),
+    ("perimeter_m", "g.perimeter_m", None),
+    ("compactness", "4*pi()*g.area_m2/(g.perimeter_m*g.perimeter_m)", 9),
+    ("aspect_ratio", "r.aspect", 6),
+    ("convexity", "g.area_m2/h.hull_area", 9),
+    ("floors_feat", "s.floors_feat", None),
+    ("gfa_m2", "s.gfa_m2", 6),
+    ("is_supertall_int", "s.is_supertall_int", None),
+    ("n_bld_100m", "n.n_bld_100m", None),
+    ("nbr_fp_med_m2", "n.nbr_fp_med_m2", None),
+    ("nn_dist_m", "n.nn", 6),
+    ("parcel_area_m2", "p.parcel_area_m2", None),
+    ("n_bld_in_parcel", "p.n_bld_in_parcel", None),
+    ("gfa_share_parcel", "p.gfa_share_parcel", 9),
+    ("in_parcel", "p.in_parcel", None),
+    *((f"euluc_{c}", f"s.euluc_class IS NOT DISTINCT FROM {c}", None) for c in EULUC_CODES),
+    ("euluc_nan", "s.euluc_out", None),
+    *((f"ep_{c}", f"g.ep IS NOT DISTINCT FROM {c}", None) for c in EP_CODES),
+    ("ep_nan", "g.ep IS NULL", None),
+]
+
+
+def _matrix_sql() -> str:
+    cells = [f"CAST({sql} AS DOUBLE)" if digits is None else f"round(CAST({sql} AS DOUBLE), {digits})" for _, sql, digits in MATRIX]
+    cols = ", ".join(f"{cell} AS {name}" for cell, (name, _, _) in zip(cells, MATRIX, strict=True))
+    joins = "JOIN hull h USING (bid) JOIN rect r USING (bid) JOIN sc s USING (bid) JOIN ns n USING (bid) JOIN pf p USING (bid)"
+    return f"SELECT g.bid, {cols}, {len(MATRIX)} AS n_features FROM g26 g {joins}"
+
+
+@register("b5_feature_matrix", _matrix_sql(), ALL)
 def b5_feature_matrix(i: Inputs):
     f, names = feature_rows(i)
-    f = B.require_finite(f, names)
-    cols = ["floors_feat", "n_bld_100m", "in_parcel", "euluc_1", "euluc_nan", "ep_3", "ep_nan"]
-    return f.select("bid", "area_m2", F.round("aspect_ratio", 6).alias("aspect_ratio"), *cols, F.lit(len(names)).alias("n_features"))
+    digits = {name: d for name, _, d in MATRIX}
+    cols = [F.round(c, digits[c]).alias(c) if digits.get(c) is not None else F.col(c) for c in names]
+    return B.require_finite(f, names).select("bid", *cols, F.lit(len(names)).alias("n_features"))
 
 
 EXCLUDED = [9, 96, 141]
