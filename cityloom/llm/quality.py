@@ -27,14 +27,13 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "mark_share")
 
 _SPACE = r"[\x20\x09-\x0D]"
-_PLACE = (1 << 27) - 1
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of :data:`BASE` and :data:`FEATURES`, replacing columns of these names.
 
     Null and empty texts have no words and all statistics 0. Repeated five-word windows are found by sorting 64-bit window
-    hashes, with their place in the low bits, inside each row: no shuffle, ``n log n`` for a text of ``n`` words.
+    hashes with their places inside each row: no shuffle, ``n log n`` for a text of ``n`` words.
     """
     docs = docs.drop(*BASE, *FEATURES)
     t = F.coalesce(F.col(text), F.lit(""))
@@ -57,12 +56,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), window)).otherwise(none).alias("__h"),
     ).drop("__words", "__lines")
     # texts without a repeated window need no more
-    coded = F.transform("__h", lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
-    out = out.withColumn("__sorted", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(coded)).otherwise(none))
-    at = lambda x: F.get("__h", x.bitwiseAND(F.lit(_PLACE)).cast("int"))
-    same = lambda x, y: F.coalesce((x.bitwiseAND(F.lit(~_PLACE)) == y.bitwiseAND(F.lit(~_PLACE))) & (at(x) == at(y)), F.lit(False))
+    placed = F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("at")))
+    out = out.withColumn("__sorted", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(placed)).otherwise(F.slice(placed, 1, 0)))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     twice = F.filter("__sorted", lambda x, k: same(x, F.get("__sorted", k - 1)) | same(x, F.get("__sorted", k + 1)))
-    places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.lit(_PLACE))))
+    places = F.sort_array(F.transform(twice, lambda x: x["at"]))
     covered = F.aggregate(
         places,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
