@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from cityloom.llm.storage import ship
+from cityloom.llm.storage import fresh, ship
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -151,18 +151,33 @@ class SplitTree:
         return out
 
 
-def _hypergeometric(rng, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw; beyond numpy's range by its normal limit, which is exact to a few parts in 10**9 there."""
+#: populations below this are drawn by numpy, which takes no larger ones
+_DRAW = 1_000_000_000
+
+
+def _hypergeometric(rng, good: int, bad: int, n: int, most: int = _DRAW) -> int:
+    """How many good units are among ``n`` drawn from ``good + bad``.
+
+    From ``most`` units on by inversion: probabilities relative to the mode follow from the ratios of neighbours, twelve
+    deviations to either side; what lies beyond weighs less than 10**-30.
+    """
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
-    if good + bad < 1_000_000_000:
+    if good + bad < most:
         return int(rng.hypergeometric(good, bad, n))
     total = good + bad
-    mean = n * good / total
-    deviation = np.sqrt(mean * (bad / total) * ((total - n) / max(total - 1, 1)))
-    return int(np.clip(round(rng.normal(mean, deviation)), max(0, n - bad), min(good, n)))
+    deviation = np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1)))
+    least, top = max(0, n - bad), min(good, n)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), least), top)
+    reach = int(12 * deviation) + 50
+    up = np.arange(mode, min(mode + reach, top), dtype=np.float64)
+    down = np.arange(mode, max(mode - reach, least), -1, dtype=np.float64)
+    higher = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    lower = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    upto = np.cumsum(np.concatenate([lower[::-1], [1.0], higher]))
+    return mode - len(down) + int(np.searchsorted(upto, rng.random() * upto[-1], "right").clip(0, len(upto) - 1))
 
 
 def measure(docs: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
@@ -178,8 +193,8 @@ def draw(
     ``pieces`` are ``shard, place, epoch, start, n``: ``n`` words from ``start`` on (from 0) go to ``place`` in ``shard``.
     A row is taken at most ``most`` times, rounded up; each source's words add up to its target rounded to a whole word.
     A null source is a source; documents without words get no pieces; an empty table gives an empty result. Null ids and
-    repeated rows are rows like others; equal rows may swap their pieces between reruns, all else is the same. Columns
-    named as the new ones are replaced. More than ``MAX_SOURCES`` sources are an error.
+    repeated rows are rows like others; rows equal in every column may swap their pieces between reruns, all else is the
+    same. Columns named as the new ones are replaced. More than ``MAX_SOURCES`` sources are an error.
     """
     ship(measured.sparkSession)
     measured = measured.drop("source_size", "target", "taken", "pieces")
@@ -192,18 +207,21 @@ def draw(
 
     # running sum of each source's stream in two steps, so that a large source is many tasks
     columns = measured.columns
+    plain = [c for c in columns if not isinstance(measured.schema[c].dataType, (T.MapType, T.VariantType))]
+    own_source, order, tie, bucket, at, base, n = fresh(columns, "__source", "__order", "__tie", "__bucket", "__at", "__base", "__n")
     keyed = measured.withColumns(
         {
-            "__source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
-            "__order": F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size)),
+            own_source: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
+            order: F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size)),
+            tie: F.xxhash64(*plain),
         }
-    ).withColumn("__bucket", F.shiftrightunsigned("__order", 64 - _BUCKETS.bit_length() + 1))
-    sums = keyed.groupBy("__source", "__bucket").agg(F.sum(size).alias("__n"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", doc_id).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(sums, ["__source", "__bucket"]).withColumn("__at", F.col("__base") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    placed = placed.select(*columns, "__at")
+    ).withColumn(bucket, F.shiftrightunsigned(order, 64 - _BUCKETS.bit_length() + 1))
+    sums = keyed.groupBy(own_source, bucket).agg(F.sum(size).alias(n))
+    before = Window.partitionBy(own_source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(own_source, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(own_source, bucket).orderBy(order, doc_id, tie).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.join(sums, [own_source, bucket]).withColumn(at, F.col(base) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    placed = placed.select(*columns, at)
     shared = measured.sparkSession.sparkContext.broadcast((plans, quotas))
 
     def run(batches):
@@ -212,7 +230,7 @@ def draw(
         for batch in batches:
             names = batch.column(source).to_pylist()
             own = [plans[s] for s in names]
-            row, epoch, start, n, unit = _pieces(own, names, batch.column("__at").to_numpy(), batch.column(size).to_numpy())
+            row, epoch, start, n, unit = _pieces(own, names, batch.column(at).to_numpy(), batch.column(size).to_numpy())
             number = np.array([p.number for p in own], np.int64)
             shard = tree.locate(number[row], unit)
             place = _mix((unit.astype(np.uint64) << np.uint64(20)) + number[row].astype(np.uint64) + np.uint64(seed)) >> np.uint64(1)
