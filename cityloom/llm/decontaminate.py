@@ -193,12 +193,12 @@ def report(
     window: int = WINDOW,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """``__doc, __ref, n_words, n_hit, item_list``: per distinct (id, text) row the words, words hit and matched items.
+    """``__doc, __ref, n_words, n_hit, item_list``: per row of ``docs`` the words, words hit and matched items.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. An item with fewer than ``window``
     words, but at least one, is a single window. ``item_list`` holds the distinct item ids as sorted strings. Null or empty
     texts have no words and no hits; null or empty items, and items without an id, match nothing. Without items nothing is
-    hit. Equal rows give one result row; rows that share an id but not the text are judged apart.
+    hit. Repeated rows give a result row each; rows that share an id but not the text are judged apart.
     """
     ship(docs.sparkSession)
     source = docs.select(*(v.alias(k) for k, v in _keyed(docs, doc_id, text).items()), F.col(text).alias("text"))
@@ -223,7 +223,7 @@ def report(
     )
     n_hit = spans.select("doc", "ref", ends["n"].alias("n_hit"))
     by_item = hits.select("doc", "ref", "item").distinct().groupBy("doc", "ref").agg(F.sort_array(F.collect_list("item")).alias("item_list"))
-    out = texts.dropDuplicates(["doc", "ref"]).join(n_hit.join(by_item, ["doc", "ref"]), ["doc", "ref"], "left")
+    out = texts.join(n_hit.join(by_item, ["doc", "ref"]), ["doc", "ref"], "left")
     return out.select(
         F.col("doc").alias("__doc"), F.col("ref").alias("__ref"), "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

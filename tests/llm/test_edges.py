@@ -116,6 +116,9 @@ def test_mix(docs, none):
         t = by.setdefault(r.source, [r.target, r.source_size, 0, 0])
         t[2], t[3] = t[2] + r.taken, t[3] + r.size
     assert all(abs(t[0] - t[2]) <= 0.5 and t[1] == t[3] for t in by.values())
+    named = docs.withColumns({c: F.lit(f"own {c}") for c in ("__source", "__order", "__AT", "__bucket", "__n", "__tie")})
+    again = mixing.draw(mixing.measure(named)).collect()
+    assert sorted((r.doc_id or 0, r.taken) for r in again) == sorted((r.doc_id or 0, r.taken) for r in rows) and again[0]["__AT"] == "own __AT"
     assert mixing.draw(mixing.measure(none)).collect() == [] and mixing.shards(mixing.draw(mixing.measure(none))).collect() == []
     pieces = mixing.shards(drawn).collect()
     assert sum(len(p.text.split()) for p in pieces) == sum(r.taken for r in rows)
@@ -125,6 +128,7 @@ def test_decontamination(docs, none, spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "Lazy DOG"), (None, "quick"), (1, PASSAGE)], "item_id long, text string")
     got = decontaminate.report(_clash(docs), items).collect()
     by = {(r["__doc"], r.n_words): r for r in got}
+    assert len(got) == len(ROWS)  # repeated rows and rows without an id, too
     assert by[1, 12].n_hit == 2 and by[1, 12].item_list == ["4"]
     assert by[7, 32].n_hit == 30 and by[7, 32].item_list == ["1"]
     assert by[2, 0].n_hit == 0 and by[2, 0].item_list == []

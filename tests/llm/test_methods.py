@@ -1,6 +1,7 @@
 """The methods themselves against brute force, libraries and closed forms."""
 
 import io
+import math
 import random
 import re
 import struct
@@ -10,8 +11,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from cityloom.llm import langid, mixing, neardup, quality, substring, textkit, tokencount, toxicity, urlfilter, warc
+from cityloom.llm import decontaminate, langid, mixing, neardup, quality, substring, textkit, tokencount, toxicity, urlfilter, warc
 
 
 def _buffer(texts):
@@ -174,6 +176,64 @@ def test_permutation_and_tree():
     assert (other.locate(np.full(5, 2), np.array([0, 10, 2999, 500, 7])) == shard[2][[0, 10, 2999, 500, 7]]).all()
 
 
+def test_large_draws_are_hypergeometric():
+    for good, bad, n in ((9, 14, 11), (3, 200, 50), (120, 80, 190), (1, 1, 1)):
+        rng = np.random.default_rng(3)
+        got = Counter(mixing._hypergeometric(rng, good, bad, n, most=0) for _ in range(20_000))
+        for k in range(max(0, n - bad), min(good, n) + 1):
+            p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+            assert abs(got[k] / 20_000 - p) < 5 * math.sqrt(p * (1 - p) / 20_000) + 2e-4
+    rng = np.random.default_rng(4)
+    good, bad, n = 7_000_000_000, 13_000_000_000, 9_000_000_000
+    draws = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(60)], float)
+    mean, deviation = n * 0.35, math.sqrt(n * 0.35 * 0.65 * (11 / 20))
+    assert abs(draws.mean() - mean) < 5 * deviation / math.sqrt(60) and 0.6 < draws.std() / deviation < 1.5
+
+
+def test_rows_alike_but_for_the_text_keep_their_pieces(spark):
+    rows = [(1, "s", f"a{k} b c d e") for k in range(40)] + [(2, "t", "x " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    first, again = (sorted((r.text, r.taken, str(r.pieces)) for r in mixing.draw(mixing.measure(d)).collect()) for d in (df.repartition(7), df.orderBy(F.desc("text"))))
+    assert first == again and len({t for _, t, _ in first}) > 1
+
+
+def test_statistics_of_repeats_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["a b\n c\na b\n\n \n c#$", "", " ".join(["q"] * 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in quality.statistics(df).collect()}
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {i + j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(5)}
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert tuple(got[k][c] for c in quality.BASE) == want
+
+
+def test_phrases_and_proximity_against_brute_force(spark):
+    rng = random.Random(9)
+    docs = [[rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(rng.randint(0, 80))] for _ in range(40)]
+    items = [d[i : i + rng.randint(2, 4)] for d in docs if len(d) > 20 for i in (3, 11)]
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    ex = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    source = df.select(*(v.alias(k) for k, v in {"doc": F.col("doc_id"), "ref": F.xxhash64("text"), "text": F.col("text")}.items()))
+    index = decontaminate.Index(source, decontaminate.item_windows(ex, "item_id", "text", 13), 13)
+    names = {r.win: tuple(items[int(r.item)]) for r in index.items.collect()}
+    got = {(r.doc, names[r.win], r.start) for r in index.phrases().collect()}
+    want = {(k, tuple(i), s) for k, d in enumerate(docs) for i in items for s in range(len(d) - len(i) + 1) if d[s : s + len(i)] == i}
+    assert got == want and len(want) >= len(items) // 2
+    rarest = {r.win: (r.words[r.o1], r.words[r.o2]) for r in index.windows.collect() if r.o2 is not None}
+    hashes = {r.win: dict(zip(r.words, names[r.win], strict=True)) for r in index.windows.collect()}
+    for distance in (1, 4):
+        near = {(r.doc, r.win) for r in decontaminate.proximity_matches(index, distance).collect()}
+        for win, (a, b) in rarest.items():
+            x, y = hashes[win][a], hashes[win][b]
+            for k, d in enumerate(docs):
+                close = any(u == x and v == y and abs(i - j) <= distance for i, u in enumerate(d) for j, v in enumerate(d))
+                assert ((k, win) in near) == close
+
+
 def test_targets():
     got = mixing.targets({"a": 100, "b": 100, None: 100})
     assert sum(got.values()) == pytest.approx(450) and got["a"] == 200 and got["b"] == pytest.approx(250 / 3) and got[None] == pytest.approx(500 / 3)
