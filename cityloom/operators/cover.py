@@ -48,14 +48,24 @@ def points_in_region(points: DataFrame, polys: DataFrame, x: str, y: str, size:
     return settled.select(*points.columns).unionByName(tested.select(*points.columns))
 
 
-def points_within(points: DataFrame, polys: DataFrame, x: str, y: str, point_id: str, poly_id: str, keep: list[str], size: float) -> DataFrame:
-    """Polygon strictly holding each point (lowest id when several do): ``point_id, poly_id, *keep``."""
+def candidates(points: DataFrame, polys: DataFrame, x: str, y: str, point_id: str, poly_id: str, keep: list[str], size: float) -> tuple[DataFrame, DataFrame]:
+    """Points with the polygons that cover their cell, and those with the polygons that cross it and whose box holds the point.
+
+    The box of a crossing polygon comes with its cell, so where many small polygons share a cell only those around the point are tested.
+    """
+    box = {"_x0": "xmin", "_y0": "ymin", "_x1": "xmax", "_y1": "ymax"}
     size = fitting_size(polys, size)
-    every = cut_lineage(cells(polys, size, [poly_id, *keep]))
+    every = cut_lineage(cells(polys.withColumns({a: F.col(c) for a, c in box.items()}), size, [poly_id, *keep, *box]))
     at = points.select(point_id, x, y, C.cell(F.col(x), size).alias("_cx"), C.cell(F.col(y), size).alias("_cy"))
     settled = balanced_join(at, every.where("_full").select(*CELL, poly_id, *keep), CELL)
     part = F.array(F.struct(F.col("_odd").alias("odd"), F.col("_edges").alias("edges")))
-    tested = balanced_join(at, every.where(~F.col("_full")).select(*CELL, poly_id, *keep, part.alias("_parts")), CELL)
-    tested = tested.where(C.in_any_part("_parts", x, y))
+    met = balanced_join(at, every.where(~F.col("_full")).select(*CELL, poly_id, *keep, *box, part.alias("_parts")), CELL)
+    return settled, met.where(F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1"))).drop(*box)
+
+
+def points_within(points: DataFrame, polys: DataFrame, x: str, y: str, point_id: str, poly_id: str, keep: list[str], size: float) -> DataFrame:
+    """Polygon strictly holding each point (lowest id when several do): ``point_id, poly_id, *keep``."""
+    settled, met = candidates(points, polys, x, y, point_id, poly_id, keep, size)
+    tested = met.where(C.in_any_part("_parts", x, y))
     hits = settled.select(point_id, poly_id, *keep).unionByName(tested.select(point_id, poly_id, *keep))
     return first_per_key(hits, [point_id], [F.col(poly_id)])

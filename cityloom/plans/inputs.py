@@ -14,9 +14,10 @@ PREP_CELL_M = 500.0
 
 
 def _spatial_order(df: DataFrame, key: str) -> DataFrame:
-    """Rows near each other end up in the same file. The key is part of the range order, so even a single
-    crowded cell is split over several partitions."""
-    cell = [F.floor(F.col("rep_y") / PREP_CELL_M).alias("_cy"), F.floor(F.col("rep_x") / PREP_CELL_M).alias("_cx")]
+    """Outlines near each other (by their first vertex) end up in the same file. The key is part of the range order, so even a
+    single crowded cell is split over several partitions. Ranges are sampled by a pass of its own, so measures come after."""
+    first = F.get(F.get("geom", F.lit(0)), F.lit(0))
+    cell = [F.floor(first[c] / PREP_CELL_M).alias(f"_c{c}") for c in ("y", "x")]
     ranged = df.select("*", *cell).repartitionByRange("_cy", "_cx", key)
     return ranged.sortWithinPartitions("_cy", "_cx", key).drop("_cy", "_cx")
 
@@ -28,7 +29,7 @@ def shaped(i: Inputs) -> DataFrame:
 
 def buildings(i: Inputs) -> DataFrame:
     """The prepared footprint table: outlines, measures and interior points, stored once."""
-    return stored(i, "footprints", lambda: _spatial_order(shaped(i), "bid"), ("orders",))
+    return stored(i, "footprints", lambda: G.with_shape(_spatial_order(i.buildings(), "bid")), ("orders",))
 
 
 def slim(i: Inputs) -> DataFrame:
@@ -38,7 +39,7 @@ def slim(i: Inputs) -> DataFrame:
 
 def buildings_2023(i: Inputs) -> DataFrame:
     def build() -> DataFrame:
-        return _spatial_order(S.scan_buildings_2023(G.with_shape(i.buildings_2023())), "bid23")
+        return S.scan_buildings_2023(G.with_shape(_spatial_order(i.buildings_2023(), "bid23")))
 
     return stored(i, "footprints-2023", build, ("orders",))
 

@@ -83,3 +83,21 @@ def test_covered_cells_settle_without_python(shapes, points):
     size = cover.fitting_size(boxed, 1.0, most=1000)
     assert area / size**2 <= 1000 < area / (size / 2) ** 2 and cover.fitting_size(boxed, 50.0) == 50.0
     assert cover.points_in_region(points, G.with_shape(shapes.limit(0)), "x", "y").count() == 0
+
+
+def test_crossed_cells_test_only_boxes_around_the_point(spark):
+    """Nine small polygons to a cell: each point meets the one around it, not all of its cell."""
+    blocks = spark.range(36).selectExpr("id", "CAST(id % 6 AS DOUBLE) * 80 AS x", "CAST(id div 6 AS DOUBLE) * 80 AS y")
+    blocks = G.with_shape(blocks.select("id", G.box(F.col("x") + 5, F.col("y") + 5, F.col("x") + 75, F.col("y") + 75).alias("geom")))
+    pts = spark.range(900).selectExpr("id AS pid", "CAST(id % 30 AS DOUBLE) * 16 + 8 AS x", "CAST(id div 30 AS DOUBLE) * 16 + 8 AS y")
+    settled, met = cover.candidates(pts, blocks, "x", "y", "pid", "id", [], 240.0)
+    assert settled.count() + met.count() <= 900
+    assert cover.points_within(pts, blocks, "x", "y", "pid", "id", [], 240.0).count() == 900
+
+
+def test_ranges_of_footprints_are_sampled_without_python(spark, small):
+    from cityloom.plans import inputs
+    from cityloom.sources.views import Inputs
+
+    plan = inputs._spatial_order(Inputs(spark, small).buildings(), "bid")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "ArrowEvalPython" not in plan
