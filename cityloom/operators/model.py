@@ -19,15 +19,21 @@ class TruthMismatch(RuntimeError):
     """The matched truth set differs from the expected counts."""
 
 
+def matched_truth(truth: DataFrame, buildings: DataFrame, exclude: list) -> DataFrame:
+    """Annotated points matched to a building: ``val_id, bid, truth_arch, is_train``. Needs footprints only, no labels."""
+    t = L.annotated(truth)
+    m = L.match_labels(t, buildings).select("val_id", "bid").join(t.select("val_id", "truth_arch"), "val_id")
+    return m.withColumn("is_train", ~F.col("val_id").isin(exclude) if exclude else F.lit(True))
+
+
 def truth_set(truth: DataFrame, buildings: DataFrame, master: DataFrame, exclude: list, expected: dict[str, int] | None = None) -> DataFrame:
-    """Annotated points matched to a building: ``val_id, bid, truth_arch, in_parcel, is_train``.
+    """:func:`matched_truth` with ``in_parcel``: ``val_id, bid, truth_arch, in_parcel, is_train``.
 
     ``expected`` may hold ``matched`` and ``in_parcel``; other counts stop the job.
     """
-    t = L.annotated(truth)
-    m = L.match_labels(t, buildings).select("val_id", "bid").join(t.select("val_id", "truth_arch"), "val_id")
+    m = matched_truth(truth, buildings, exclude)
     out = m.join(master.select("bid", F.col("euluc_class").isNotNull().alias("in_parcel")), "bid")
-    out = out.withColumn("is_train", ~F.col("val_id").isin(exclude) if exclude else F.lit(True))
+    out = out.select("bid", "val_id", "truth_arch", "in_parcel", "is_train")
     if expected:
         got = out.agg(F.count("*").alias("matched"), F.count_if("in_parcel").alias("in_parcel")).first().asDict()
         off = {k: (got[k], v) for k, v in expected.items() if got[k] != v}

@@ -193,9 +193,9 @@ SELECT cell, fold FROM d WHERE r > 0""",
 
 @register("b7_spatial_folds", "SELECT val_id, bid, cell, fold FROM trained JOIN dealt USING (cell)", FOLDS)
 def b7_spatial_folds(i: Inputs):
-    f, _ = feature_rows(i)
-    t = M.truth_set(i.view("truth"), buildings(i), master(i), EXCLUDED).where("is_train")
-    rows = M.with_cell(t.join(f.select("bid", "rep_x", "rep_y"), "bid"), "rep_x", "rep_y", PLANE_CELL_M)
+    """Folds need the place of a building only: no labels, no features."""
+    t = M.matched_truth(i.view("truth"), buildings(i), EXCLUDED).where("is_train")
+    rows = M.with_cell(t.join(slim(i).select("bid", "rep_x", "rep_y"), "bid"), "rep_x", "rep_y", PLANE_CELL_M)
     return M.spatial_folds(rows).select("val_id", "bid", "cell", "fold")
 
 

@@ -322,6 +322,18 @@ def test_spatial_folds_keep_cells_together(spark):
     assert len(per) == 5 and max(per) - min(per) <= 10
 
 
+def test_folds_are_dealt_without_labels_and_features(spark, small, monkeypatch):
+    from cityloom.plans import model as P
+    from cityloom.sources.views import Inputs
+
+    def wide(*_):
+        raise AssertionError("folds need places only")
+
+    for name in ("master", "parcels", "feature_rows"):
+        monkeypatch.setattr(P, name, wide)
+    assert P.b7_spatial_folds(Inputs(spark, small)).columns == ["val_id", "bid", "cell", "fold"]
+
+
 def test_bootstrap_interval_holds_the_estimate(spark):
     df = spark.createDataFrame([(k, k % 4 != 0, 1.0 + k % 3) for k in range(200)], "id bigint, h boolean, w double")
     r = R.poisson_bootstrap(df, "id", F.col("h"), F.lit(1.0), 2000, 1).first()
