@@ -101,6 +101,43 @@ def _least_and_most() -> tuple[Column, Column]:
     return some, every
 
 
+#: side of the cells in which boxes of buckets meet; wide, so that few boxes reach into a second one
+_MEET_M = 4 * rules.DISTANCE_TOL_M
+
+
+_MEET = ["_cx", "_cy", "_ch", "_ca"]
+
+
+def _offered(boxes: DataFrame) -> DataFrame:
+    """Boxes in the cells where the lower corner of a touching one can lie; ``_row`` is the row of cells of their own."""
+
+    def reach(low: Column, high: Column, tol: float, side: float, width: float) -> Column:
+        room = tol * (1 + 1e-9)  # rounding
+        return F.explode(F.sequence(F.floor((low - room - side) / width), F.floor((high + room) / width)))
+
+    out = boxes.withColumn("_row", F.floor(F.col("lo_y") / _MEET_M))
+    out = out.withColumn("_cx", reach(F.col("lo_x"), F.col("hi_x"), rules.DISTANCE_TOL_M, _MICRO_M, _MEET_M))
+    out = out.withColumn("_cy", F.explode(F.sequence("_row", F.floor((F.col("hi_y") + rules.DISTANCE_TOL_M * (1 + 1e-9)) / _MEET_M))))
+    out = out.withColumn("_ch", reach(F.col("lo_height"), F.col("hi_height"), rules.HEIGHT_ABS_TOL_M, rules.HEIGHT_ABS_TOL_M, _BIN_H))
+    # the limit of areas is a little more than a bucket's side in logarithms
+    return out.withColumn("_ca", reach(F.log("lo_area"), F.log("hi_area"), 1.01 * _MICRO_LOG, _MICRO_LOG, _BIN_LOG))
+
+
+def near_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of buckets whose boxes may touch, each pair once, with box, place and ``kinds`` of both sides (``a_``, ``b_``).
+
+    A bucket is asked for in the cell of its lower corner and offered where that of a touching one can lie; of two cells
+    above each other, only the upper one is offered the rows of the lower one.
+    """
+    boxes = cut_lineage(_boxed(kinds, by, 0).drop(*(f"_q{c}" for c in _SPAN)))
+    asked = boxes.withColumns({f"_c{c}": F.floor(F.col(f"lo_{c}") / _MEET_M) for c in "xy"})
+    asked = asked.withColumns({"_ch": F.floor(F.col("lo_height") / _BIN_H), "_ca": F.floor(F.log("lo_area") / _BIN_LOG)})
+    j = balanced_join(_side(asked, [*by, *_MEET], "a_"), _side(_offered(boxes), [*by, *_MEET], "b_"), [*by, *_MEET])
+    j = j.where((F.col("b__row") < F.col("_cy")) | (F.col("a_node") < F.col("b_node"))).drop(*_MEET, "b__row")
+    place = lambda t, c: F.floor((F.log(f"{t}lo_{c}") if c == "area" else F.col(f"{t}lo_{c}")) / _CUT[c])
+    return j.withColumns({f"{t}_q{c}": place(t, c) for t in ("a_", "b_") for c in _SPAN})
+
+
 def touching_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
     """``*by, u, v``: pairs of buckets that hold at least one same-model pair of rows between them.
 
@@ -109,18 +146,7 @@ def touching_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
     their parts compared again, until one pair of parts links them.
     """
     some, every = _least_and_most()
-    boxes = _boxed(kinds, by, 0)
-    # two buckets that touch have their lower corners within the limits and one bucket's sides
-    reach = rules.DISTANCE_TOL_M + _MICRO_M
-    own = {f"_c{c}": F.floor(F.col(f"lo_{c}") / reach) for c in "xy"}
-    left = boxes.withColumns({**own, "_ch": F.floor(F.col("lo_height") / _BIN_H), "_ca": F.floor(F.log("lo_area") / _BIN_LOG)})
-    right = boxes
-    for c in "xy":
-        right = right.withColumn(f"_c{c}", F.explode(F.sequence(own[f"_c{c}"] - 1, own[f"_c{c}"] + 1)))
-    right = right.withColumn("_ch", F.explode(_bins(F.col("lo_height"), 2 * rules.HEIGHT_ABS_TOL_M, _BIN_H))).withColumn("_ca", F.explode(_bins(F.log("lo_area"), 3 * _MICRO_LOG, _BIN_LOG)))
-    cells = ["_cx", "_cy", "_ch", "_ca"]
-    met = balanced_join(_side(left, [*by, *cells], "a_"), _side(right, [*by, *cells], "b_"), [*by, *cells])
-    met = cut_lineage(met.where((F.col("a_node") < F.col("b_node")) & some).withColumn("_linked", every).drop(*cells))
+    met = cut_lineage(near_buckets(kinds, by).where(some).withColumn("_linked", every))
     pair = [*by, "a_node", "b_node"]
     linked, level = met.where("_linked").select(*pair), 0
     few = F.col("a_kinds") * F.col("b_kinds") <= DIRECT
@@ -153,7 +179,7 @@ def touching_buckets(kinds: DataFrame, by: list[str]) -> DataFrame:
         new = cut_lineage(new.distinct())
         linked = linked.unionByName(new)
         open_ = cut_lineage(met.where(~F.col("_linked") & ~few).join(new, pair, "left_anti"))
-    return linked.select(*by, F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
+    return linked.select(*by, F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
 
 
 def _open_nodes(open_: DataFrame, by: list[str]) -> DataFrame:

@@ -435,6 +435,22 @@ def test_many_near_identical_rows_stay_linear(spark):
     assert [tuple(r) for r in got] == [("a", 1, 0), ("b", 1, 0)]
 
 
+def test_buckets_meet_once_from_few_copies(spark):
+    """Boxes are offered in a few cells each (about twenty when every neighbour cell got a copy), and no touching pair is lost or doubled."""
+    rng = random.Random(9)
+    rows = [(k, rng.uniform(-4000, 4000), rng.uniform(-4000, 4000), rng.uniform(60, 250), rng.choice([12.0, 12.5, 13.0, 30.0])) for k in range(1500)]
+    kinds = spark.createDataFrame(rows, "node bigint, x double, y double, area double, height double")
+    boxes = dedup._boxed(kinds, [], 0)
+    assert dedup._offered(boxes).count() < 6 * boxes.count()
+    some, _ = dedup._least_and_most()
+    got = [(min(r.a_node, r.b_node), max(r.a_node, r.b_node)) for r in dedup.near_buckets(kinds, []).where(some).collect()]
+    want = {
+        (p[0], q[0]) for p in rows for q in rows
+        if p[0] < q[0] and abs(p[4] - q[4]) <= 0.5 and abs(p[3] - q[3]) / max(p[3], q[3]) <= 0.05 and math.hypot(p[1] - q[1], p[2] - q[2]) <= 250
+    }
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_undecided_buckets_are_refined(spark):
     """Two buckets whose boxes say nothing: one pair of rows within the limits links them, else they stay apart."""
     west, east = [(0.0, 0.0), (120.0, 0.0)], [(371.0, 0.0), (480.0, 0.0)]
