@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+import math
+import sys
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from cityloom import rules
+from cityloom.functions import resample, trees
 from cityloom.operators import labelling as L
 from cityloom.operators.features import distinct_codes
 from cityloom.operators.skew import union_all
 from cityloom.session import cut_lineage
 from cityloom.sources.tables import lookup
 
+# tasks get the helpers of this module with the plan, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class TruthMismatch(RuntimeError):
     """The matched truth set differs from the expected counts."""
@@ -61,37 +72,358 @@ def spatial_folds(df: DataFrame, n_folds: int = rules.CV_FOLDS) -> DataFrame:
     return df.join(df.sparkSession.createDataFrame(rows, "cell bigint, fold int"), "cell")
 
 
-def with_balanced_weights(df: DataFrame, label: str = "truth_arch") -> DataFrame:
-    """Weight n / (k * n_class), so every class weighs the same in total. The class table is a fixed codebook."""
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = per.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = per.crossJoin(F.broadcast(total)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
-
-
 def assemble(features: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(features).select(*keep, "features")
 
 
+class Forest(NamedTuple):
+    """Trees of one or more forests as a table (``forest, tree, branch`` and the arrays of :class:`trees.Tree`).
+
+    ``cuts`` are the bin limits of each forest by feature; ``tops`` the upper nodes of trees with more rows than a task takes,
+    whose leaves are the branches of the table; ``gains`` the impurity decrease by ``forest, tree, feature``.
+    """
+
+    trees: DataFrame
+    gains: DataFrame
+    cuts: dict[int, list[np.ndarray]]
+    tops: dict[tuple[int, int], dict]
+    n_classes: int
+
+
+#: the forest of all rows; others are named by the fold they leave out
+WHOLE = -1
+#: rows of a block that is dealt to the trees, and of one that is predicted
+TRAIN_BLOCK, APPLY_BLOCK = 8192, 65_536
+#: rows whose branch is grown in one task; nodes of more are cut by histograms added up over all tasks
+BRANCH_ROWS = 1 << 20
+#: rows dealt to trees in one job, which bounds its shuffle
+WAVE_ROWS = 1 << 27
+#: rows and bytes of trees that meet in one task of the prediction
+MEET_ROWS, MEET_BYTES = 1 << 19, 1 << 26
+
+_FOREST = "forest int, tree int, branch int, feature binary, cut binary, left binary, votes binary, gains array<double>"
+
+
+def _features(df: DataFrame) -> Column:
+    """The feature vector as an array, whichever of both it is."""
+    return F.col("features") if df.schema["features"].dataType.typeName() == "array" else vector_to_array("features")
+
+
+def _matrix(column) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _bin_cuts(data: DataFrame, forests: list[int]) -> dict[int, list[np.ndarray]]:
+    """Cuts per forest and feature: midpoints of all values where these are few, else quantiles of the forest's rows.
+
+    A row per forest and feature reaches the driver, with at most ``MAX_BINS`` cuts.
+    """
+    few = trees.MAX_BINS
+
+    def values(batches):
+        seen = {}
+        for batch in batches:
+            fold, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for forest in forests:
+                mine = x[fold != forest]
+                for f in range(x.shape[1]):
+                    old = seen.get((forest, f), np.zeros(0))
+                    seen[forest, f] = old if len(old) > few else np.unique(np.append(old, np.unique(mine[:, f])))[: few + 1]
+        cols = [[k[0] for k in seen], [k[1] for k in seen], [v.tolist() for v in seen.values()]]
+        yield _record(["forest", "f", "v"], cols, [pa.int32(), pa.int32(), pa.list_(pa.float64())])
+
+    met = data.select("_fold", "_x").mapInArrow(values, "forest int, f int, v array<double>")
+    known = met.groupBy("forest", "f").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))), 1, few + 1).alias("v"))
+    out, wide = {}, []
+    for r in known.collect():
+        v = np.array(r["v"])
+        out[r["forest"], r["f"]] = (v[1:] + v[:-1]) / 2
+        if len(v) > few:
+            wide.append((r["forest"], r["f"]))
+    if wide:
+        fs = F.array(*[F.struct(F.lit(f).alias("f"), F.get("_x", F.lit(f)).alias("v")) for f in sorted({f for _, f in wide})])
+        each = data.select(F.explode(F.array(*[F.lit(f) for f in forests])).alias("forest"), "_fold", "_x").where("forest <> _fold")
+        each = each.select("forest", F.inline(fs)).groupBy("forest", "f")
+        for r in each.agg(F.percentile_approx("v", [k / few for k in range(few)], 10_000).alias("v")).collect():
+            if (r["forest"], r["f"]) in wide:
+                out[r["forest"], r["f"]] = np.unique(r["v"])
+    return {g: [out[g, f] for f in range(1 + max(f for _, f in out))] for g in forests}
+
+
+def _routed(tops: dict, forest: int, tree: int, x: np.ndarray) -> np.ndarray:
+    top = tops.get((forest, tree))
+    return np.zeros(len(x), np.int32) if top is None else trees.leaves(*(np.array(top[c]) for c in ("feature", "cut", "left")), x)
+
+
+def _dealt(batches, lots: list[tuple[int, int, int]], cuts: dict, seed: int):
+    """For each block and lot (forest, first tree, end): rows of the forest with bins, and multiplicities by tree."""
+    for batch in batches:
+        key, label, fold = (batch.column(c).to_numpy() for c in range(3))
+        values = _matrix(batch.column(3))
+        for forest, lo, hi in lots:
+            mine = fold != forest
+            if not mine.any():
+                continue
+            x, y, k = trees.binned(values[mine], cuts[forest]), label[mine].astype(np.int16), key[mine]
+            for a in range(lo, hi, 64):
+                ids = np.arange(a, min(a + 64, hi), dtype=np.int64)
+                times = resample.poisson_times(resample.uniform_block(seed, k, ids + 1)).astype(np.uint8)
+                for tree, t in zip(ids, times, strict=True):
+                    got = t > 0
+                    if got.any():
+                        yield forest, int(tree), x[got], y[got], t[got]
+
+
+def _record(names: list[str], columns: list[list], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _grown(data: DataFrame, lots: list, cuts: dict, tops: dict, weights: dict, k: int, max_depth: int, seed: int) -> DataFrame:
+    """One row per branch of the trees of ``lots``: blocks are dealt to branches, each branch is grown in a task."""
+    closed = {(f, t, n) for (f, t), top in tops.items() for n in top["closed"]}
+
+    def deal(batches):
+        for forest, tree, x, y, t in _dealt(batches, lots, cuts, seed):
+            at = _routed(tops, forest, tree, x)
+            for branch in np.unique(at):
+                if (forest, tree, int(branch)) not in closed:
+                    m = at == branch
+                    rows = [[forest], [tree], [int(branch)], [x[m].tobytes()], [y[m].tobytes()], [t[m].tobytes()]]
+                    yield _record(["forest", "tree", "branch", "x", "y", "t"], rows, [pa.int32()] * 3 + [pa.binary()] * 3)
+
+    def build(key, table):
+        forest, tree, branch = (int(v.as_py()) for v in key)
+        x, y, t = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("x", np.uint8), ("y", np.int16), ("t", np.uint8)))
+        top = tops.get((forest, tree))
+        depth = max_depth - (top["depth"][branch] if top else 0)
+        rng = np.random.default_rng([seed, forest + 1, tree, branch])
+        grown, gains = trees.grow(x.reshape(len(y), -1), y, t, weights[forest], k, depth, rng)
+        cols = [[forest], [tree], [branch], *([b] for b in grown.dump()), [gains.tolist()]]
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 4 + [pa.list_(pa.float64())]
+        return pa.table([pa.array(c, d) for c, d in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _FOREST.split(", ")])
+
+    by = ["forest", "tree", "branch"]
+    parts = sum(hi - lo for _, lo, hi in lots) + sum(len(t["left"]) for t in tops.values())
+    dealt = data.mapInArrow(deal, "forest int, tree int, branch int, x binary, y binary, t binary")
+    return dealt.repartition(min(parts, 2000), *by).groupBy(*by).applyInArrow(build, _FOREST)
+
+
+def _tops(data: DataFrame, lots: list, cuts: dict, weights: dict, k: int, max_depth: int, seed: int, n_rows: int, most: int) -> dict:
+    """Upper nodes of trees with more than ``most`` rows: a round adds up histograms of the open nodes over all tasks.
+
+    A few nodes a tree for each ``most`` rows reach the driver.
+    """
+    if n_rows <= most:
+        return {}
+    pairs = [(f, t) for f, lo, hi in lots for t in range(lo, hi)]
+    tops = {p: {"feature": [-1], "cut": [0], "left": [0], "depth": [0], "closed": {}, "gains": []} for p in pairs}
+    held = {p: {0} for p in pairs}
+
+    def drawn(forest: int, tree: int, node: int, n_features: int) -> np.ndarray:
+        return trees.choices(np.random.default_rng([seed, forest + 1, tree, node, 1]), 1, n_features, k)[0]
+
+    while held:
+        nodes, now = held, tops
+
+        def sums(batches):
+            total = {}
+            for forest, tree, x, y, t in _dealt(batches, lots, cuts, seed):
+                wanted = nodes.get((forest, tree), ())
+                at = _routed(now, forest, tree, x) if wanted else None
+                for node in wanted:
+                    m = at == node
+                    h = trees.histogram(x[m], y[m].astype(np.int64), t[m], drawn(forest, tree, node, x.shape[1]), len(weights[forest]))
+                    total[forest, tree, node] = total.get((forest, tree, node), 0) + h
+            for (forest, tree, node), h in total.items():
+                yield _record(["forest", "tree", "node", "h"], [[forest], [tree], [node], [h.tobytes()]], [pa.int32()] * 3 + [pa.binary()])
+
+        def pick(key, table):
+            forest, tree, node = (int(v.as_py()) for v in key)
+            h = sum(np.frombuffer(b, np.int64) for b in table.column("h").to_pylist()).reshape(k, -1, len(weights[forest]) + 1)
+            best, w = trees.best_of_histogram(h, drawn(forest, tree, node, len(cuts[forest])), weights[forest])
+            cols = [[forest], [tree], [node], *([b] for b in best), [w.tolist()]]
+            kinds = [pa.int32()] * 5 + [pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            return pa.table([pa.array(c, d) for c, d in zip(cols, kinds, strict=True)], names=["forest", "tree", "node", "feature", "cut", "gain", "below", "above", "w"])
+
+        found = data.mapInArrow(sums, "forest int, tree int, node int, h binary").groupBy("forest", "tree", "node")
+        schema = "forest int, tree int, node int, feature int, cut int, gain double, below bigint, above bigint, w array<double>"
+        held = {}
+        for r in sorted(found.applyInArrow(pick, schema).collect(), key=lambda r: r[:3]):
+            pair, node = (r["forest"], r["tree"]), r["node"]
+            top = tops[pair]
+            if r["feature"] < 0 or top["depth"][node] >= max_depth:
+                top["closed"][node] = r["w"]
+                continue
+            top["feature"][node], top["cut"][node], top["left"][node] = r["feature"], r["cut"], len(top["left"])
+            top["gains"].append((r["feature"], r["gain"]))
+            for rows in (r["below"], r["above"]):
+                if rows > most:
+                    held.setdefault(pair, set()).add(len(top["left"]))
+                for c, v in (("feature", -1), ("cut", 0), ("left", 0), ("depth", top["depth"][node] + 1)):
+                    top[c].append(v)
+    return tops
+
+
+def _top_rows(tops: dict, n_features: int) -> list[tuple]:
+    """Branches that cannot be cut as trees of a single leaf, and the decrease of the upper nodes (no nodes, branch -1)."""
+    rows = []
+    for (forest, tree), top in tops.items():
+        for node, w in top["closed"].items():
+            leaf = trees.Tree(np.array([-1], np.int16), np.zeros(1, np.uint8), np.zeros(1, np.int32), trees.shares(np.array([w])))
+            rows.append((forest, tree, node, *map(bytearray, leaf.dump()), [0.0] * n_features))
+        gains = [0.0] * n_features
+        for f, g in top["gains"]:
+            gains[f] += g
+        rows.append((forest, tree, -1, *[bytearray()] * 4, gains))
+    return rows
+
+
+def fit_forests(train: DataFrame, labels: list[str], forests: list[int], n_trees: int, seed: int, max_depth: int,
+                branch_rows: int = BRANCH_ROWS) -> Forest:
+    """A balanced random forest for each name in ``forests``: over all rows (``WHOLE``) or all but those of that ``fold``.
+
+    Every row draws its Poisson(1) multiplicity per tree from a seeded hash. Blocks of rows are dealt to the trees, a branch of
+    at most ``branch_rows`` rows is grown in one task, and the nodes above are cut by histograms that all tasks add up. Each
+    node looks at the root of the number of features (rounded up), binned by at most ``MAX_BINS`` cuts. Trees stay in a table.
+    """
+    index = lookup(train.sparkSession, ["truth_arch", "_y"], [(x, k) for k, x in enumerate(labels)])
+    own = [c for c in train.columns if c != "features"]
+    key = F.pmod(F.xxhash64(*own), F.lit(2147483647)).alias("_k")
+    fold = F.col("fold").cast("int") if "fold" in own else F.lit(len(forests)).cast("int")
+    rows = train.select(key, "truth_arch", fold.alias("_fold"), _features(train).alias("_x"))
+    stored = cut_lineage(rows.join(F.broadcast(index), "truth_arch").select("_k", F.col("_y").cast("int").alias("_y"), "_fold", "_x"))
+    counts = stored.groupBy("_fold", "_y").agg(F.count(F.lit(1)).alias("n")).collect()  # folds times classes
+    n_rows = sum(r["n"] for r in counts)
+    data = cut_lineage(stored.repartition(max(1, -(-n_rows // TRAIN_BLOCK)), "_k"))
+    weights = {}
+    for f in forests:
+        n = np.array([sum(r["n"] for r in counts if r["_y"] == c and r["_fold"] != f) for c in range(len(labels))], float)
+        weights[f] = np.divide(n.sum(), n * (n > 0).sum(), out=np.zeros(len(n)), where=n > 0)
+    cuts = _bin_cuts(data, forests)
+    n_features = len(cuts[forests[0]])
+    k = math.ceil(math.sqrt(n_features))
+    size = max(1, WAVE_ROWS // max(n_rows, 1))
+    todo = [(f, t) for f in forests if weights[f].any() for t in range(n_trees)]
+    done, tops = [], {}
+    for a in range(0, len(todo), size):
+        wave = todo[a : a + size]
+        lots = [(f, min(t for g, t in wave if g == f), max(t for g, t in wave if g == f) + 1) for f in dict.fromkeys(g for g, _ in wave)]
+        some = _tops(data, lots, cuts, weights, k, max_depth, seed, n_rows, branch_rows)
+        tops.update(some)
+        done.append(cut_lineage(_grown(data, lots, cuts, some, weights, k, max_depth, seed), frees=True))
+    if tops:
+        done.append(cut_lineage(train.sparkSession.createDataFrame(_top_rows(tops, n_features), _FOREST)))
+    table = union_all(done)
+    gains = table.select("forest", "tree", F.posexplode("gains").alias("f", "g")).groupBy("forest", "tree", "f").agg(F.sum("g").alias("g"))
+    return Forest(table.where("branch >= 0").drop("gains"), gains, cuts, tops, len(labels))
+
+
 def fit_forest(train: DataFrame, labels: list[str], trees: int = rules.MODEL_TREES, seed: int = rules.MODEL_SEED,
-               max_depth: int = rules.MODEL_MAX_DEPTH) -> RandomForestClassificationModel:
-    """Random forest on ``features, truth_arch, weight``; Spark trees stop at depth 30."""
-    index = lookup(train.sparkSession, ["truth_arch", "label"], [(x, float(k)) for k, x in enumerate(labels)])
-    data = with_balanced_weights(train).join(F.broadcast(index), "truth_arch").select("features", "label", "weight")
-    rf = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, minInstancesPerNode=1, featureSubsetStrategy="sqrt", weightCol="weight",
-        seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
-    )
-    return rf.fit(cut_lineage(data))
-
-
-def predict(model: RandomForestClassificationModel, rows: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
-    """``*keep, pred_class, pred_confidence``: label of the highest class probability."""
-    p = vector_to_array("probability")
+               max_depth: int = rules.MODEL_MAX_DEPTH) -> Forest:
+    """Random forest on ``features, truth_arch``; trees stop at depth 30."""
+    return fit_forests(train, labels, [WHOLE], trees, seed, max_depth)
+
+
+def importances(forest: Forest, which: int = WHOLE) -> list[float]:
+    """Decrease in impurity by feature, scaled to one in each tree, then over all; a number per feature reaches the driver."""
+    g = forest.gains.where(F.col("forest") == which)
+    total = g.groupBy("tree").agg(F.sum("g").alias("_t")).where("_t > 0")
+    per = g.join(total, "tree").groupBy("f").agg(F.sum(F.col("g") / F.col("_t")).alias("g"))
+    found = {r["f"]: r["g"] for r in per.collect()}
+    whole = sum(found.values()) or 1.0
+    return [found.get(k, 0.0) / whole for k in range(len(forest.cuts[which]))]
+
+
+def _blocks(rows: DataFrame, keep: list[str], cuts: dict) -> DataFrame:
+    """Rows packed for their forest: ``forest, part, n``, kept columns as an Arrow stream and bins."""
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        held, number, place = {}, 0, TaskContext.get().partitionId()
+
+        def out(forest):
+            nonlocal number
+            kept, bins = zip(*held.pop(forest), strict=True)
+            number += 1
+            table = pa.Table.from_batches(kept)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            cols = [[forest], [place * (1 << 32) + number], [table.num_rows], [sink.getvalue().to_pybytes()], [np.concatenate(bins).tobytes()]]
+            return _record(["forest", "part", "n", "kept", "x"], cols, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+        for batch in batches:
+            owner = batch.column(0).to_numpy()
+            for forest in np.unique(owner):
+                m = np.flatnonzero(owner == forest)
+                some = batch.take(pa.array(m))
+                x = trees.binned(_matrix(some.column(1)), cuts[int(forest)])
+                held.setdefault(int(forest), []).append((pa.RecordBatch.from_arrays(some.columns[2:], names=keep), x))
+                if sum(len(b) for _, b in held[int(forest)]) >= APPLY_BLOCK:
+                    yield out(int(forest))
+        for forest in list(held):
+            yield out(forest)
+
+    owned = rows.select("_forest", _features(rows).alias("_x"), *keep).where(F.col("_forest").isin(list(cuts)))
+    return cut_lineage(owned.mapInArrow(pack, "forest int, part bigint, n bigint, kept binary, x binary"))
+
+
+def predict_rows(forest: Forest, rows: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
+    """``*keep, pred_class, pred_confidence`` of rows with ``features`` by the forest named in ``_forest``.
+
+    Blocks of rows meet groups of trees, each group adds up the class shares of its trees for the block, and the sums of a
+    block are added to its rows. Shares are whole numbers, so no order of adding changes a result.
+    """
+    cuts, tops, n_classes = forest.cuts, forest.tops, forest.n_classes
+    blocks = _blocks(rows, keep, cuts)
+    size = forest.trees.agg(F.sum(sum(F.length(c).cast("bigint") for c in ("feature", "cut", "left", "votes"))), F.count_distinct("forest")).first()
+    n_rows = blocks.agg(F.sum("n")).first()[0] or 0
+    spread, n_forests = max(1, -(-n_rows // MEET_ROWS)), size[1] or 1
+    groups = max(1, -(-(size[0] or 0) // (MEET_BYTES * n_forests)), -(-64 // (spread * n_forests)))
+
+    def add(left, right):
+        done, n_features = [], len(next(iter(cuts.values())))
+        loaded = [(int(f), int(t), int(b), trees.Tree.load(p, n_classes)) for f, t, b, *p in zip(*(right.column(c).to_pylist() for c in ("forest", "tree", "branch", "feature", "cut", "left", "votes")), strict=True)]
+        for part, x in zip(left.column("part").to_pylist(), left.column("x").to_pylist(), strict=True):
+            x = np.frombuffer(x, np.uint8).reshape(-1, n_features)
+            total, routes = np.zeros((len(x), n_classes), np.int64), {}
+            for f, t, b, tree in loaded:
+                if (f, t) not in tops:
+                    total += trees.votes(tree, x)
+                    continue
+                if (f, t) not in routes:
+                    routes[f, t] = _routed(tops, f, t, x)
+                m = np.flatnonzero(routes[f, t] == b)
+                total[m] += trees.votes(tree, x[m])
+            done.append((part, total.tobytes()))
+        cols = list(zip(*done, strict=True)) or [[], []]
+        return pa.table([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.binary())], names=["part", "v"])
+
+    by, n_parts = ["forest", "_s", "_g"], min(3 * spread * groups * n_forests, 4000)
+    left = blocks.select("forest", "part", "x", F.pmod(F.xxhash64("part"), F.lit(spread)).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    right = forest.trees.withColumn("_g", F.pmod(F.col("tree"), F.lit(groups))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    left, right = (d.repartition(n_parts, *by).groupBy(*by) for d in (left, right))
+    added = cut_lineage(left.cogroup(right).applyInArrow(add, "part bigint, v binary"), frees=True)
+
+    kinds = [f for f in rows.select(*keep).schema.fields]
+
+    def finish(left, right):
+        kept = pa.ipc.open_stream(left.column("kept")[0].as_py()).read_all()
+        total = sum(np.frombuffer(v, np.int64) for v in right.column("v").to_pylist()).reshape(-1, n_classes)
+        best = pa.array(total.argmax(axis=1).astype(np.int32) + 1)
+        return kept.append_column("_best", best).append_column("pred_confidence", pa.array(total.max(axis=1) / total.sum(axis=1)))
+
+    schema = StructType([*kinds, StructField("_best", IntegerType()), StructField("pred_confidence", DoubleType())])
+    out = blocks.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(finish, schema)
     names = F.array(*[F.lit(x) for x in labels])
-    out = model.transform(rows).select(*keep, p.alias("_p"))
-    best = F.array_position("_p", F.array_max("_p")).cast("int")
-    return out.select(*keep, F.element_at(names, best).alias("pred_class"), F.array_max("_p").alias("pred_confidence"))
+    return out.select(*keep, F.element_at(names, F.col("_best")).alias("pred_class"), "pred_confidence")
+
+
+def predict(model: Forest, rows: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
+    """``*keep, pred_class, pred_confidence``: label of the highest class probability."""
+    return predict_rows(model, rows.withColumn("_forest", F.lit(WHOLE)), labels, keep)
 
 
 def class_labels(train: DataFrame) -> list[str]:
@@ -101,12 +433,8 @@ def class_labels(train: DataFrame) -> list[str]:
 
 def out_of_fold(train: DataFrame, labels: list[str], n_folds: int = rules.CV_FOLDS, trees: int = rules.MODEL_TREES,
                 seed: int = rules.MODEL_SEED) -> DataFrame:
-    """Prediction of every training row by the model fitted without its fold."""
-    parts = []
-    for k in range(n_folds):
-        test = train.where(F.col("fold") == k)
-        if test.isEmpty():
-            continue
-        model = fit_forest(train.where(F.col("fold") != k), labels, trees, seed)
-        parts.append(predict(model, test, labels, ["val_id", "bid", "truth_arch", "fold"]))
-    return union_all(parts)
+    """Prediction of every training row by the model fitted without its fold. The forests of all folds grow side by side."""
+    train = cut_lineage(train.withColumn("features", _features(train)))
+    folds = sorted(r[0] for r in train.select(F.col("fold").cast("int")).distinct().collect() if 0 <= r[0] < n_folds)
+    forest = fit_forests(train, labels, folds, trees, seed, rules.MODEL_MAX_DEPTH)
+    return predict_rows(forest, train.withColumn("_forest", F.col("fold").cast("int")), labels, ["val_id", "bid", "truth_arch", "fold"])

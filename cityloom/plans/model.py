@@ -209,7 +209,7 @@ def _modelled(i: Inputs):
         f, _ = feature_rows(i)
         return {
             "city": M.predict(model, M.assemble(f, names, ["bid"]), labels, ["bid"]),
-            "importance": E.importance_table(i.spark, names, list(model.featureImportances.toArray())),
+            "importance": E.importance_table(i.spark, names, M.importances(model)),
         }
 
     return stored_tables(i, "model", build, ("orders", "customer", "part"))
