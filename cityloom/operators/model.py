@@ -168,7 +168,7 @@ def _dealt(batches, lots: list[tuple[int, int, int]], cuts: dict, seed: int):
             x, y, k = trees.binned(values[mine], cuts[forest]), label[mine].astype(np.int16), key[mine]
             for a in range(lo, hi, 64):
                 ids = np.arange(a, min(a + 64, hi), dtype=np.int64)
-                times = resample.poisson_times(resample.uniform_block(seed, k, ids + 1)).astype(np.uint8)
+                times = resample.Draws(seed, k)(ids + 1)
                 for tree, t in zip(ids, times, strict=True):
                     got = t > 0
                     if got.any():

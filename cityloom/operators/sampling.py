@@ -152,21 +152,42 @@ def sampling_summary(result: dict[str, DataFrame], ids: DataFrame, seed: int, ce
     return j.select("window", F.to_json(F.struct(*[c for c in j.columns])).alias("summary"))
 
 
-def poisson_bootstrap(df: DataFrame, key: str, hit: Column, weight: Column, n_boot: int, seed: int) -> DataFrame:
-    """Percentile bootstrap interval of a weighted share: ``value, ci95_lo, ci95_hi, n``.
+#: rows whose draws one task makes; more rows are more tasks, whatever their bytes
+DRAW_ROWS = 8192
+
+
+def poisson_bootstraps(df: DataFrame, key: str, wanted: dict[str, tuple[Column, Column, Column]], n_boot: int, seed: int) -> DataFrame:
+    """Percentile bootstrap intervals of weighted shares: ``name, value, ci95_lo, ci95_hi, n``, one row for each of ``wanted``.
 
-    Every row draws its own Poisson(1) multiplicity per replicate from a seeded hash of its key, so replicates need no
-    resampling join. Draws are made in blocks of a batch times many replicates and added up in the task; ``n_boot`` sums a
-    task are all that is shuffled. Rows whose weight is null, and those with a null key, are not drawn; a null hit is a miss.
+    ``wanted`` gives hit, weight and the rows that count by name; all of them use the same draws. Every row draws its own
+    Poisson(1) multiplicity per replicate from a seeded hash of its key, so replicates need no resampling join. Rows are dealt
+    out by number, since few bytes of rows are many draws; draws are made in blocks of a batch times some replicates and added
+    up in the task, and ``n_boot`` sums a task are all that is shuffled. Rows whose weight is null, and those with a null key,
+    are not drawn; a null hit is a miss.
     """
     own = F.xxhash64(key) if dict(df.dtypes)[key] == "string" else F.col(key).cast("bigint")
-    base = df.select(own.alias("_k"), hit.cast("double").alias("_h"), weight.cast("double").alias("_w"))
-    drawn = base.where(F.col("_k").isNotNull()).select("_k", (F.col("_w") * F.col("_h")).alias("_h"), "_w")
-    sums = drawn.mapInArrow(replicate_sums(n_boot, seed), "_b bigint, _h double, _w double")
-    per = sums.groupBy("_b").agg(F.try_divide(F.sum("_h"), F.sum("_w")).alias("_s"))
-    ci = per.agg(F.percentile("_s", [0.025, 0.975]).alias("_q"))
-    point = base.agg(F.try_divide(F.sum(F.col("_w") * F.col("_h")), F.sum("_w")).alias("value"), F.count(F.lit(1)).alias("n"))
-    return point.crossJoin(ci).select("value", F.col("_q")[0].alias("ci95_lo"), F.col("_q")[1].alias("ci95_hi"), "n")
+    cols = []
+    for n, (hit, weight, where) in enumerate(wanted.values()):
+        w = F.when(where, weight.cast("double"))
+        cols += [(w * hit.cast("double")).alias(f"_h{n}"), w.alias(f"_w{n}"), F.coalesce(where, F.lit(False)).alias(f"_in{n}")]
+    base = cut_lineage(df.select(own.alias("_k"), *cols))
+    drawn = base.where(F.col("_k").isNotNull()).select("_k", *[f"_{c}{n}" for n in range(len(wanted)) for c in "hw"])
+    n_sums = 2 * len(wanted)
+    spread = drawn.repartition(max(1, -(-base.count() // DRAW_ROWS)))
+    sums = spread.mapInArrow(replicate_sums(n_boot, seed, n_sums), ", ".join(["_b bigint", *(f"_s{c} double" for c in range(n_sums))]))
+    per = sums.groupBy("_b").agg(*[F.try_divide(F.sum(f"_s{2 * n}"), F.sum(f"_s{2 * n + 1}")).alias(f"_q{n}") for n in range(len(wanted))])
+    ci = per.agg(*[F.percentile(f"_q{n}", [0.025, 0.975]).alias(f"_q{n}") for n in range(len(wanted))])
+    point = base.agg(*[c for n in range(len(wanted)) for c in (F.try_divide(F.sum(f"_h{n}"), F.sum(f"_w{n}")).alias(f"_v{n}"), F.count_if(F.col(f"_in{n}")).alias(f"_n{n}"))])
+    rows = [
+        F.struct(F.lit(name).alias("name"), F.col(f"_v{n}").alias("value"), F.col(f"_q{n}")[0].alias("ci95_lo"), F.col(f"_q{n}")[1].alias("ci95_hi"), F.col(f"_n{n}").alias("n"))
+        for n, name in enumerate(wanted)
+    ]
+    return point.crossJoin(ci).select(F.inline(F.array(*rows)))
+
+
+def poisson_bootstrap(df: DataFrame, key: str, hit: Column, weight: Column, n_boot: int, seed: int) -> DataFrame:
+    """:func:`poisson_bootstraps` of one share over all rows: ``value, ci95_lo, ci95_hi, n``."""
+    return poisson_bootstraps(df, key, {"": (hit, weight, F.lit(True))}, n_boot, seed).drop("name")
 
 
 def _quotas(total: int, parts: int) -> list[int]:
