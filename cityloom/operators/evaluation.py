@@ -7,20 +7,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cityloom import rules
 from cityloom.functions.numeric import closed_bin, half_even, safe_ratio
 from cityloom.operators.quantiles import exact_quantiles
-from cityloom.operators.sampling import poisson_bootstrap
-from cityloom.operators.skew import union_all
+from cityloom.operators.sampling import poisson_bootstraps
 from cityloom.sources.tables import lookup
 
 
-def accuracy_with_interval(pred: DataFrame, key: str, name: str, n_boot: int = rules.BOOTSTRAP_N, seed: int = rules.MODEL_SEED) -> DataFrame:
-    """Both accuracies of one denominator with bootstrap intervals, in percent."""
+def accuracy_with_intervals(pred: DataFrame, key: str, scopes: dict[str, Column], n_boot: int = rules.BOOTSTRAP_N, seed: int = rules.MODEL_SEED) -> DataFrame:
+    """Both accuracies of each denominator with bootstrap intervals, in percent; a denominator is a condition on the rows."""
     hit = F.col("truth_arch") == F.col("pred_class")
-    rows = []
-    for metric, w in (("accuracy", F.lit(1.0)), ("gfa_weighted_accuracy", F.col("gfa_m2"))):
-        ci = poisson_bootstrap(pred, key, hit, w, n_boot, seed)
-        pct = [half_even(F.col(c) * 100, 1).alias(c) for c in ("value", "ci95_lo", "ci95_hi")]
-        rows.append(ci.select(F.lit(name).alias("denominator"), F.lit(metric).alias("metric"), *pct, "n"))
-    return union_all(rows)
+    metrics = {"accuracy": F.lit(1.0), "gfa_weighted_accuracy": F.col("gfa_m2")}
+    pairs = [(name, metric) for name in scopes for metric in metrics]
+    wanted = {str(k): (hit, metrics[metric], scopes[name]) for k, (name, metric) in enumerate(pairs)}
+    ci = poisson_bootstraps(pred, key, wanted, n_boot, seed)
+    pct = [half_even(F.col(c) * 100, 1).alias(c) for c in ("value", "ci95_lo", "ci95_hi")]
+    name, metric = (F.element_at(F.array(*[F.lit(p[c]) for p in pairs]), F.col("name").cast("int") + 1) for c in (0, 1))
+    return ci.select(name.alias("denominator"), metric.alias("metric"), *pct, "n")
 
 
 def confusion(pred: DataFrame, labels: list[str]) -> DataFrame:

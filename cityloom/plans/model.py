@@ -8,7 +8,6 @@ from cityloom import rules
 from cityloom.functions.resample import POISSON_CDF
 from cityloom.operators import evaluation as E, features as B, labelling as L, model as M, sampling as R, spatial
 from cityloom.operators.quantiles import exact_quantiles
-from cityloom.operators.skew import union_all
 from cityloom.plans.inputs import buildings, master, parcels, slim
 from cityloom.plans.joins import NEIGHBOURS
 from cityloom.plans.registry import register
@@ -358,8 +357,8 @@ FROM point p JOIN reps r USING (denominator) CROSS JOIN (VALUES ('accuracy'), ('
 )
 def a30_accuracy_by_scope(i: Inputs):
     """Both accuracies of both denominators with their bootstrap intervals."""
-    p = labelled_predictions(i)
-    return union_all([E.accuracy_with_interval(p, "val_id", "full_matched"), E.accuracy_with_interval(p.where("in_parcel"), "val_id", "in_parcel")])
+    scopes = {"full_matched": F.lit(True), "in_parcel": F.col("in_parcel")}
+    return E.accuracy_with_intervals(labelled_predictions(i), "val_id", scopes)
 
 
 @register(

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cityloom.functions import resample
-from cityloom.operators import sampling as R
+from cityloom.operators import evaluation as E, sampling as R
 
 
 def test_draws_equal_the_plain_formula():
@@ -41,3 +41,14 @@ def test_draws_are_made_by_many_tasks(spark, monkeypatch):
     df = spark.range(0, 1000, 1, 1).select("id", (F.col("id") % 4 != 0).alias("h"))
     r = R.poisson_bootstrap(df, "id", F.col("h"), F.lit(1.0), 500, 1).first()
     assert r["value"] == 0.75 and r["ci95_lo"] < 0.75 < r["ci95_hi"] and r["n"] == 1000 and seen == [2]
+
+
+def test_scopes_share_their_draws(spark):
+    df = spark.range(300).select("id", F.lit("a").alias("truth_arch"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("pred_class"),
+                                 F.when(F.col("id") % 50 != 0, 1.0 + F.col("id") % 5).alias("gfa_m2"), (F.col("id") % 2 == 0).alias("inside"))
+    both = E.accuracy_with_intervals(df, "id", {"all": F.lit(True), "in": F.col("inside")}, 300, 5).collect()
+    hit = F.col("truth_arch") == F.col("pred_class")
+    assert [(r["denominator"], r["metric"], r["n"]) for r in both] == [
+        ("all", "accuracy", 300), ("all", "gfa_weighted_accuracy", 300), ("in", "accuracy", 150), ("in", "gfa_weighted_accuracy", 150)]
+    alone = R.poisson_bootstrap(df.where("inside"), "id", hit, F.col("gfa_m2"), 300, 5).first()
+    assert all(abs(both[3][c] - 100 * alone[c]) < 0.0500001 for c in ("value", "ci95_lo", "ci95_hi"))
