@@ -20,6 +20,8 @@ CAPACITY = 32
 STEP = 2
 #: a cell of this level is not split any more (a square of a thousand km: about a millimetre)
 DEEPEST = 30
+#: levels below that of an evenly filled square at which a tree may start
+LOOK_DOWN = 16
 KEY = ["_lv", "_ix", "_iy"]
 _BOX = ["_x0", "_y0", "_x1", "_y1"]
 
@@ -51,6 +53,20 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *box)
 
 
+def _start(spots: DataFrame, n: int, capacity: int, square: Quadtree) -> int:
+    """First level whose occupied cells hold half the capacity on average.
+
+    A strip or a few towns fill a small part of their square, so cells are counted; one row with a number per level.
+    """
+    low = 0
+    while low < DEEPEST and n * 2 > capacity * 4**low:
+        low += 1
+    levels = range(low, min(low + LOOK_DOWN, DEEPEST) + 1)
+    cells = [F.xxhash64(square.cell(F.col("_tx"), square.x0, F.lit(k)), square.cell(F.col("_ty"), square.y0, F.lit(k))) for k in levels]
+    occupied = spots.agg(*[F.approx_count_distinct(c) for c in cells]).first()
+    return next((k for k, m in zip(levels, occupied, strict=True) if n * 2 <= capacity * m), levels[-1])
+
+
 def build(spots: DataFrame, capacity: int = CAPACITY) -> Quadtree | None:
     """Tree over distinct spots ``_tx, _ty`` (other columns are kept); None without spots.
 
@@ -60,9 +76,7 @@ def build(spots: DataFrame, capacity: int = CAPACITY) -> Quadtree | None:
     if not r[0]:
         return None
     side = max(r[3] - r[1], r[4] - r[2], 1e-6) * (1 + 1e-9)
-    start = 0
-    while start < DEEPEST and (r[0] * 2) > capacity * 4**start:
-        start += 1
+    start = _start(spots, r[0], capacity, Quadtree(spots, spots, r[1], r[2], side, 0, 0))
     tree = Quadtree(spots, spots, r[1], r[2], side, start, start)
     open_, done, cells, level = tree.keyed(spots, "_tx", "_ty", F.lit(start)), [], [], start
     while True:

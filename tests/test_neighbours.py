@@ -40,3 +40,18 @@ def test_counts_and_medians(spark, block):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "bid int, rep_x double, rep_y double, area_m2 double")
     assert features.neighbour_stats(df).collect() == []
+
+
+def test_quadtree_of_a_strip_starts_near_its_leaves(spark):
+    """Spots along a narrow strip: the first cells are not crowded, so no rounds of splits are needed."""
+    from cityloom.operators import quadtree
+
+    rows = [(float(k % 5), 40.0 * k) for k in range(3000)]
+    tree = quadtree.build(spark.createDataFrame([(x, y, k) for k, (x, y) in enumerate(rows)], "_tx double, _ty double, _lo int"))
+    assert tree.deepest == tree.start and tree.nodes.where("_leaf").agg({"_n": "max"}).first()[0] <= quadtree.CAPACITY
+    got = quadtree.nearest(tree, spark.createDataFrame(rows, "_px double, _py double"), True, ["_lo"]).collect()
+    at = {r["_py"]: r for r in got}
+    assert len(got) == 3000
+    for k, (x, y) in enumerate(rows):
+        want = min((math.hypot(x - rows[j][0], y - rows[j][1]), j) for j in (k - 1, k + 1) if 0 <= j < 3000)
+        assert at[y]["_lo"] == want[1] and at[y]["dist"] == pytest.approx(want[0])
