@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.session import scratch_path
+from cityloom.session import merged, scratch_path
 
 VIEW_SQL = {
     "b26": """
@@ -81,7 +81,7 @@ class Inputs:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return merged(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
         body = VIEW_SQL[name]
@@ -138,7 +138,7 @@ def stored_tables(i: Inputs, name: str, build, sources: tuple[str, ...]) -> dict
             names.append(part)
         _STORED[key] = (path, names)
     path, names = _STORED[key]
-    return {n: i.spark.read.parquet(f"{path}/{n}") for n in names}
+    return {n: merged(i.spark.read.parquet(f"{path}/{n}")) for n in names}
 
 
 def stored(i: Inputs, name: str, build, sources: tuple[str, ...] = ("orders", "customer")) -> DataFrame:
