@@ -203,6 +203,7 @@ def labelling_list(rows: DataFrame, matched: DataFrame, forced: list, windows: d
     ids may repeat. Strata are filled in order, each without the rows taken before.
     """
     spark = rows.sparkSession
+    matched = cut_lineage(matched.select("val_id", "bid"))  # each stratum reads it
     q = rules.LIST_QUOTAS
     conf = F.col("pred_confidence")
     chosen = matched.where(F.col("val_id").isin(forced)).select("bid", F.concat(F.lit("reassess_"), F.col("val_id").cast("string")).alias("stratum"))
