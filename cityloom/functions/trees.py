@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 # tasks get these functions with the plan, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: bits of a sort key for the multiplicity (at most 12) and for the bin
+#: bits of a sort key for the multiplicity (more where rows are merged) and for the bin
 _T_BITS, _B_BITS = 4, 6
 MAX_BINS = 1 << (_B_BITS - 1)
 #: scale of stored class shares: sums of whole numbers do not depend on their order
@@ -44,6 +44,26 @@ def binned(values: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+_MARK = np.random.default_rng(20240711).integers(1, 1 << 63, 1 << 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal rows of bytes side by side, and the places in it where a new row begins."""
+    if not x.shape[1] or x.shape[1] > len(_MARK):
+        order = np.lexsort(x.T[::-1]) if x.shape[1] else np.arange(len(x))
+        h = None
+    else:
+        h = x.astype(np.uint64) @ _MARK[: x.shape[1]]
+        order = np.argsort(h, kind="stable")
+    rows = x[order]
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[: len(x)]
+    if h is not None and (new[1:] & (h[order][1:] == h[order][:-1])).any():  # different rows of one hash
+        order = np.lexsort(x.T[::-1])
+        rows = x[order]
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
 def choices(rng: np.random.Generator, n: int, n_features: int, k: int) -> np.ndarray:
     """``k`` different features for each of ``n`` nodes."""
     cards = np.tile(np.arange(n_features, dtype=np.int16), (n, 1))
@@ -58,9 +78,9 @@ def shares(weights: np.ndarray) -> np.ndarray:
     return np.rint(weights / weights.sum(axis=1, keepdims=True) * VOTE).astype(np.int32)
 
 
-def _best_cuts(key: np.ndarray, counts: np.ndarray, cw: np.ndarray, y_bits: int):
+def _best_cuts(key: np.ndarray, counts: np.ndarray, cw: np.ndarray, y_bits: int, t_bits: int):
     """Best cut per node of sorted keys (node, bin, class, times): ``node, bin, score``; nodes of a single bin have none."""
-    low = _T_BITS + y_bits
+    low = t_bits + y_bits
     cell = key >> low
     end = np.flatnonzero(cell[1:] != cell[:-1])
     nodes = cell >> _B_BITS
@@ -68,7 +88,7 @@ def _best_cuts(key: np.ndarray, counts: np.ndarray, cw: np.ndarray, y_bits: int)
     if not len(end):
         return end, end, np.zeros(0)
     at = nodes[end]
-    label, times = (key >> _T_BITS) & ((1 << y_bits) - 1), key & ((1 << _T_BITS) - 1)
+    label, times = (key >> t_bits) & ((1 << y_bits) - 1), key & ((1 << t_bits) - 1)
     wl, ql, wr, qr = (np.zeros(len(end)) for _ in range(4))
     for c in range(len(cw)):
         before = np.cumsum(counts[:, c]) - counts[:, c]
@@ -108,12 +128,13 @@ def grow(x: np.ndarray, y: np.ndarray, t: np.ndarray, cw: np.ndarray, k: int, de
     """Tree of rows with bins ``x``, class ``y`` and multiplicity ``t``, and its impurity decrease per feature.
 
     Each mixed node takes the cut of highest decrease in weighted Gini impurity among ``k`` drawn features; ``depth`` levels
-    of cuts at most. Only counts decide, so the order of the rows does not matter.
+    of cuts at most. Only counts decide, so the order of the rows does not matter, nor whether equal ones are merged.
     """
     n_features, n_classes = x.shape[1], len(cw)
-    y_bits = max(1, (n_classes - 1).bit_length())
+    y_bits, t_bits = max(1, (n_classes - 1).bit_length()), max(_T_BITS, int(t.max()).bit_length())
+    narrow = 31 - _B_BITS - t_bits - y_bits
     flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(y), dtype=np.int64) * n_features
-    tail, node = (y.astype(np.int64) << _T_BITS) | t, np.zeros(len(y), np.int64)
+    tail, node = (y.astype(np.int64) << t_bits) | t, np.zeros(len(y), np.int64)
     y, t = y.astype(np.int64), t.astype(float)
     n_bins = int(x.max()) + 1
     gains, levels, width, offset, n_leaves = np.zeros(n_features), [], 1, 0, 0
@@ -138,10 +159,10 @@ def grow(x: np.ndarray, y: np.ndarray, t: np.ndarray, cw: np.ndarray, k: int, de
                 if few:
                     at, where, score = _best_dense(place, bins, yk, tk, own, cw, n_bins)
                 else:
-                    key = (((place << _B_BITS) | bins) << (_T_BITS + y_bits)) | rest
-                    key = key.astype(np.int32) if len(ask) < 1 << (31 - _B_BITS - _T_BITS - y_bits) else key
+                    key = (((place << _B_BITS) | bins) << (t_bits + y_bits)) | rest
+                    key = key.astype(np.int32) if narrow > 0 and len(ask) < 1 << narrow else key
                     key.sort()
-                    at, where, score = _best_cuts(key, own, cw, y_bits)
+                    at, where, score = _best_cuts(key, own, cw, y_bits, t_bits)
                 better = score > best[at]
                 at, where = at[better], where[better]
                 best[at], feature[ask[at]], cut[ask[at]] = score[better], drawn[at, j], where

@@ -92,11 +92,13 @@ class Forest(NamedTuple):
 
 #: the forest of all rows; others are named by the fold they leave out
 WHOLE = -1
-#: rows of a block that is dealt to the trees, and of one that is predicted
+#: rows of a block whose draws are made together, and of one that is predicted
 TRAIN_BLOCK, APPLY_BLOCK = 8192, 65_536
-#: rows whose branch is grown in one task; nodes of more are cut by histograms added up over all tasks
+#: merged rows whose branch is grown in one task; nodes of more are cut by histograms added up over all tasks
 BRANCH_ROWS = 1 << 20
-#: rows dealt to trees in one job, which bounds its shuffle
+#: tasks that grow trees, at least, and merged rows that each of more is dealt
+GROW_TASKS, GROW_ROWS = 96, 1 << 18
+#: merged rows dealt to trees in one job, which bounds its shuffle
 WAVE_ROWS = 1 << 27
 #: rows and bytes of trees that meet in one task of the prediction
 MEET_ROWS, MEET_BYTES = 1 << 19, 1 << 26
@@ -156,45 +158,97 @@ def _routed(tops: dict, forest: int, tree: int, x: np.ndarray) -> np.ndarray:
     return np.zeros(len(x), np.int32) if top is None else trees.leaves(*(np.array(top[c]) for c in ("feature", "cut", "left")), x)
 
 
-def _dealt(batches, lots: list[tuple[int, int, int]], cuts: dict, seed: int):
-    """For each block and lot (forest, first tree, end): rows of the forest with bins, and multiplicities by tree."""
+def _merged(rows: DataFrame, forests: list[int], cuts: dict, n_rows: int) -> DataFrame:
+    """Blocks of training rows for each forest: ``forest, n, k, starts, x, y``, rows with the same bins and class merged.
+
+    Trees see bins and classes only, so rows are dealt out in order of these and a block names each of its ``n`` different
+    ones once, with the keys of its rows from ``starts`` on. The key ends the order, so that copies of a row fill many blocks.
+    """
+
+    def bins(batches):
+        for batch in batches:
+            values = _matrix(batch.column(3))
+            b = np.ascontiguousarray(np.concatenate([trees.binned(values, cuts[f]) for f in forests], axis=1))
+            at = np.arange(len(b) + 1, dtype=np.int32) * b.shape[1]
+            packed = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(b.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["_k", "_y", "_fold", "_b"])
+
+    def pack(batches):
+        held = []
+
+        def out():
+            key, label, fold = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+            x = np.frombuffer(b"".join(v for b in held for v in b.column(3).to_pylist()), np.uint8).reshape(len(key), len(forests), -1)
+            for n, forest in enumerate(forests):
+                mine = np.flatnonzero(fold != forest)
+                if not len(mine):
+                    continue
+                own, y = x[mine, n], label[mine].astype(np.int16)
+                order, starts = trees.distinct(np.concatenate([own, y.view(np.uint8).reshape(-1, 2)], axis=1))
+                first = order[starts]
+                parts = [key[mine][order].astype(np.int64), starts.astype(np.int32), own[first], y[first]]
+                cols = [[forest], [len(starts)], *([a.tobytes()] for a in parts)]
+                yield _record(["forest", "n", "k", "starts", "x", "y"], cols, [pa.int32(), pa.int64()] + [pa.binary()] * 4)
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(len(b) for b in held) >= TRAIN_BLOCK:
+                yield from out()
+        if held:
+            yield from out()
+
+    ranged = rows.mapInArrow(bins, "_k bigint, _y int, _fold int, _b binary")
+    ranged = ranged.repartitionByRange(max(1, -(-n_rows // TRAIN_BLOCK)), "_b", "_y", "_k")
+    return cut_lineage(ranged.mapInArrow(pack, "forest int, n bigint, k binary, starts binary, x binary, y binary"), frees=True)
+
+
+def _dealt(batches, lots: list[tuple[int, int, int]], seed: int):
+    """For each block and tree of its lot (forest, first tree, end): merged rows and the sums of their multiplicities."""
     for batch in batches:
-        key, label, fold = (batch.column(c).to_numpy() for c in range(3))
-        values = _matrix(batch.column(3))
-        for forest, lo, hi in lots:
-            mine = fold != forest
-            if not mine.any():
-                continue
-            x, y, k = trees.binned(values[mine], cuts[forest]), label[mine].astype(np.int16), key[mine]
-            for a in range(lo, hi, 64):
-                ids = np.arange(a, min(a + 64, hi), dtype=np.int64)
-                times = resample.Draws(seed, k)(ids + 1)
-                for tree, t in zip(ids, times, strict=True):
-                    got = t > 0
-                    if got.any():
-                        yield forest, int(tree), x[got], y[got], t[got]
+        for own, *parts in zip(*(batch.column(c).to_pylist() for c in ("forest", "k", "starts", "x", "y")), strict=True):
+            k, starts, x, y = (np.frombuffer(p, t) for p, t in zip(parts, (np.int64, np.int32, np.uint8, np.int16), strict=True))
+            x, draws = x.reshape(len(y), -1), resample.Draws(seed, k)
+            for _, lo, hi in (lot for lot in lots if lot[0] == own):
+                for a in range(lo, hi, 64):
+                    ids = np.arange(a, min(a + 64, hi), dtype=np.int64)
+                    times = np.add.reduceat(draws(ids + 1), starts, axis=1, dtype=np.int32)
+                    for tree, t in zip(ids, times, strict=True):
+                        got = t > 0
+                        if got.any():
+                            yield own, int(tree), x[got], y[got], t[got]
 
 
 def _record(names: list[str], columns: list[list], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _grown(data: DataFrame, lots: list, cuts: dict, tops: dict, weights: dict, k: int, max_depth: int, seed: int) -> DataFrame:
+def _grown(data: DataFrame, lots: list, cuts: dict, tops: dict, weights: dict, k: int, max_depth: int, seed: int, n_merged: int) -> DataFrame:
     """One row per branch of the trees of ``lots``: blocks are dealt to branches, each branch is grown in a task."""
     closed = {(f, t, n) for (f, t), top in tops.items() for n in top["closed"]}
 
     def deal(batches):
-        for forest, tree, x, y, t in _dealt(batches, lots, cuts, seed):
+        rows, size = [], 0
+
+        def out():
+            return _record(["forest", "tree", "branch", "x", "y", "t"], list(map(list, zip(*rows, strict=True))), [pa.int32()] * 3 + [pa.binary()] * 3)
+
+        for forest, tree, x, y, t in _dealt(batches, lots, seed):
             at = _routed(tops, forest, tree, x)
             for branch in np.unique(at):
                 if (forest, tree, int(branch)) not in closed:
                     m = at == branch
-                    rows = [[forest], [tree], [int(branch)], [x[m].tobytes()], [y[m].tobytes()], [t[m].tobytes()]]
-                    yield _record(["forest", "tree", "branch", "x", "y", "t"], rows, [pa.int32()] * 3 + [pa.binary()] * 3)
+                    rows.append((forest, tree, int(branch), x[m].tobytes(), y[m].tobytes(), t[m].tobytes()))
+                    size += x.shape[1] * int(m.sum())
+            if size > 1 << 22 or len(rows) > 256:
+                yield out()
+                rows, size = [], 0
+        if rows:
+            yield out()
 
     def build(key, table):
         forest, tree, branch = (int(v.as_py()) for v in key)
-        x, y, t = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("x", np.uint8), ("y", np.int16), ("t", np.uint8)))
+        x, y, t = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("x", np.uint8), ("y", np.int16), ("t", np.int32)))
         top = tops.get((forest, tree))
         depth = max_depth - (top["depth"][branch] if top else 0)
         rng = np.random.default_rng([seed, forest + 1, tree, branch])
@@ -204,7 +258,8 @@ def _grown(data: DataFrame, lots: list, cuts: dict, tops: dict, weights: dict, k
         return pa.table([pa.array(c, d) for c, d in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _FOREST.split(", ")])
 
     by = ["forest", "tree", "branch"]
-    parts = sum(hi - lo for _, lo, hi in lots) + sum(len(t["left"]) for t in tops.values())
+    n_trees = sum(hi - lo for _, lo, hi in lots)
+    parts = min(n_trees + sum(len(t["left"]) for t in tops.values()), max(GROW_TASKS, n_trees * n_merged // GROW_ROWS))
     dealt = data.mapInArrow(deal, "forest int, tree int, branch int, x binary, y binary, t binary")
     return dealt.repartition(min(parts, 2000), *by).groupBy(*by).applyInArrow(build, _FOREST)
 
@@ -228,7 +283,7 @@ def _tops(data: DataFrame, lots: list, cuts: dict, weights: dict, k: int, max_de
 
         def sums(batches):
             total = {}
-            for forest, tree, x, y, t in _dealt(batches, lots, cuts, seed):
+            for forest, tree, x, y, t in _dealt(batches, lots, seed):
                 wanted = nodes.get((forest, tree), ())
                 at = _routed(now, forest, tree, x) if wanted else None
                 for node in wanted:
@@ -283,8 +338,8 @@ def fit_forests(train: DataFrame, labels: list[str], forests: list[int], n_trees
                 branch_rows: int = BRANCH_ROWS) -> Forest:
     """A balanced random forest for each name in ``forests``: over all rows (``WHOLE``) or all but those of that ``fold``.
 
-    Every row draws its Poisson(1) multiplicity per tree from a seeded hash. Blocks of rows are dealt to the trees, a branch of
-    at most ``branch_rows`` rows is grown in one task, and the nodes above are cut by histograms that all tasks add up. Each
+    Every row draws its Poisson(1) multiplicity per tree from a seeded hash. Rows with the same bins and class are merged to one
+    with the sum of their multiplicities. Blocks of merged rows are dealt to the trees, a branch of at most ``branch_rows`` is grown in one task, and the nodes above are cut by histograms that all tasks add up. Each
     node looks at the root of the number of features (rounded up), binned by at most ``MAX_BINS`` cuts. Trees stay in a table.
     """
     index = lookup(train.sparkSession, ["truth_arch", "_y"], [(x, k) for k, x in enumerate(labels)])
@@ -295,23 +350,24 @@ def fit_forests(train: DataFrame, labels: list[str], forests: list[int], n_trees
     stored = cut_lineage(rows.join(F.broadcast(index), "truth_arch").select("_k", F.col("_y").cast("int").alias("_y"), "_fold", "_x"))
     counts = stored.groupBy("_fold", "_y").agg(F.count(F.lit(1)).alias("n")).collect()  # folds times classes
     n_rows = sum(r["n"] for r in counts)
-    data = cut_lineage(stored.repartition(max(1, -(-n_rows // TRAIN_BLOCK)), "_k"))
     weights = {}
     for f in forests:
         n = np.array([sum(r["n"] for r in counts if r["_y"] == c and r["_fold"] != f) for c in range(len(labels))], float)
         weights[f] = np.divide(n.sum(), n * (n > 0).sum(), out=np.zeros(len(n)), where=n > 0)
-    cuts = _bin_cuts(data, forests)
+    cuts = _bin_cuts(stored, forests)
+    data = _merged(stored, forests, cuts, n_rows)
+    n_merged = max((r["n"] for r in data.groupBy("forest").agg(F.sum("n").alias("n")).collect()), default=0)
     n_features = len(cuts[forests[0]])
     k = math.ceil(math.sqrt(n_features))
-    size = max(1, WAVE_ROWS // max(n_rows, 1))
+    size = max(1, WAVE_ROWS // max(n_merged, 1))
     todo = [(f, t) for f in forests if weights[f].any() for t in range(n_trees)]
     done, tops = [], {}
     for a in range(0, len(todo), size):
         wave = todo[a : a + size]
         lots = [(f, min(t for g, t in wave if g == f), max(t for g, t in wave if g == f) + 1) for f in dict.fromkeys(g for g, _ in wave)]
-        some = _tops(data, lots, cuts, weights, k, max_depth, seed, n_rows, branch_rows)
+        some = _tops(data, lots, cuts, weights, k, max_depth, seed, n_merged, branch_rows)
         tops.update(some)
-        done.append(cut_lineage(_grown(data, lots, cuts, some, weights, k, max_depth, seed), frees=True))
+        done.append(cut_lineage(_grown(data, lots, cuts, some, weights, k, max_depth, seed, n_merged), frees=True))
     if tops:
         done.append(cut_lineage(train.sparkSession.createDataFrame(_top_rows(tops, n_features), _FOREST)))
     table = union_all(done)
@@ -336,7 +392,7 @@ def importances(forest: Forest, which: int = WHOLE) -> list[float]:
 
 
 def _blocks(rows: DataFrame, keep: list[str], cuts: dict) -> DataFrame:
-    """Rows packed for their forest: ``forest, part, n``, kept columns as an Arrow stream and bins."""
+    """Rows packed for their forest: ``forest, part``, kept columns as an Arrow stream, the ``n`` different rows of bins and each row's."""
 
     def pack(batches):
         from pyspark import TaskContext
@@ -351,8 +407,12 @@ def _blocks(rows: DataFrame, keep: list[str], cuts: dict) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
-            cols = [[forest], [place * (1 << 32) + number], [table.num_rows], [sink.getvalue().to_pybytes()], [np.concatenate(bins).tobytes()]]
-            return _record(["forest", "part", "n", "kept", "x"], cols, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+            x = np.concatenate(bins)
+            order, starts = trees.distinct(x)
+            at = np.empty(len(x), np.int32)
+            at[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(x)))
+            cols = [[forest], [place * (1 << 32) + number], [len(starts)], [sink.getvalue().to_pybytes()], [x[order[starts]].tobytes()], [at.tobytes()]]
+            return _record(["forest", "part", "n", "kept", "x", "at"], cols, [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 3)
 
         for batch in batches:
             owner = batch.column(0).to_numpy()
@@ -367,14 +427,14 @@ def _blocks(rows: DataFrame, keep: list[str], cuts: dict) -> DataFrame:
             yield out(forest)
 
     owned = rows.select("_forest", _features(rows).alias("_x"), *keep).where(F.col("_forest").isin(list(cuts)))
-    return cut_lineage(owned.mapInArrow(pack, "forest int, part bigint, n bigint, kept binary, x binary"))
+    return cut_lineage(owned.mapInArrow(pack, "forest int, part bigint, n bigint, kept binary, x binary, at binary"))
 
 
 def predict_rows(forest: Forest, rows: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
     """``*keep, pred_class, pred_confidence`` of rows with ``features`` by the forest named in ``_forest``.
 
-    Blocks of rows meet groups of trees, each group adds up the class shares of its trees for the block, and the sums of a
-    block are added to its rows. Shares are whole numbers, so no order of adding changes a result.
+    Blocks of different rows meet groups of trees, each group adds up the class shares of its trees for the block, and the
+    sums of a block are added and given to all rows alike. Shares are whole numbers, so no order of adding changes a result.
     """
     cuts, tops, n_classes = forest.cuts, forest.tops, forest.n_classes
     blocks = _blocks(rows, keep, cuts)
@@ -412,8 +472,9 @@ def predict_rows(forest: Forest, rows: DataFrame, labels: list[str], keep: list[
     def finish(left, right):
         kept = pa.ipc.open_stream(left.column("kept")[0].as_py()).read_all()
         total = sum(np.frombuffer(v, np.int64) for v in right.column("v").to_pylist()).reshape(-1, n_classes)
-        best = pa.array(total.argmax(axis=1).astype(np.int32) + 1)
-        return kept.append_column("_best", best).append_column("pred_confidence", pa.array(total.max(axis=1) / total.sum(axis=1)))
+        at = np.frombuffer(left.column("at")[0].as_py(), np.int32)
+        best, share = total.argmax(axis=1).astype(np.int32) + 1, total.max(axis=1) / total.sum(axis=1)
+        return kept.append_column("_best", pa.array(best[at])).append_column("pred_confidence", pa.array(share[at]))
 
     schema = StructType([*kinds, StructField("_best", IntegerType()), StructField("pred_confidence", DoubleType())])
     out = blocks.groupBy("part").cogroup(added.groupBy("part")).applyInArrow(finish, schema)
